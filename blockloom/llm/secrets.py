@@ -18,7 +18,6 @@ table an empty result. Only id and text are read besides ``keep``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 from re import _parser as sre
@@ -219,12 +218,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with each match of a rule that is long enough as ``[kind]``; rules in order."""
-    for r in rules:
-        p = r.pattern.replace("]+)", "]{%d,})" % r.least) if r.group else r.pattern
-        text = F.when(text.rlike(p), F.regexp_replace(text, F.lit(p), F.lit(f"[{r.kind}]"))).otherwise(text)
-    return text
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span as ``[kind]``; a span that begins inside another is part of it."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(acc: Column, s: Column) -> Column:
+        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-assert all(re.compile(r.pattern) for r in RULES)
+    cut = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)

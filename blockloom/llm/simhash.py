@@ -22,6 +22,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -41,21 +42,22 @@ _WORD = re.compile(WORD.encode())
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence where it is shorter."""
     import xxhash
 
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES))
-    if not words:
-        return 0
-    if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, "<u8")
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], "<u8")
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; none: zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -63,6 +65,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 class Golay:
     """Nearest codeword indices in the systematic [23, 12] code: 12 message bits above 11 check bits."""
 
@@ -104,91 +110,134 @@ def bucket_keys(fp: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
+    """Which rows of x and y (columns: words of 64 bits) differ in ``radius`` bits at most."""
+    d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    for w in range(1, x.shape[1]):
+        d = d + np.bitwise_count(x[:, None, w] ^ y[None, :, w])  # up to 255 bits in a byte
+    return d <= radius
 
 
 def star_edges(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, centre): a spanning star of each component of some distinct fingerprints."""
-    left, a, b = np.arange(len(fp)), [], []
+    """(member, centre) by row number: a spanning star of each component of some fingerprints."""
+    left, a, b = np.arange(len(fp)), [left0 := np.zeros(0, np.int64)], [left0]
     while len(left) > 1:
         root, front, rest = left[0], left[:1], left[1:]
-        members = []
         while len(front) and len(rest):
             hit = np.zeros(len(rest), bool)
             for k in range(0, len(front), TILE):
                 todo = np.flatnonzero(~hit)
                 if not len(todo):
                     break
-                hit[todo] |= _links(fp[rest[todo]], fp[front[k : k + TILE]], radius).any(axis=1)
+                for t in range(0, len(todo), TILE):
+                    part = todo[t : t + TILE]
+                    hit[part] = _links(fp[rest[part]], fp[front[k : k + TILE]], radius).any(axis=1)
             front, rest = rest[hit], rest[~hit]
-            members.append(front)
-        m = np.concatenate(members) if members else left[:0]
-        a.append(fp[m])
-        b.append(np.repeat(fp[root], len(m)))
+            a.append(front)
+            b.append(np.repeat(root, len(front)))
         left = rest
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _edge_batch(a: np.ndarray, b: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
     if len(a):
         a, b = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
     n = len(large)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([a.view(np.int64), large]), pa.int64()),
-        pa.array(np.concatenate([b.view(np.int64), large]), pa.int64()),
-        pa.array(np.concatenate([np.zeros(len(a), bool), np.ones(n, bool)])),
-    ], ["a", "b", "large"])
+    cols = [np.concatenate([a, large]), np.concatenate([b, large]), np.concatenate([np.zeros(len(a), bool), np.ones(n, bool)])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "large"])
+
 
+def _columns(batch: pa.RecordBatch, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Node numbers and fingerprint words of a batch."""
+    fp = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+    return batch.column("node" if len(words) > 1 else words[0]).to_numpy(), fp
 
-def bucket_edges(batches: Iterator[pa.RecordBatch], radius: int, chunk: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Edges of buckets that arrive sorted by key; a bucket beyond LARGE gives its key instead."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+def bucket_edges(batches: Iterator[pa.RecordBatch], radius: int, words: list[str], chunk: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Edges (node, node) of buckets that arrive sorted by key; a bucket beyond LARGE gives its key instead."""
+    held: list[tuple] = []
     rows, skip = 0, None
 
-    def work(key: np.ndarray, fp: np.ndarray) -> tuple:
+    def work(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(first, len(key)))
-        a, b = [], []
         small = np.repeat(count <= SMALL, count)
-        for d in range(1, min(SMALL, int(count.max())) if len(count) else 0):
+        a, b, over = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for d in range(1, min(SMALL, int(count.max()))):
             i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-            a.append(fp[i])
-            b.append(fp[i + d])
-        over = []
+            i = i[np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1) <= radius]
+            a.append(node[i])
+            b.append(node[i + d])
         for g in np.flatnonzero(count > SMALL):
+            at = slice(first[g], first[g] + count[g])
             if count[g] > LARGE:
                 over.append(key[first[g]])
                 continue
-            x, y = star_edges(np.unique(fp[first[g] : first[g] + count[g]]), radius)
-            a.append(x)
-            b.append(y)
-        none = fp[:0]
-        return np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(over, np.int64)
+            x, y = star_edges(fp[at], radius)
+            a.append(node[at][x])
+            b.append(node[at][y])
+        return _edge_batch(np.concatenate(a), np.concatenate(b), np.array(over, np.int64))
 
     for batch in batches:
-        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        key, (node, fp) = batch.column("key").to_numpy(), _columns(batch, words)
         if skip is not None:  # the rest of a bucket that was given by key
             go = int(np.searchsorted(key, skip, side="right"))
-            key, fp = key[go:], fp[go:]
+            key, node, fp = key[go:], node[go:], fp[go:]
         if not len(key):
             continue
         skip = None
-        held.append((key, fp))
+        held.append((key, node, fp))
         rows += len(key)
         if rows < chunk:
             continue
-        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
         cut = int(np.searchsorted(key, key[-1], side="left"))
-        open_rows = len(key) - cut
-        if open_rows > LARGE:
-            skip, cut, open_rows = int(key[-1]), len(key), 0
+        if len(key) - cut > LARGE:
+            skip, cut = int(key[-1]), len(key)
         if cut:
-            yield _edge_batch(*work(key[:cut], fp[:cut]))
-        held, rows = ([(key[cut:], fp[cut:])], open_rows) if open_rows else ([], 0)
+            yield work(key[:cut], node[:cut], fp[:cut])
+        held, rows = [(key[cut:], node[cut:], fp[cut:])] if cut < len(key) else [], len(key) - cut
     if held:
-        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield _edge_batch(*work(key, fp))
+        yield work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _linked_in_buckets(keyed: DataFrame, radius: int, words: list[str]) -> DataFrame:
+    """Edges (a, b) by node that connect whatever a bucket links, from rows (key, fingerprint words and, of several words, node)."""
+    kind = "a bigint, b bigint, large boolean"
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from bucket_edges(batches, radius, words)
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            x, y = star_edges(fp, radius)
+            return _edge_batch(node[x], node[y], np.zeros(0, np.int64))
+
+        for b in batches:  # sorted by tile: a pair of chunks of one bucket
+            t, (node, fp) = b.column("tile").to_numpy(), _columns(b, words)
+            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else []
+            for s, e in zip(first, [*first[1:], len(t)], strict=False):
+                if t[s] != at and held:
+                    yield done()
+                    held = []
+                at = t[s]
+                held.append((node[s:e], fp[s:e]))
+        if held:
+            yield done()
+
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(edges, kind), "links")
+    hot = found.where("large").select(F.col("a").alias("key")).distinct()
+    links = found.where(~F.col("large")).select("a", "b")
+    if hot.limit(1).count():
+        rows = keyed.join(hot, "key")
+        sizes = staged(rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "large")
+        rows = rows.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(*words), F.col("n")).cast("int"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        rows = rows.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("tile"), *[c for c in keyed.columns if c != "key"])
+        links = links.unionByName(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(tiles, kind).select("a", "b"))
+    return links
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
@@ -215,37 +264,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             k, f = bucket_keys(b.column("fp").to_numpy().view(np.uint64), golay)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f.view(np.int64))], ["key", "fp"])
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from bucket_edges(batches, radius)
-
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sorted by tile: each tile is a pair of chunks of one bucket
-        at, held = None, []
-        for b in batches:
-            t, f = b.column("tile").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
-            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            for s, e in zip(first, np.append(first[1:], len(t)), strict=True):
-                if t[s] != at and held:
-                    yield _edge_batch(*star_edges(np.unique(np.concatenate(held)), radius), np.zeros(0, np.int64))
-                    held = []
-                at = t[s]
-                held.append(f[s:e])
-        if held:
-            yield _edge_batch(*star_edges(np.unique(np.concatenate(held)), radius), np.zeros(0, np.int64))
-
-    keyed = distinct.select("fp").mapInArrow(keys, "key bigint, fp bigint")
-    kind = "a bigint, b bigint, large boolean"
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(edges, kind), "links")
-    hot = found.where("large").select(F.col("a").alias("key")).distinct()
-    links = found.where(~F.col("large")).select("a", "b")
-    if hot.limit(1).count():
-        rows = keyed.join(hot, "key")
-        sizes = staged(rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "large")
-        rows = rows.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        rows = rows.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("tile"), "fp")
-        links = links.unionByName(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile, kind).select("a", "b"))
-    return links
+    return _linked_in_buckets(distinct.select("fp").mapInArrow(keys, "key bigint, fp bigint"), radius, ["fp"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -258,3 +277,95 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     best = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = staged(classes.join(best, "root").select(F.col("fp").alias("f"), "component_id"), "components")
     return rows.join(of, F.col("fp") == F.col("f")).select(*keep, "fp", "component_id")
+
+
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 2, 22
+_WIDE_SEGMENTS, _WIDE_ROWS, _CLASS = 10, 1 << 18, 1.5
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_keys(fp: np.ndarray, size: np.ndarray, extra: int, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): codeword indices of drawn 23-bit segments, with ``extra`` plain bits and a class of the text's length.
+
+    Lengths within a factor of 0.8 share a class: a text close below a class's end is in the next one too.
+    """
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    rng = np.random.default_rng(23)
+    count = math.ceil(_WIDE_SEGMENTS / (1 - 0.156) ** extra)
+    level = np.log(np.maximum(size, 1)) / math.log(_CLASS)
+    own = np.floor(level).astype(np.int64)
+    classes = np.stack([own, np.where(np.floor(level + math.log(1.25) / math.log(_CLASS)) > own, own + 1, -1)], axis=1)
+    keys, rows = [], []
+    for s in range(count):
+        places = rng.permutation(bits.shape[1])[: 23 + extra]
+        word = bits[:, places[:23]].astype(np.uint32) @ (np.uint32(1) << np.arange(23, dtype=np.uint32))
+        plain = bits[:, places[23:]].astype(np.int64) @ (np.int64(1) << np.arange(extra, dtype=np.int64)) if extra else np.zeros(len(fp), np.int64)
+        index = golay.indices(word.astype(np.uint32), 23).astype(np.int64)
+        ok = (index[:, :, None] >= 0) & (classes[:, None, :] >= 0)
+        key = (((np.int64(s) << 6 | classes[:, None, :]) << 30 | plain[:, None, None]) << 12) | index[:, :, None]
+        row = np.nonzero(ok)
+        keys.append(key[row])
+        rows.append(row[0])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = WIDE_RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near copies: shingles of five words, similarity 0.8 or more.
+
+    Texts at a Jaccard similarity of 0.8 differ in about one bit in six, too many for 64-bit
+    keys. Here fingerprints have 128 bits; rows are linked at 22 differing bits or fewer,
+    which is a similarity of about 0.77 as these bits estimate it. Keys are codeword
+    indices of drawn 23-bit segments, by classes of length; beyond 2**18 distinct texts each
+    doubling adds a plain bit to the keys, and segments in return. A pair at 0.85 meets
+    almost surely; the candidates are verified with all bits.
+
+    The row with the smallest id stays, null ids last, ties by the hash of the row; rows alike in all columns
+    leave one. Null texts count as empty, and empty ones are copies of each other.
+    """
+    names = docs.columns
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = []
+            for t in b.column("t").to_pylist():
+                h = shingle_hashes(t, WIDE_SHINGLE)
+                fp = [majority(h)]
+                for _ in range(1, WIDE_WORDS):
+                    h = (h ^ (h >> np.uint64(32))) * _SPREAD
+                    h ^= h >> np.uint64(29)
+                    fp.append(majority(h))
+                got.append((len(h), *fp))
+            size, *fps = zip(*got, strict=True)
+            cols = [pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in fps)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], ["id", "h", "size", *words])
+
+    chosen = docs.select(F.col(doc_id).alias("id"), row_hash.alias("h"), F.col(text).alias("t"))
+    ddl = f"id {chosen.schema['id'].dataType.simpleString()}, h bigint, size bigint, " + ", ".join(f"{w} bigint" for w in words)
+    rows = staged(chosen.mapInArrow(run, ddl).withColumn("node", F.xxhash64(*words)), "wide")
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
+    distinct = staged(rows.groupBy("node").agg(*[F.first(w).alias(w) for w in words], F.min("size").alias("size"), F.min(first).alias("first")), "wide-distinct")
+    extra = min(30, max(0, math.ceil(math.log2(max(distinct.count(), 1) / _WIDE_ROWS))))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for b in slices(batches, 4096):
+            fp = np.stack([b.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+            key, row = wide_keys(fp, b.column("size").to_numpy(), extra, golay)
+            cols = [pa.array(key), b.column("node").take(pa.array(row)), *(b.column(w).take(pa.array(row)) for w in words)]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "node", *words])
+
+    keyed = distinct.select("node", "size", *words).mapInArrow(keys, "key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
+    roots = connected_components(_linked_in_buckets(keyed, radius, words)).withColumnRenamed("node", "n")
+    classes = distinct.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    stays = classes.groupBy("root").agg(F.min("first").alias("stays"))
+    of = staged(classes.join(stays, "root").select("node", "stays"), "wide-groups")
+    judged = rows.select("id", "h", "node").join(of, "node").select("id", "h", (F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("h") == F.col("stays.h"))).alias("stays"))
+    counted = judged.groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    touched = staged(counted.where("not stays or n > 1").withColumnsRenamed({"id": "loser_id", "h": "loser_h"}), "wide-losers")
+    named = docs.withColumn("loser_of", row_hash)
+    same = F.col("loser_id").eqNullSafe(F.col(doc_id)) & (F.col("loser_h") == F.col("loser_of"))
+    alone = named.join(touched, same, "left_anti")
+    repeated = named.join(touched.where("stays"), same, "left_semi").dropDuplicates([doc_id, "loser_of"])
+    return alone.unionByName(repeated).select(*names)
