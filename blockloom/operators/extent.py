@@ -59,21 +59,24 @@ def latest_wins(df: DataFrame, slices: int = 1) -> DataFrame:
 
     ``df`` has vol_id, addr, blocks, seq; ``off`` is a run's offset in its extent. Equal extents
     are reduced to their newest before the shuffle; what lies under a newer extent that covers
-    its whole stripe goes before any sort; stripes are swept in groups by volume and stripe.
+    its whole stripe goes first, and an extent alone in its stripe needs no sweep, so the long
+    middle of a discard never reaches Python; the other stripes are swept by volume and stripe.
     With ``slices`` over 1 a stripe is swept by slices of the order first (latest-wins is
     associative), which spreads a hot stripe over tasks. Runs are joined again across stripes.
     """
     newest = df.groupBy("vol_id", "addr", "blocks").agg(F.max("seq").alias("seq"))
-    cut = cut_at_stripes(newest)
-    whole = F.max(F.when(F.col("blocks") == STRIPE, F.col("seq")))
-    floor = cut.groupBy("vol_id", "stripe").agg(whole.alias("floor")).where("floor is not null")
-    cut = cut.join(floor, ["vol_id", "stripe"], "left").where("floor is null or seq >= floor").drop("floor")
+    own = Window.partitionBy("vol_id", "stripe")  # one shuffle serves the floor, the count and the sweep
+    floor = F.max(F.when(F.col("blocks") == STRIPE, F.col("seq"))).over(own)
+    cut = cut_at_stripes(newest).withColumn("floor", floor).where("floor is null or seq >= floor")
+    cut = cut.withColumn("n", F.count("*").over(own))
+    cut = cut.select("vol_id", "stripe", F.col("addr").cast("long"), F.col("blocks").cast("long"), F.col("seq").cast("long"), F.col("off").cast("long"), "n")
     kind = "vol_id bigint, addr bigint, blocks bigint, seq bigint, off bigint"
-    cut = cut.select("vol_id", "stripe", "addr", "blocks", F.col("seq").cast("long"), "off")
+    alone = cut.where("n = 1").select(F.col("vol_id").cast("long"), "addr", "blocks", "seq", "off")
+    crowded = cut.where("n > 1").drop("n")
     if slices > 1:
-        first = cut.groupBy("vol_id", "stripe", F.pmod(F.col("seq"), F.lit(slices)).alias("s")).applyInPandas(_sweep, kind)
-        cut = first.withColumn("stripe", F.expr(f"addr div {STRIPE}"))
-    won = cut.groupBy("vol_id", "stripe").applyInPandas(_sweep, kind)
+        first = crowded.groupBy("vol_id", "stripe", F.pmod(F.col("seq"), F.lit(slices)).alias("s")).applyInPandas(_sweep, kind)
+        crowded = first.withColumn("stripe", F.expr(f"addr div {STRIPE}"))
+    won = alone.unionByName(crowded.groupBy("vol_id", "stripe").applyInPandas(_sweep, kind))
     return joined_runs(won)
 
 
