@@ -3,9 +3,9 @@
 A task keeps ``open_windows`` windows. A document's full windows leave at once; what is
 left of it goes to the open window that it fits best. When it fits none, the fullest
 window leaves: if at least ``min_cut`` places are free there, they take the head of the
-piece first. At the end of a partition its open windows stay as leftovers; the leftovers
-of each ``merge_partitions`` partitions are then merged, longest piece first and best fit,
-so that at most the windows of that merge hold much padding.
+piece first. At the end of a partition its open windows stay as leftovers, with their ids; the leftovers of each
+``merge_partitions`` partitions are then merged in the same way with one open window,
+longest piece first, so only the last window of a merge holds much padding.
 
 Tokenising and placing is one pass without a shuffle; only leftovers are shuffled, and a
 merge holds ``open_windows * merge_partitions`` windows at most. Sequences are numbered by
@@ -136,11 +136,11 @@ def pack_documents(df: DataFrame, text: str, tokenizer: str, keep: tuple[str, ..
             raw = [x.astype("<u4").tobytes() for x in ids]
             kept = [pa.array([waiting[k][c] for k in keys], schema.field(c).type) for c in range(len(schema) - 1)]
             numbers = [start, [len(x) for x in ids], [zlib.crc32(r) for r in raw], tokens, sequence, offset]
-            cols = [*kept, *(pa.array(x, pa.int64()) for x in numbers), pa.array(left, pa.bool_()), *([pa.array(raw, pa.binary())] if with_ids else [])]
+            cols = [*kept, *(pa.array(x, pa.int64()) for x in numbers), pa.array(left, pa.bool_()), pa.array([r if with_ids or o else None for r, o in zip(raw, left, strict=True)], pa.binary())]
             open_keys = {row[0] for _, _, held in packer.open for row in held}
             for k in [k for k in waiting if k not in open_keys]:
                 del waiting[k]
-            return pa.RecordBatch.from_arrays(cols, [*schema.names[:-1], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left_over", *(["ids"] if with_ids else [])])
+            return pa.RecordBatch.from_arrays(cols, [*schema.names[:-1], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left_over", "ids"])
 
         schema = None
         for b in slices(batches):
@@ -158,24 +158,21 @@ def pack_documents(df: DataFrame, text: str, tokenizer: str, keep: tuple[str, ..
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True], kind="stable")
-        free: list[tuple[int, int]] = []
-        sequence, offset, used = [], [], 0
-        group = _MERGED | int(pdf["__group"].iloc[0]) << _NUMBERS
-        for n in pdf["length"].tolist():
-            k = bisect.bisect_left(free, (n,))
-            room, s = free.pop(k) if k < len(free) else (window, used)
-            used += s == used
-            sequence.append(group + s)
-            offset.append(window - room)
-            if room > n:
-                bisect.insort(free, (room - n, s))
-        return pdf.assign(sequence_id=sequence, offset=offset).drop(columns="__group")
+        packer = Packer(_MERGED | int(pdf["__group"].iloc[0]) << _NUMBERS, window, 1, min_cut)
+        for k, (start, ids, n) in enumerate(zip(pdf["start"], pdf["ids"], pdf["doc_tokens"], strict=True)):
+            packer._place(k, int(start), np.frombuffer(bytes(ids), "<u4"), int(n))
+        packer.finish()
+        row, start, ids, _, sequence, offset, _ = zip(*packer.rows, strict=True)
+        raw = [x.tobytes() for x in ids]
+        out = pdf.iloc[list(row)].drop(columns="__group")
+        own = {"start": start, "length": [len(x) for x in ids], "ids_crc32": [zlib.crc32(r) for r in raw], "sequence_id": sequence, "offset": offset, "ids": raw}
+        return out.assign(**own) if with_ids else out.assign(**own).drop(columns="ids")
 
     chosen = df.select(*keep, F.col(text).alias("__text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1])
     tail = ", ids binary" if with_ids else ""
-    pieces = staged(chosen.mapInArrow(run, f"{kept}{PIECES}, left_over boolean{tail}"), "pieces")
-    whole = pieces.where(~F.col("left_over")).drop("left_over")
+    pieces = staged(chosen.mapInArrow(run, f"{kept}{PIECES}, left_over boolean, ids binary"), "pieces")
+    whole = pieces.where(~F.col("left_over")).drop("left_over", *([] if with_ids else ["ids"]))
     left = pieces.where("left_over").drop("left_over")
     group = F.floor(F.shiftright("sequence_id", _NUMBERS) / merge_partitions).cast("long")
     merged = left.withColumn("__group", group).groupBy("__group").applyInPandas(merge, f"{kept}{PIECES}{tail}")
