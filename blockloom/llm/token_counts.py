@@ -47,7 +47,7 @@ def read_ranks(path: str) -> dict[bytes, float]:
 class CountTrie(dict):
     """Token counts by pre-token; a missing one is inserted in the trie on first use."""
 
-    def __init__(self, scores: dict[bytes, float], max_nodes: int = 300_000, max_depth: int = 256):
+    def __init__(self, scores: dict[bytes, float], max_nodes: int = 1_000_000, max_depth: int = 256):
         self.scores, self.max_nodes, self.max_depth = scores, max_nodes, max_depth
         longest = [1] * 256
         for p in scores:
