@@ -49,9 +49,10 @@ def applicable_chain(diffs: DataFrame, base: DataFrame) -> DataFrame:
 
     def run(d: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         got = []
+        rows = list(d[_DIFF].itertuples(index=False, name=None))
         for vol, b, e in s[["vol_id", "b_b", "b_e"]].itertuples(index=False, name=None):
             for pos, (i, sb, se) in enumerate(walk(d, b, e), 1):
-                got.append((vol, pos, *d[_DIFF].iloc[i].tolist(), sb, se))
+                got.append((vol, pos, *rows[i], sb, se))
         return pd.DataFrame(got, columns=["vol_id", "pos", *_DIFF, "s_b", "s_e"])
 
     left = diffs.select("vol_id", *_DIFF).groupBy("vol_id")
