@@ -1,4 +1,4 @@
-"""The registered query of each operator, on its whole table, and DuckDB SQL where it can express one."""
+"""The registered query of each operator, on its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, lm_score, media_ogg, mixing, packing, secrets, simhash, token_counts, toxicity
+from . import embed_dedup, lm_score, media_ogg, mixing, oracles, packing, secrets, simhash, token_counts, toxicity
 from .common import id_crc, read, text_or_empty
 from .url_filter import Rule, filter_urls, host_rule
 
@@ -98,31 +98,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_media_ogg, op3_embedding_dedup, op4_mixing, op5_secrets, op6_simhash, op7_url_filter, op8_packing, op9_toxicity, op10_lm_score)}
 
 
-_URL_SQL = r"""
-WITH p AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
-  FROM pages),
-r AS (
-  SELECT *, '.' || host AS h, '.' || host || path AS u FROM p),
-w AS (
-  SELECT page_id, host, path,
-    CASE WHEN ends_with(h, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-         WHEN ends_with(h, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-         WHEN ends_with(h, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-         WHEN ends_with(h, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    CASE WHEN regexp_matches(u, '(?s)^[^/]*\.casino[^/]*/') THEN '*.casino*/**'
-         WHEN regexp_matches(u, '(?s)/track[^/]/') THEN '**/track?/**'
-         WHEN regexp_matches(u, '(?s)^[^/]*\.spam-[^/]*/') THEN '*.spam-*/**'
-         WHEN contains(u, '/ads/') THEN '**/ads/**'
-         WHEN ends_with(u, '.exe') THEN '**.exe' END AS own
-  FROM r)
-SELECT page_id, host, path, rule,
-       CASE WHEN rule IS NULL THEN own WHEN rule LIKE '%/' AND rule <> '' THEN '*.' || rule || '**' END AS pattern,
-       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR own IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM w
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _URL_SQL}
+    return {"op3_embedding_dedup": oracles.EMBEDDING_DEDUP, "op5_secrets": oracles.SECRETS, "op7_url_filter": oracles.URL_FILTER}

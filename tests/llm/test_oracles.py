@@ -1,0 +1,27 @@
+"""Queries with DuckDB SQL against it."""
+
+import duckdb
+import pytest
+
+from blockloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        duck.sql(f"create view {t} as from '{SF}/{t}.parquet'")
+    want = duck.sql(queries.oracle_sql()[name])
+    columns = sorted(want.columns)
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == columns
+    rows = want.select(*columns).fetchall()
+    assert rows and sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_embeddings_do_link():
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as from '{SF}/embeddings.parquet'")
+    assert duck.sql(f"select count(*) from ({queries.oracle_sql()['op3_embedding_dedup']}) where n_links > 0").fetchall()[0][0]
