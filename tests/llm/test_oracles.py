@@ -1,6 +1,7 @@
 """Queries with DuckDB SQL against it."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from blockloom.llm import queries
@@ -21,7 +22,19 @@ def test_query_against_sql(spark, name):
     assert rows and sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(rows, key=str)
 
 
-def test_embeddings_do_link():
+def test_linked_embeddings_against_sql(spark, tmp_path):
+    """The tables at hand hold no links at 0.93, so links, chains, copies and unusable vectors are planted here."""
+    rng = np.random.default_rng(12)
+    x = [rng.standard_normal(64) for _ in range(60)]
+    for k in range(120):
+        x.append(x[k] + rng.standard_normal(64) * 0.25)
+    x = [v.tolist() for v in x] + [x[0].tolist(), x[0].tolist(), [0.0] * 64, None, [float("nan")] * 64, [1.0, None] + [0.0] * 62, [1.0, 0.0]]
+    rows = [(i, v, None if i == 5 else i % 60 % 3) for i, v in enumerate(x)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(path)
     duck = duckdb.connect()
-    duck.sql(f"create view embeddings as from '{SF}/embeddings.parquet'")
-    assert duck.sql(f"select count(*) from ({queries.oracle_sql()['op3_embedding_dedup']}) where n_links > 0").fetchall()[0][0]
+    duck.sql(f"create view embeddings as from '{path}/*.parquet'")
+    want = duck.sql(f"select vec_id, n_links, component_id, kept from ({queries.oracle_sql()['op3_embedding_dedup']}) order by vec_id").fetchall()
+    assert sum(n > 0 for _, n, _, _ in want) > 60 and any(n != 2 and n > 0 for _, n, _, _ in want)
+    got = queries.op3_embedding_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == want
