@@ -139,7 +139,7 @@ def encode_ogg(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] =
 
 
 def decode_ogg(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and ``payload`` (packets joined by time), pages, streams, packets (stream, first sample, seconds, bytes), broken, lost."""
+    """``keep`` columns and ``payload`` (packets joined by time), pages, streams, packets (stream, first sample, seconds, bytes), broken, lost, seconds (the latest packet's end)."""
     kinds = "payload binary, pages int, streams int, broken int, lost int, seconds double, packets array<struct<serial:bigint,sample:bigint,seconds:double,bytes:int>>"
     packet_type = pa.list_(pa.struct([("serial", pa.int64()), ("sample", pa.int64()), ("seconds", pa.float64()), ("bytes", pa.int32())]))
 
@@ -152,7 +152,7 @@ def decode_ogg(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ())
                     continue
                 x = read_ogg(m)
                 times = [{"serial": s, "sample": t, "seconds": t / x["rate"].get(s, RATE), "bytes": len(p)} for t, s, p in x["packets"]]
-                seconds = sum(len(p) for _, _, p in x["packets"]) / RATE
+                seconds = max(((t + len(p)) / x["rate"].get(s, RATE) for t, s, p in x["packets"]), default=0.0)
                 out.append((b"".join(p for _, _, p in x["packets"]), x["pages"], len(x["rate"]), x["broken"], x["lost"], seconds, times))
             kind = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), packet_type]
             cols = [pa.array(c, k) for c, k in zip(zip(*out), kind, strict=True)]

@@ -9,7 +9,8 @@ logistic regression.
 
 ``fit`` takes at most ``max_rows`` labelled rows, those with the smallest hash of their id:
 that is the bound on the training sample, so the broadcast of their ids and the sparse
-rows that the driver fits on are bounded too (at most ``features`` numbers a row).
+rows that the driver fits on are bounded too (at most ``features`` numbers a row). Of
+several documents with one id the one with the largest text is learnt from.
 Scoring is one pass over the whole texts without a shuffle, with a table of fixed size.
 
 Null and empty texts have no n-grams but those of the two spaces and get the model's prior.
@@ -88,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = known.where(usable) if usable is not None else known
     known = known.select(key, label).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
     sample = known.orderBy(F.xxhash64(key), key).limit(max_rows)  # bounded, so it may be broadcast
-    rows = staged(docs.select(key, F.col(text).alias("__text")).join(F.broadcast(sample), key).select("__text", "__y"), "training")
+    texts = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(sample), key)
+    rows = staged(texts.groupBy(key, "__y").agg(F.max("__text").alias("__text")).select("__text", "__y"), "training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.zeros((2, 1 << BITS), np.int64)

@@ -115,6 +115,13 @@ def test_ogg_round_trip_and_broken_page():
     assert got["broken"] == 1 and 0 < sum(len(p) for _, _, p in got["packets"]) < len(raw)
 
 
+def test_ogg_seconds_follow_the_rate_of_the_stream(spark):
+    media = [(media_ogg.write_ogg(b"x" * 48_000, rate=16_000),), (media_ogg.write_ogg(b""),), (None,)]
+    got = media_ogg.decode_ogg(spark.createDataFrame(media, "media binary")).collect()
+    half = 3 * media_ogg.PACKET / 16_000  # two streams in parallel, three packets in the longer
+    assert [r.seconds for r in got] == [half, 0.0, None] and got[0].packets[-1].seconds < half
+
+
 def test_ogg_checksum_bit_by_bit():
     raw, crc = b"OggS some page", 0
     for b in raw:
@@ -305,6 +312,14 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_learns_once_from_an_id(spark):
+    rows = [(i, "vile scum" if i % 2 else "kind words", "a") for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], LABELS[1])
+    once = toxicity.fit(docs(spark, rows), labels)
+    again = toxicity.fit(docs(spark, rows + rows[:1] * 50 + [(0, "", "a"), (0, None, "a")]), labels)
+    assert once.bias == again.bias and (once.coefficient == again.coefficient).all()
+
+
 def test_toxicity_without_a_class(spark):
     d = docs(spark, [(1, "a", "s"), (2, "b", "s")])
     model = toxicity.fit(d, spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int"))
