@@ -22,7 +22,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -279,91 +278,183 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(of, F.col("fp") == F.col("f")).select(*keep, "fp", "component_id")
 
 
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 2, 22
-_WIDE_SEGMENTS, _WIDE_ROWS, _CLASS = 10, 1 << 18, 1.5
+COPY_SHINGLE, COPY_BANDS, COPY_ROWS = 5, 10, 4
+_HASHES = 1 << 20  # shingle hashes of a chunk of a large bucket
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_keys(fp: np.ndarray, size: np.ndarray, extra: int, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row): codeword indices of drawn 23-bit segments, with ``extra`` plain bits and a class of the text's length.
+def alike(both, a, b):
+    """A Jaccard similarity of 0.8 or more, in whole numbers: 5 both >= 4 (a + b - both)."""
+    return 9 * both >= 4 * (a + b)
 
-    Lengths within a factor of 0.8 share a class: a text close below a class's end is in the next one too.
-    """
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, COPY_SHINGLE))
+
+
+def copy_keys(h: np.ndarray) -> np.ndarray:
+    """A key per band: sets at similarity s share one with probability s**4 each, 0.41 at 0.8, so some key of ten with 0.995."""
     rng = np.random.default_rng(23)
-    count = math.ceil(_WIDE_SEGMENTS / (1 - 0.156) ** extra)
-    level = np.log(np.maximum(size, 1)) / math.log(_CLASS)
-    own = np.floor(level).astype(np.int64)
-    classes = np.stack([own, np.where(np.floor(level + math.log(1.25) / math.log(_CLASS)) > own, own + 1, -1)], axis=1)
-    keys, rows = [], []
-    for s in range(count):
-        places = rng.permutation(bits.shape[1])[: 23 + extra]
-        word = bits[:, places[:23]].astype(np.uint32) @ (np.uint32(1) << np.arange(23, dtype=np.uint32))
-        plain = bits[:, places[23:]].astype(np.int64) @ (np.int64(1) << np.arange(extra, dtype=np.int64)) if extra else np.zeros(len(fp), np.int64)
-        index = golay.indices(word.astype(np.uint32), 23).astype(np.int64)
-        ok = (index[:, :, None] >= 0) & (classes[:, None, :] >= 0)
-        key = (((np.int64(s) << 6 | classes[:, None, :]) << 30 | plain[:, None, None]) << 12) | index[:, :, None]
-        row = np.nonzero(ok)
-        keys.append(key[row])
-        rows.append(row[0])
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = WIDE_RADIUS) -> DataFrame:
+    mask, factor = rng.integers(0, 1 << 64, (2, COPY_BANDS * COPY_ROWS, 1), np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(len(mask), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h), 8192):
+        mixed = (h[None, at : at + 8192] ^ mask) * factor
+        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(31))) * _SPREAD).min(axis=1))
+    key = np.arange(COPY_BANDS, dtype=np.uint64)
+    for r in range(COPY_ROWS):
+        key = (key ^ least[r::COPY_ROWS]) * _SPREAD
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def copy_star(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """(member, centre) by row number: a spanning star of each component of sets that are alike, all pairs judged."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    end = np.cumsum(size)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    left, a, b = np.arange(len(sets)), [], []
+    while len(left) > 1:
+        root, front, rest = int(left[0]), [int(left[0])], left[1:]
+        while front and len(rest):
+            f = front.pop()
+            own = np.zeros(len(values), bool)
+            own[code[end[f] - size[f] : end[f]]] = True
+            near = rest[alike(np.minimum(size[rest], size[f]), size[rest], size[f])]
+            if not len(near):
+                continue
+            if len(near) * 4 < len(sets):
+                both = np.array([np.count_nonzero(own[code[end[x] - size[x] : end[x]]]) for x in near.tolist()])
+            else:
+                sums = np.concatenate(([0], np.cumsum(own[code])))
+                both = sums[end[near]] - sums[end[near] - size[near]]
+            hit = near[alike(both, size[near], size[f])]
+            a += hit.tolist()
+            b += [root] * len(hit)
+            front += hit.tolist()
+            rest = rest[~np.isin(rest, hit)]
+        left = rest
+    return a, b
+
+
+def _copies_in_tiles(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) from rows (tile, node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, node, sets, a, b = None, [], [], [], []
+
+        def done() -> None:
+            if len(node) > 1:
+                x, y = copy_star(sets)
+                a.extend(node[i] for i in x)
+                b.extend(node[i] for i in y)
+
+        for batch in batches:
+            for t, n, s in zip(batch.column("tile").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                if t != at:
+                    done()
+                    at, node, sets = t, [], []
+                node.append(n)
+                sets.append(np.frombuffer(s, "<u8"))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear(), b.clear()
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.select("tile", "node", "shingles").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+
+
+def _copy_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            ok = [bool(alike(len(np.intersect1d(x := np.frombuffer(s, "<u8"), y := np.frombuffer(t, "<u8"), assume_unique=True)), len(x), len(y))) for s, t in both]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(d)) for c, d in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def copy_links(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the alike of each bucket, from rows (key, node) and (node, size, shingles).
+
+    Pairs of a bucket are judged by their whole sets. In a bucket beyond a chunk all rows meet
+    its least node first; those unlike it then meet all rows in tiles, dealt over tasks.
+    """
+    sized = keyed.join(sets.select("node", "size"), "node")
+    chunks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / _HASHES)).cast("int")
+    buckets = staged(sized.groupBy("key").agg(chunks.alias("n"), F.min("node").alias("pivot")), "copy-buckets")
+    rows = staged(keyed.join(buckets, "key"), "copy-rows")
+    links = _copies_in_tiles(rows.where("n = 1").select(F.col("key").alias("tile"), "node").join(sets, "node"))
+    if buckets.where("n > 1").limit(1).count():
+        large = rows.where("n > 1")
+        near = staged(_copy_pairs(large.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "copy-pivots")
+        known = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("known"))
+        large = large.join(known, ["node", "pivot"], "left").withColumn("known", F.col("known").isNotNull() | (F.col("node") == F.col("pivot")))
+        large = staged(large.withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")), "copy-large")
+        # A tile is a chunk of the rows that the pivot leaves and a chunk of all rows.
+        open_ = large.where("not known").select("key", F.col("c").alias("o")).distinct()
+        every = large.join(open_, "key").select("key", "node", "o", "c")
+        own = large.where("not known").withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", "node", F.col("c").alias("o"), F.col("d").alias("c"))
+        tiles = every.unionByName(own).select(F.xxhash64("key", "o", "c").alias("tile"), "node").distinct()
+        links = links.unionByName(near).unionByName(_copies_in_tiles(tiles.join(sets, "node")))
+    return links
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of near copies: shingles of five words, similarity 0.8 or more.
 
-    Texts at a Jaccard similarity of 0.8 differ in about one bit in six, too many for 64-bit
-    keys. Here fingerprints have 128 bits; rows are linked at 22 differing bits or fewer,
-    which is a similarity of about 0.77 as these bits estimate it. Keys are codeword
-    indices of drawn 23-bit segments, by classes of length; beyond 2**18 distinct texts each
-    doubling adds a plain bit to the keys, and segments in return. A pair at 0.85 meets
-    almost surely; the candidates are verified with all bits.
+    Similarity is that of Jaccard between the sets of shingle hashes (64 bits). Candidates share
+    one of ten keys, each the hash of four least values of the set under fixed mixings: a pair
+    at 0.8 shares one with probability 0.995, at 0.85 with 0.999, at any size of sets and input.
+    (Fingerprints of half the bits would need more keys with every doubling.) A candidate
+    links only if its whole sets are alike. Equal sets are one node first; buckets with the
+    same members are one.
 
     The row with the smallest id stays, null ids last, ties by the hash of the row; rows alike in all columns
     leave one. Null texts count as empty, and empty ones are copies of each other.
     """
     names = docs.columns
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    words = [f"w{i}" for i in range(WIDE_WORDS)]
+
+    def node_of(h: np.ndarray) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = []
-            for t in b.column("t").to_pylist():
-                h = shingle_hashes(t, WIDE_SHINGLE)
-                fp = [majority(h)]
-                for _ in range(1, WIDE_WORDS):
-                    h = (h ^ (h >> np.uint64(32))) * _SPREAD
-                    h ^= h >> np.uint64(29)
-                    fp.append(majority(h))
-                got.append((len(h), *fp))
-            size, *fps = zip(*got, strict=True)
-            cols = [pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in fps)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], ["id", "h", "size", *words])
+            sets = [shingle_set(t) for t in b.column("t").to_pylist()]
+            node = pa.array(np.array([node_of(h) for h in sets], np.uint64).view(np.int64))
+            keys = pa.array([copy_keys(h).view(np.int64) if len(h) else [] for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], node, keys], ["id", "h", "node", "keys"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t) for t in b.column("t").to_pylist()]
+            cols = [b.column("node"), pa.array(list(map(len, sets)), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "size", "shingles"])
 
     chosen = docs.select(F.col(doc_id).alias("id"), row_hash.alias("h"), F.col(text).alias("t"))
-    ddl = f"id {chosen.schema['id'].dataType.simpleString()}, h bigint, size bigint, " + ", ".join(f"{w} bigint" for w in words)
-    rows = staged(chosen.mapInArrow(run, ddl).withColumn("node", F.xxhash64(*words)), "wide")
+    kind = chosen.schema["id"].dataType.simpleString()
+    rows = staged(chosen.mapInArrow(run, f"id {kind}, h bigint, node bigint, keys array<bigint>"), "copy-keys")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
-    distinct = staged(rows.groupBy("node").agg(*[F.first(w).alias(w) for w in words], F.min("size").alias("size"), F.min(first).alias("first")), "wide-distinct")
-    extra = min(30, max(0, math.ceil(math.log2(max(distinct.count(), 1) / _WIDE_ROWS))))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
-        for b in slices(batches, 4096):
-            fp = np.stack([b.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
-            key, row = wide_keys(fp, b.column("size").to_numpy(), extra, golay)
-            cols = [pa.array(key), b.column("node").take(pa.array(row)), *(b.column(w).take(pa.array(row)) for w in words)]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "node", *words])
-
-    keyed = distinct.select("node", "size", *words).mapInArrow(keys, "key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
-    roots = connected_components(_linked_in_buckets(keyed, radius, words)).withColumnRenamed("node", "n")
+    distinct = staged(rows.groupBy("node").agg(F.min("keys").alias("keys"), F.min(first).alias("first")), "copy-distinct")
+    keyed = distinct.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
+    keyed = staged(keyed.join(shared.groupBy("n", "m", "x").agg(F.min("key").alias("key")).select("key"), "key"), "copy-shared")
+    wanted = distinct.join(keyed.select("node").distinct(), "node").select("node", F.col("first.id").alias("i"), F.col("first.h").alias("g"))
+    texts = chosen.join(wanted, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "t")
+    sets = staged(texts.mapInArrow(shingles, "node bigint, size bigint, shingles binary").dropDuplicates(["node"]), "copy-sets")
+    roots = connected_components(copy_links(keyed, sets)).withColumnRenamed("node", "n")
     classes = distinct.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     stays = classes.groupBy("root").agg(F.min("first").alias("stays"))
-    of = staged(classes.join(stays, "root").select("node", "stays"), "wide-groups")
+    of = staged(classes.join(stays, "root").select("node", "stays"), "copy-groups")
     judged = rows.select("id", "h", "node").join(of, "node").select("id", "h", (F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("h") == F.col("stays.h"))).alias("stays"))
     counted = judged.groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
-    touched = staged(counted.where("not stays or n > 1").withColumnsRenamed({"id": "loser_id", "h": "loser_h"}), "wide-losers")
+    touched = staged(counted.where("not stays or n > 1").withColumnsRenamed({"id": "loser_id", "h": "loser_h"}), "copy-losers")
     named = docs.withColumn("loser_of", row_hash)
     same = F.col("loser_id").eqNullSafe(F.col(doc_id)) & (F.col("loser_h") == F.col("loser_of"))
     alone = named.join(touched, same, "left_anti")

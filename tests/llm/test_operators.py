@@ -88,6 +88,38 @@ def test_pipeline_stages(spark, folder):
     assert all(abs(share[s] - total * w / 8) < 2 for s, w in (("s0", 5), ("s1", 2), ("s2", 1)))
 
 
+def test_near_copies_at_the_limit_against_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=7)) for _ in range(n)]
+    rows, pairs = [], {}
+    for limit, size, step in ((0.75, 70, 10), (0.75, 700, 100), (0.8, 9, 1), (0.8, 180, 20), (0.8, 900, 100), (0.85, 185, 15)):
+        for _ in range(100):
+            w = words(size + step + 4)
+            pairs.setdefault(limit, []).append(len(rows))
+            rows += [(len(rows), " ".join(w[: size + 4]), "a"), (len(rows) + 1, " ".join(w[step:]), "a")]
+    kept = {x.doc_id for x in simhash.near_copies(docs(spark, rows)).collect()}
+    linked = {limit: np.mean([i + 1 not in kept for i in at]) for limit, at in pairs.items()}
+    assert linked[0.75] == 0 and linked[0.8] >= 0.98 and linked[0.85] >= 0.99, linked
+    assert all(i in kept for at in pairs.values() for i in at)
+    # Chains in large buckets, in tiles: the groups are those of all pairs.
+    base = words(604)
+    rows = [(i, " ".join(base[i * 25 : i * 25 + 204]), "a") for i in range(16)] + [(100 + i, " ".join(base[i * 10 : i * 10 + 204]), "a") for i in range(20)]
+    keyed = spark.createDataFrame([(k, i) for i, _, _ in rows for k in (1, 2)], "key bigint, node bigint")
+    table = {i: simhash.shingle_set(t) for i, t, _ in rows}
+    sets = spark.createDataFrame([(i, len(h), h.tobytes()) for i, h in table.items()], "node bigint, size bigint, shingles binary")
+    pairs = [(a, b) for a in table for b in table if a < b and len(np.intersect1d(table[a], table[b])) / len(np.union1d(table[a], table[b])) >= 0.8]
+
+    def groups(edges):
+        root = {i: i for i in table}
+        for a, b in list(edges) * len(table):
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    for tile in (2048, 7):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        assert groups((e.a, e.b) for e in simhash.copy_links(keyed, sets).collect()) == groups(pairs)
+
+
 def test_token_counts_against_plain_dynamic_programming():
     r = random.Random(1)
     scores = {bytes([b]): -9.0 for b in range(256)} | {bytes(r.choices(b"abc", k=r.randint(2, 4))): -r.uniform(2, 12) for _ in range(40)}
