@@ -55,6 +55,15 @@ MORE = (
 )
 RULES = BASE + MORE
 
+_LABEL = r"(?:[A-Z0-9]{1,16}\x20){0,4}PRIVATE KEY(?: BLOCK)?-----"
+_GAP = r"(?:[\x20\x09-\x0D\x22'>#,|*;+]|\\[nrt])*+"
+_HEADER = r"Proc-Type:\x204,ENCRYPTED|DEK-Info:\x20[A-Z0-9-]+(?:,[0-9A-Fa-f]+)?|(?:Version|Comment|Hash|Charset):[^\x0A\x0D\x5C]{0,200}(?=[\x0A\x0D\x5C])"
+_SHORT = rf"{_GAP}[A-Za-z0-9+/]{{1,63}}={{1,2}}|[\x09-\x0D]++[A-Za-z0-9+/=]{{1,63}}(?![^\x09-\x0D])"
+#: All of a PEM or armoured private key: to its END, or else its headers and base64 lines. Loops are possessive, so long bodies take no stack.
+PRIVATE_KEY = rf"-----BEGIN {_LABEL}(?:(?:[^-]++|-(?!----))*+-----END {_LABEL}|(?:(?:{_GAP}(?:{_HEADER}|[A-Za-z0-9+/]{{16,}}+={{0,2}}))++(?:{_SHORT}){{0,2}}+)?+)"
+#: The rules to redact by: of a private key more than the line that tells it, which is what ``RULES`` and op5's SQL list.
+REDACTED = tuple(Rule(r.kind, PRIVATE_KEY) if r.kind == "private_key" else r for r in RULES)
+
 _MOST = 64  # strings that a run may stand for
 _MASK = 60  # bits used of a mask
 
