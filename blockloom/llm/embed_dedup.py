@@ -49,11 +49,10 @@ class Coder:
     """Codes, factors and band keys of vectors of one length."""
 
     def __init__(self, dim: int, bits: int, bands: int, seed: int = SEED):
-        self.bits = -(-max(256, dim, bits * 2) // 64) * 64
+        self.bits = -(-max(256, dim, bits * bands) // 64) * 64  # no bit in two bands, so that bands are independent
         rng = np.random.default_rng([seed, dim])
         self.rotation = np.linalg.qr(rng.standard_normal((self.bits, dim)))[0]
-        order = np.concatenate([rng.permutation(self.bits) for _ in range(-(-bits * bands // self.bits) + 1)])
-        self.places = np.array([order[k * bits : (k + 1) * bits] for k in range(bands)])
+        self.places = rng.permutation(self.bits)[: bits * bands].reshape(bands, bits)
         self.weights, self.dim = 1 << np.arange(bits, dtype=np.int64), dim
 
     def rotate(self, x: np.ndarray) -> np.ndarray:

@@ -305,6 +305,18 @@ def test_secrets_against_python(spark, folder):
         assert found[i].base_sha256 == hashlib.sha256(text(s for s in spans if s[1] < 3).encode()).hexdigest()
 
 
+def test_bands_meet_at_the_threshold_for_large_labels():
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for rows in (10_000, 10_000_000):
+        coder = embed_dedup.Coder(64, *embed_dedup.bands_for(rows, 0.93))
+        met = [(coder.keys(coder.encode(x[i : i + 500])[0]) == coder.keys(coder.encode(y[i : i + 500])[0])).any(axis=1) for i in range(0, len(x), 500)]
+        assert np.concatenate(met).mean() >= 0.997, (rows, np.concatenate(met).mean())
+
+
 def test_no_line_of_a_private_key_outlives_the_stage(spark):
     import corpus_pipeline
 
