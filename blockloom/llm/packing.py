@@ -11,7 +11,9 @@ Tokenising and placing is one pass without a shuffle; only leftovers are shuffle
 merge holds ``open_windows * merge_partitions`` windows at most. Sequences are numbered by
 partition and window, which a rerun over the same partitions repeats.
 
-Null and empty texts have just the end id. Repeated rows are packed each on its own.
+Null and empty texts have just the end id. Repeated rows are packed each on its own. Very
+long texts are cut in full windows like any other; a task holds the ids of one text at a
+time. An empty table gives no piece. Kept columns may have any name but those of ``PIECES``.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ def load_encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a text by a byte-level BPE file of the tokenizers library.
 
     Where the ids of its merges count up in merge order the file is the same as a rank
-    table, and the faster tiktoken gives the same ids; else the tokenizers library runs.
+    table, and the faster tiktoken gives the same ids; else, and for texts that tiktoken
+    refuses (a million blanks or line ends in a row), the tokenizers library runs.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -54,19 +57,30 @@ def load_encoder(path: str) -> Callable[[str], np.ndarray]:
     pre = spec.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
     made = [vocab[a + b] for a, b in merges]
-    if plain and made == sorted(made) and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges"):
-        import tiktoken
+    from tokenizers import Tokenizer
 
-        from .token_counts import PRETOKEN
+    library = Tokenizer.from_file(path)
 
-        signs = _byte_of_sign()
-        ranks = {bytes(signs[c] for c in t): i for t, i in vocab.items() if t not in special}
-        coder = tiktoken.Encoding("packing", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
-    from tokenizers import Tokenizer
+    def by_library(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if not plain or made != sorted(made) or spec["model"].get("dropout") or spec["model"].get("ignore_merges"):
+        return by_library
+    import tiktoken
+
+    from .token_counts import PRETOKEN
+
+    signs = _byte_of_sign()
+    ranks = {bytes(signs[c] for c in t): i for t, i in vocab.items() if t not in special}
+    coder = tiktoken.Encoding("packing", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens=special)
+
+    def by_ranks(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # its regular expression takes a stack that very long runs of white space exhaust
+            return by_library(text)
 
-    slow = Tokenizer.from_file(path)
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    return by_ranks
 
 
 class Packer:

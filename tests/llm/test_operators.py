@@ -373,6 +373,19 @@ def test_packing_round_trip(spark, folder):
     assert len(windows) <= total / 2048 * 1.05 + 1
 
 
+def test_packing_of_texts_that_exhaust_a_regular_expression(spark, folder):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encode = Tokenizer.from_file(path), packing.load_encoder(path)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "x" + " \n" * 600_000 + "y", "ab" * 1_000_000, "\u3000" * 400_000):
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    got = queries.op8_packing(spark, folder([(1, " " * 1_500_000, "a"), (2, "fox", "a")])).collect()
+    own = sorted((p.start, p.length, p.doc_tokens) for p in got if p.doc_id == 1)
+    assert own[0][0] == 0 and all(s + n == t for (s, n, _), (t, _, _) in zip(own, own[1:], strict=False)) and sum(own[-1][:2]) == own[0][2] == 1_500_001
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
