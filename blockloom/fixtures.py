@@ -9,13 +9,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.stage import staged
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 FIXTURES = {
     "log_record": """
 WITH e AS (
-  SELECT user_id % 4 AS vol_id, event_id AS ev, ts,
-         (user_id * 131 + event_id * 17) % 4096 AS addr,
+  SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 + (user_id * 7 + event_id) % 1000 END AS vol_id, event_id AS ev, ts,
+         (user_id * 131 + event_id * 17) % 4096 + CASE WHEN event_id % 50 = 7 THEN 65500 ELSE 0 END AS addr,
          CASE WHEN event_type = 'error' THEN 1 + (event_id % 15) * 16 ELSE 1 + event_id % 15 END AS blocks,
          CASE WHEN event_type = 'error' THEN 0 ELSE 1 + event_id % 15 END AS size_pb,
          (event_type = 'signup' AND event_id % 5 = 0) AS is_padding,
@@ -35,15 +37,14 @@ SELECT * FROM log_record WHERE ev % 97 <> 13
 """,
     "change_input": """
 SELECT vol_id, CAST(dense_rank() OVER (PARTITION BY vol_id ORDER BY date_trunc('day', ts)) AS bigint) AS gid,
-       lsid, ev, addr, blocks,
+       date_trunc('day', ts) AS day, lsid, ev, addr, blocks,
        CASE WHEN is_discard THEN 'Discard' WHEN token = 'Z' THEN 'Allzero' ELSE 'Normal' END AS rec_type, token
 FROM log_record WHERE NOT is_padding
 """,
     "meta_diff": """
 WITH o AS (
-  SELECT o_custkey % 50 AS vol_id, o_orderdate AS ts, o_orderpriority, o_totalprice,
-         CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate, o_orderkey) AS bigint) AS n
-  FROM orders)
+  SELECT vol_id, ts, o_orderpriority, o_totalprice, CAST(row_number() OVER (PARTITION BY vol_id ORDER BY ts, o_orderkey) AS bigint) AS n
+  FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 + o_custkey % 300 END AS vol_id, o_orderdate AS ts, o_orderkey, o_orderpriority, o_totalprice FROM orders) v)
 SELECT vol_id, n - 1 AS b_b, n - 1 + CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS b_e,
        n + CASE WHEN n % 7 = 0 THEN 2 ELSE 0 END AS e_b,
        n + CASE WHEN n % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS e_e,
@@ -52,26 +53,42 @@ SELECT vol_id, n - 1 AS b_b, n - 1 + CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS b
 FROM o
 """,
     "base_state": """
-SELECT DISTINCT vol_id, vol_id % 10 = 0 AS is_applying, vol_id % 3 AS b_b, vol_id % 3 AS b_e,
+SELECT DISTINCT vol_id, vol_id % 10 = 0 AS is_applying, vol_id % 3 AS b_b, vol_id % 3 + CASE WHEN vol_id % 4 = 1 THEN 2 ELSE 0 END AS b_e,
        CASE WHEN vol_id % 10 = 0 THEN vol_id % 3 + 2 END AS e_b
 FROM meta_diff
 """,
     "image_a": """
-SELECT addr, content FROM (
-  SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS bigint) AS addr,
-         l_linenumber, md5(concat(l_partkey, ':', l_suppkey)) AS content FROM lineitem) t
-WHERE l_linenumber <> 7
+SELECT l_orderkey * 8 + l_linenumber AS addr, md5(concat(max(l_partkey), ':', max(l_suppkey))) AS content
+FROM lineitem WHERE l_linenumber <> 7 GROUP BY l_orderkey, l_linenumber
 """,
     "image_b": """
 SELECT addr, CASE WHEN addr % 37 = 5 THEN md5(concat('b', addr)) ELSE content END AS content
-FROM image_a WHERE addr < (SELECT count(*) - count(*) % 100 FROM lineitem) AND addr % 211 <> 3
+FROM image_a WHERE addr < (SELECT max(l_orderkey) * 8 - 300 FROM lineitem) AND addr % 211 <> 3
+""",
+    "volume_image": """
+SELECT CASE WHEN k % 3 = 0 THEN 0 ELSE 1 + k % 1000 END AS vol_id, CASE WHEN k % 3 = 0 THEN k ELSE CAST(floor(k / 1000) AS bigint) END * 8 + n AS addr, content
+FROM (SELECT l_orderkey AS k, CAST(l_linenumber AS bigint) AS n, md5(concat(max(l_partkey), ':', max(l_suppkey))) AS content
+      FROM lineitem WHERE l_linenumber <> 7 GROUP BY l_orderkey, l_linenumber) x
+""",
+    "change_meta": """
+SELECT vol_id, gid - 1 AS b_b, gid - 1 AS b_e, gid AS e_b, gid AS e_e, gid % 6 <> 0 AS is_mergeable, false AS is_comp_diff, ts, data_size,
+       CASE WHEN gid > 6 THEN 'b' ELSE 'a' END AS uuid
+FROM (SELECT vol_id, gid, max(ev) AS data_size, CAST(max(day) AS timestamp) AS ts FROM change_input GROUP BY vol_id, gid) g
+UNION ALL
+SELECT vol_id, gid - 4, gid - 4, gid, gid, true, false, CAST(max(day) AS timestamp), max(ev), 'a' FROM change_input WHERE gid % 4 = 0 GROUP BY vol_id, gid
+""",
+    "restore_target": """
+SELECT vol_id, max(gid) - vol_id % 3 AS gid, max(gid) AS top FROM change_input GROUP BY vol_id
+""",
+    "last_action": """
+SELECT vol_id, max(ts) AS ts FROM meta_diff WHERE b_b <= vol_id % 40 AND vol_id % 4 <> 1 GROUP BY vol_id
 """,
     "lsid_gid": """
 SELECT c.vol_id, max(r.next_lsid) AS lsid, c.gid, c.gid % 6 <> 0 AS is_mergeable, max(r.ts) AS ts
 FROM change_input c JOIN log_record r ON c.vol_id = r.vol_id AND c.ev = r.ev GROUP BY c.vol_id, c.gid
 """,
     "remote_snap": """
-SELECT vol_id, concat('a', vol_id % 2) AS dst_id, CAST(max(e_b) - 1 - vol_id % 5 AS bigint) AS gid, max(ts) AS ts
+SELECT vol_id, concat('a', vol_id % 3) AS dst_id, CAST(max(e_b) - 1 - vol_id % 5 AS bigint) AS gid, max(ts) AS ts
 FROM meta_diff WHERE vol_id % 9 <> 0 AND NOT is_comp_diff GROUP BY vol_id
 """,
     "handler_call": """
@@ -112,9 +129,21 @@ class Inputs:
     """The driver's tables under ``sf_dir`` and the fixtures made of them, as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self._stored = spark, {}
         for name in BASE:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name not in FIXTURES:
+            raise AttributeError(name)
         return self.spark.sql(with_fixtures(f"SELECT * FROM {name}"))
+
+    def stored(self, name: str) -> DataFrame:
+        """A fixture as a table of its own, written once: what a store holds already when a query comes."""
+        if name not in self._stored:
+            self._stored[name] = staged(getattr(self, name), name)
+        return self._stored[name]
+
+    def sql(self, query: str) -> DataFrame:
+        """A query that names fixtures and tables."""
+        return self.spark.sql(with_fixtures(query))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chain import applicable_chain, stop_where
+from ..plans.stage import staged
 
 KEY = ["vol_id", "b_b", "b_e", "e_b", "e_e"]
 
@@ -41,10 +42,18 @@ def can_merge(diffs: DataFrame) -> DataFrame:
 
 
 def merge_meta(chain: DataFrame) -> DataFrame:
-    """One row per volume: the diff that a run of merged diffs gives."""
-    first, last = F.min_by(F.struct("b_b", "b_e", "is_mergeable"), "pos"), F.max_by(F.struct("s_b", "s_e", "ts"), "pos")
-    got = chain.groupBy("vol_id").agg(first.alias("f"), last.alias("l"), F.count("*").alias("n"))
-    return got.select("vol_id", "f.b_b", "f.b_e", F.col("l.s_b").alias("e_b"), F.col("l.s_e").alias("e_e"), "f.is_mergeable", "l.ts", "n")
+    """One row per volume: the diff that a run of merged diffs gives.
+
+    Its end is folded from the first diff's own end, whatever the base was: a clean diff moves
+    the lower gid and keeps a higher upper one, a dirty diff sets both.
+    """
+    first = F.min_by(F.struct("b_b", "b_e", "is_mergeable"), "pos")
+    last = F.max_by(F.struct("e_b", "ts"), "pos")
+    w = Window.partitionBy("vol_id").orderBy("pos")
+    sets_end = chain.withColumn("sets", (F.row_number().over(w) == 1) | ~clean())
+    end = F.max_by("e_e", F.when(F.col("sets"), F.col("pos")))
+    got = sets_end.groupBy("vol_id").agg(first.alias("f"), last.alias("l"), end.alias("e"), F.count("*").alias("n"))
+    return got.select("vol_id", "f.b_b", "f.b_e", F.col("l.e_b").alias("e_b"), F.greatest("l.e_b", "e").alias("e_e"), "f.is_mergeable", "l.ts", "n")
 
 
 def contained_diffs(diffs: DataFrame) -> DataFrame:
@@ -98,7 +107,7 @@ def applicable_until(diffs: DataFrame, base: DataFrame, max_gid: int | None = No
 
 def _mergeable(chain: DataFrame) -> DataFrame:
     w = Window.partitionBy("vol_id").orderBy("pos")
-    broken = (F.col("pos") > 1) & (~F.col("is_mergeable") | F.col("is_comp_diff") | F.coalesce(F.lag("is_comp_diff").over(w), F.lit(False)))
+    broken = (F.col("pos") > 1) & (~F.col("is_mergeable") | F.col("is_comp_diff") | F.coalesce(F.lag("is_comp_diff").over(w), F.lit(False)) | (F.col("b_b") < F.first("b_b").over(w)))
     return stop_where(chain.withColumn("stop", broken), F.col("stop")).drop("stop")
 
 
@@ -152,7 +161,7 @@ def restorable(diffs: DataFrame, base: DataFrame, every: bool = False) -> DataFr
 
 def plan_restore(diffs: DataFrame, base: DataFrame, targets: DataFrame, exact_clean: bool = True, max_nr: int | None = None) -> DataFrame:
     """Per (vol_id, gid): the diffs to apply, where the gid is exactly reachable."""
-    chain = applicable_chain(diffs, base).join(targets.select("vol_id", "gid"), "vol_id")
+    chain = staged(applicable_chain(diffs, base).join(targets.select("vol_id", "gid"), "vol_id").where("s_b <= gid"), "chain")
     ok = chain.where(F.col("s_b") == F.col("gid")).where("s_b = s_e" if exact_clean else "true").select("vol_id", F.col("pos").alias("upto"))
     got = chain.join(ok, "vol_id").where("pos <= upto")
     return (got.where(F.col("pos") <= max_nr) if max_nr else got).drop("upto")
@@ -191,6 +200,11 @@ def set_snapshot(diffs: DataFrame, gid: int, enable: bool) -> DataFrame:
     return diffs.where((F.col("b_b") == gid) & (F.col("is_mergeable") == enable)).withColumn("is_mergeable", F.lit(not enable))
 
 
+def snapshot_found(diffs: DataFrame, gid: int) -> DataFrame:
+    """(vol_id, found): whether some diff starts at ``gid``, so that a snapshot there can be set."""
+    return diffs.groupBy("vol_id").agg(F.bool_or(F.col("b_b") == gid).alias("found"))
+
+
 def list_diffs(diffs: DataFrame, gid0: int, gid1: int) -> DataFrame:
     return diffs.where((F.col("b_b") >= gid0) & (F.col("b_b") < gid1))
 
@@ -218,9 +232,10 @@ def verify_merge_range(diffs: DataFrame, ranges: DataFrame) -> DataFrame:
     return got.select("vol_id", "gid_b", "gid_e", F.coalesce(F.expr("b and e and m and not c"), F.lit(False)).alias("ok"))
 
 
-def merge_range(diffs: DataFrame, gid: int, gid_e: int) -> DataFrame:
-    """The catalogue row that replaces each volume's mergeable run, where it has two or more diffs."""
-    return merge_meta(mergeable_chain(diffs, gid, gid_e)).where("n >= 2")
+def merge_range(diffs: DataFrame, gid: int, gid_e: int | None = None, max_size: int | None = None) -> DataFrame:
+    """The catalogue row that replaces each volume's mergeable run, where it has two or more diffs: up to a gid or within a total size."""
+    chain = mergeable_chain(diffs, gid, gid_e)
+    return merge_meta(chain if max_size is None else truncate_by_size(chain, max_size, 1 << 30)).where("n >= 2")
 
 
 def apply_to_gid(diffs: DataFrame, base: DataFrame, gid: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .extent import STRIPE, cut_at_stripes, cut_from_start, latest_wins, overlap_join, split_aligned, stripes
+from .extent import covered, cut_at_stripes, cut_from_start, joined_runs, latest_wins, split_aligned
 
 
 def block_content(token: str = "token", k: Column | None = None) -> Column:
@@ -47,13 +47,15 @@ def split_max(changes: DataFrame, n: int) -> DataFrame:
 
 
 def order_key(major: str = "gid", minor: str = "lsid") -> Column:
-    """One order over change sets and the records in them, without a sort; minors are below 2**40."""
-    return F.shiftleft(F.col(major).cast("long"), 40) + F.col(minor)
+    """One order over change sets and the records in them, without a sort. A minor from 2**40 on, or a major from 2**23 on, is an error."""
+    fits = (F.col(minor) < (1 << 40)) & (F.col(minor) >= 0) & (F.col(major) < (1 << 23)) & (F.col(major) >= 0)
+    key = F.shiftleft(F.col(major).cast("long"), 40) + F.col(minor)
+    return F.when(fits, key).otherwise(F.raise_error(F.lit(f"{major} or {minor} is too large to order by")))
 
 
-def winners(changes: DataFrame, slices: int = 1) -> DataFrame:
+def winners(changes: DataFrame) -> DataFrame:
     """Disjoint surviving runs with rec_type, token and ``off``; ``seq`` orders the changes. Runs are found without payload, which is joined after."""
-    return with_payload(latest_wins(changes, slices), changes)
+    return with_payload(latest_wins(changes), changes)
 
 
 def with_payload(runs: DataFrame, changes: DataFrame) -> DataFrame:
@@ -71,9 +73,9 @@ def compact_log(records: DataFrame, max_blocks: int = 65_535, layout: str = "fra
     return cut_from_start(runs, max_blocks)
 
 
-def merge_changes(changes: DataFrame, max_blocks: int = 65_535, slices: int = 1) -> DataFrame:
+def merge_changes(changes: DataFrame, max_blocks: int = 65_535) -> DataFrame:
     """Change sets (gid) merged, the newest record winning."""
-    return cut_from_start(winners(changes.withColumn("seq", order_key()), slices), max_blocks)
+    return cut_from_start(winners(changes.withColumn("seq", order_key())), max_blocks)
 
 
 def check_uuid(diffs: DataFrame) -> DataFrame:
@@ -95,21 +97,26 @@ def assert_disjoint(changes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def changes_minus(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The parts of ``left`` that no extent of ``right`` covers: (vol_id, seq, addr, blocks, off)."""
+    """The parts of ``left`` that no extent of ``right`` covers: (vol_id, seq, addr, blocks, off).
+
+    ``right`` is first reduced to the disjoint ranges that it covers, so an extent meets each
+    hole once, however often it was written.
+    """
+    from .extent import overlap_join
+
     cut = cut_at_stripes(left.select("vol_id", "seq", "addr", "blocks"))
-    over = overlap_join(left, right).groupBy("vol_id", "l_seq", "addr", "blocks").agg(F.lit(1))
+    over = overlap_join(left, covered(right).withColumn("seq", F.lit(0).cast("long"))).select("vol_id", "l_seq", "addr", "blocks")
     holes = cut_at_stripes(over).select(F.col("vol_id").alias("v"), F.col("l_seq").alias("s"), F.col("stripe").alias("t"), F.col("addr").alias("a"), F.col("blocks").alias("n"))
-    holes = holes.groupBy("v", "s", "t").agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("holes"))
-    rows = cut.join(holes, F.expr("vol_id = v and seq = s and stripe = t"), "left")
-    free = F.expr("""aggregate(coalesce(holes, cast(array() as array<struct<a:bigint,n:bigint>>)), struct(addr as at, cast(array() as array<struct<addr:bigint,blocks:bigint>>) as out),
-      (acc, h) -> struct(greatest(acc.at, h.a + h.n) as at, if(h.a > acc.at, concat(acc.out, array(struct(acc.at as addr, h.a - acc.at as blocks))), acc.out) as out),
-      acc -> if(acc.at < addr + blocks, concat(acc.out, array(struct(acc.at as addr, addr + blocks - acc.at as blocks))), acc.out))""")
-    parts = rows.select("vol_id", "seq", F.col("addr").alias("a0"), F.col("off").alias("o0"), F.explode(free).alias("p"))
-    parts = parts.select("vol_id", "seq", F.col("p.addr").alias("addr"), F.col("p.blocks").alias("blocks"), (F.col("o0") + F.col("p.addr") - F.col("a0")).alias("off"))
-    w = Window.partitionBy("vol_id", "seq").orderBy("addr")
-    new = F.coalesce(F.lag(F.col("addr") + F.col("blocks")).over(w) != F.col("addr"), F.lit(True))
-    parts = parts.withColumn("run", F.sum(new.cast("int")).over(w))
-    return parts.groupBy("vol_id", "seq", "run").agg(F.min("addr").alias("addr"), F.sum("blocks").alias("blocks"), F.min("off").alias("off")).drop("run")
+    # Between holes, in order of address: from the end of one to the start of the next.
+    edges = cut.select("vol_id", "seq", "stripe", "addr", F.lit(0).cast("long").alias("blocks"), F.lit(0).alias("kind"))
+    edges = edges.unionByName(holes.select(F.col("v").alias("vol_id"), F.col("s").alias("seq"), F.col("t").alias("stripe"), F.col("a").alias("addr"), F.col("n").alias("blocks"), F.lit(1).alias("kind")))
+    ends = cut.select("vol_id", "seq", "stripe", (F.col("addr") + F.col("blocks")).alias("addr"), F.lit(0).cast("long").alias("blocks"), F.lit(2).alias("kind"))
+    edges = edges.unionByName(ends)
+    w = Window.partitionBy("vol_id", "seq", "stripe").orderBy("addr", "kind")
+    free = edges.withColumn("from", F.lag(F.col("addr") + F.col("blocks")).over(w)).where("addr > from")
+    starts = left.select("vol_id", "seq", F.col("addr").alias("a0"))
+    parts = free.join(starts, ["vol_id", "seq"]).select("vol_id", "seq", F.col("from").alias("addr"), (F.col("addr") - F.col("from")).alias("blocks"), (F.col("from") - F.col("a0")).alias("off"))
+    return joined_runs(parts).select("vol_id", "seq", "addr", "blocks", "off")
 
 
 def image_to_changes(image: DataFrame, io_blocks: int) -> DataFrame:
@@ -126,11 +133,6 @@ def compaction_gain(before: DataFrame, after: DataFrame) -> DataFrame:
     return count(before, "in").join(count(after, "out"), "vol_id")
 
 
-def delete_ranges(runs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Runs of the given kinds by stripe, to be joined with blocks; never exploded to blocks."""
-    return runs.where(F.col("rec_type").isin(*kinds)).withColumn("stripe", F.explode(stripes(stripe=STRIPE)))
-
-
 def change_checksum_audit(changes: DataFrame, expected: str, payload: str = "payload") -> DataFrame:
     """Normal records: the stored payload's sum against the recorded one."""
     from ..functions.checksum import block_sum

@@ -7,12 +7,15 @@ Long extents (discards) are cut at stripes, never into blocks.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import scan_sorted
+
 STRIPE = 65_536  # blocks: 32 MiB
+CROWD, PART = 32_768, 256  # extents of a stripe beyond which it is swept in parts, and their blocks
 
 
 def stripes(addr: str = "addr", blocks: str = "blocks", stripe: int = STRIPE) -> Column:
@@ -28,10 +31,10 @@ def cut_at_stripes(df: DataFrame, stripe: int = STRIPE) -> DataFrame:
     return df.withColumns({"off": start - F.col("addr"), "blocks": end - start, "addr": start})
 
 
-def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Disjoint winners of one stripe: at each address the extent of largest seq."""
-    rows = sorted(zip(pdf["addr"].tolist(), pdf["blocks"].tolist(), pdf["seq"].tolist(), pdf["off"].tolist(), strict=True))
-    edges = sorted({a for a, n, _, _ in rows} | {a + n for a, n, _, _ in rows})
+def _sweep(rows: list[tuple]) -> list[list[int]]:
+    """Disjoint winners [addr, blocks, seq, off] of extents (addr, blocks, seq, off): at each address that of largest seq."""
+    rows = sorted(rows)
+    edges = sorted({r[0] for r in rows} | {r[0] + r[1] for r in rows})
     heap: list[tuple] = []
     out: list[list[int]] = []
     i = 0
@@ -49,35 +52,52 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
             out[-1][1] += until - at
         else:
             out.append([at, until - at, -s, o + at - a])
-    got = pd.DataFrame(out, columns=["addr", "blocks", "seq", "off"])
-    got.insert(0, "vol_id", pdf["vol_id"].iloc[0] if len(pdf) else 0)
-    return got
+    return out
+
+
+_RUN = "vol_id bigint, addr bigint, blocks bigint, seq bigint, off bigint"
+
+
+def _one_group() -> Callable[[tuple | None], list[tuple]]:
+    """Collects the extents of one (vol_id, part), whose number is bounded, and sweeps them at its end."""
+    held: list[tuple] = []
+
+    def rule(row: tuple | None) -> list[tuple]:
+        if row is not None:
+            held.append(row)
+            return []
+        return [(held[0][0], *run) for run in _sweep([r[2:] for r in held])]
+
+    return rule
 
 
-def latest_wins(df: DataFrame, slices: int = 1) -> DataFrame:
+def _floored(pieces: DataFrame, whole: int, by: list[str]) -> DataFrame:
+    """Pieces of parts of ``whole`` blocks, without those under a newer one that covers their part, with ``n`` pieces a part."""
+    seen = pieces.groupBy(*by).agg(F.max(F.when(F.col("blocks") == whole, F.col("seq"))).alias("floor"), F.count("*").alias("n"))
+    return pieces.join(seen, by).where("floor is null or seq >= floor").drop("floor")
+
+
+def latest_wins(df: DataFrame, crowd: int = CROWD, part: int = PART) -> DataFrame:
     """The surviving runs (vol_id, addr, blocks, seq, off) when the extent of largest ``seq`` wins each block.
 
     ``df`` has vol_id, addr, blocks, seq; ``off`` is a run's offset in its extent. Equal extents
-    are reduced to their newest before the shuffle; what lies under a newer extent that covers
-    its whole stripe goes first, and an extent alone in its stripe needs no sweep, so the long
-    middle of a discard never reaches Python; the other stripes are swept by volume and stripe.
-    With ``slices`` over 1 a stripe is swept by slices of the order first (latest-wins is
-    associative), which spreads a hot stripe over tasks. Runs are joined again across stripes.
+    are reduced to their newest before the shuffle, and what lies under a newer extent that
+    covers its whole stripe goes, both by partial sums. An extent alone in its stripe needs no
+    sweep, so the long middle of a discard never reaches Python. A stripe of more than
+    ``crowd`` extents is cut in parts of ``part`` blocks, where equal pieces are reduced
+    again: a part has at most part * (part + 1) / 2 different pieces, however hot it is. So
+    each group that is swept is bounded, by ``crowd`` or by that. Runs are joined again after.
     """
     newest = df.groupBy("vol_id", "addr", "blocks").agg(F.max("seq").alias("seq"))
-    own = Window.partitionBy("vol_id", "stripe")  # one shuffle serves the floor, the count and the sweep
-    floor = F.max(F.when(F.col("blocks") == STRIPE, F.col("seq"))).over(own)
-    cut = cut_at_stripes(newest).withColumn("floor", floor).where("floor is null or seq >= floor")
-    cut = cut.withColumn("n", F.count("*").over(own))
-    cut = cut.select("vol_id", "stripe", F.col("addr").cast("long"), F.col("blocks").cast("long"), F.col("seq").cast("long"), F.col("off").cast("long"), "n")
-    kind = "vol_id bigint, addr bigint, blocks bigint, seq bigint, off bigint"
-    alone = cut.where("n = 1").select(F.col("vol_id").cast("long"), "addr", "blocks", "seq", "off")
-    crowded = cut.where("n > 1").drop("n")
-    if slices > 1:
-        first = crowded.groupBy("vol_id", "stripe", F.pmod(F.col("seq"), F.lit(slices)).alias("s")).applyInPandas(_sweep, kind)
-        crowded = first.withColumn("stripe", F.expr(f"addr div {STRIPE}"))
-    won = alone.unionByName(crowded.groupBy("vol_id", "stripe").applyInPandas(_sweep, kind))
-    return joined_runs(won)
+    long = [F.col(c).cast("long").alias(c) for c in ("vol_id", "stripe", "addr", "blocks", "seq", "off")]
+    cut = _floored(cut_at_stripes(newest).select(*long), STRIPE, ["vol_id", "stripe"])
+    alone = cut.where("n = 1").select("vol_id", "addr", "blocks", "seq", "off")
+    few = cut.where(f"n > 1 and n <= {crowd}").select("vol_id", F.col("stripe").alias("part"), "addr", "blocks", "seq", "off")
+    hot = cut.where(f"n > {crowd}").select("vol_id", "addr", "blocks", "seq", F.col("off").alias("from"))
+    hot = cut_at_stripes(hot, part).groupBy("vol_id", F.col("stripe").alias("part"), "addr", "blocks").agg(F.max(F.struct("seq", (F.col("from") + F.col("off")).alias("off"))).alias("m"))
+    hot = _floored(hot.select("vol_id", "part", "addr", "blocks", "m.seq", "m.off"), part, ["vol_id", "part"]).drop("n")
+    crowded = few.unionByName(hot.withColumn("part", -1 - F.col("part")))  # names of parts below zero, apart from those of stripes
+    return joined_runs(alone.unionByName(scan_sorted(crowded, ["vol_id", "part"], [], _one_group, _RUN)))
 
 
 def joined_runs(won: DataFrame) -> DataFrame:
@@ -97,17 +117,26 @@ def cut_from_start(runs: DataFrame, n: int) -> DataFrame:
 
 
 def split_aligned(df: DataFrame, most: int) -> DataFrame:
-    """Extents cut to aligned powers of two of at most ``most`` blocks."""
-    step = "least(if(a = 0, 1L << 62, a & -a), 1L << cast(floor(log2(n)) as int), cast({m} as bigint))".format(m=most)
-    one = step.replace("a & -a", "(acc.a & -acc.a)").replace("(a = 0", "(acc.a = 0").replace("log2(n)", "log2(acc.n)")
-    # Two sizes grow and then shrink: at most 2 * 63 steps, plus n / most of full size.
-    steps = f"sequence(1, cast(130 + blocks div {most} as int))"
-    out = f"""aggregate({steps}, struct(addr as a, blocks as n, cast(array() as array<struct<addr:bigint,blocks:bigint>>) as out),
-      (acc, i) -> if(acc.n <= 0, acc, struct(acc.a + {one} as a, acc.n - {one} as n, concat(acc.out, array(struct(acc.a as addr, {one} as blocks))) as out)),
-      acc -> acc.out)"""
+    """Extents cut to aligned powers of two of at most ``most`` blocks.
+
+    Between an extent's ends lies one place of largest alignment. Before it the pieces are the
+    binary digits of the distance, rising; after it those of the rest, falling. Pieces beyond
+    ``most`` are given by stripe first and then cut, so no row holds a long list.
+    """
+    most = 1 << (most.bit_length() - 1)
+    step = max(most, STRIPE)
+    mid = "shiftleft(shiftright(addr + blocks, {0}), {0})".format("(length(bin(addr ^ (addr + blocks))) - 1)")
+    digits = "filter(sequence(0, 62), b -> shiftright({n}, b) & 1L = 1L)"
+    place = lambda first, n, keep: f"transform({digits.format(n=n)}, b -> struct({first} + ({n} & {keep}) as addr, shiftleft(1L, b) as blocks))"
+    rising = place("addr", "(mid - addr)", "(shiftleft(1L, b) - 1)")
+    falling = place("mid", "(addr + blocks - mid)", "~(shiftleft(1L, b + 1) - 1)")
     rest = [c for c in df.columns if c not in ("addr", "blocks")]
-    got = df.withColumn("p", F.explode(F.expr(out)))
-    return got.select(*rest, F.col("p.addr").alias("addr"), F.col("p.blocks").alias("blocks"))
+    got = df.where("blocks > 0").withColumns({"addr": F.col("addr").cast("long"), "blocks": F.col("blocks").cast("long")}).withColumn("mid", F.expr(mid))
+    got = got.select(*rest, F.explode(F.expr(f"concat({rising}, {falling})")).alias("p")).select(*rest, "p.addr", "p.blocks")
+    for size in (step, most):  # at most STRIPE rows come of one row at each step
+        start = F.explode(F.expr(f"sequence(addr, addr + blocks - 1, {size}L)"))
+        got = got.select(*rest, start.alias("addr"), F.least("blocks", F.lit(size).cast("long")).alias("blocks"))
+    return got
 
 
 def covered_blocks(df: DataFrame, by: list[str], ratio: int = 1) -> DataFrame:
@@ -120,13 +149,51 @@ def covered_blocks(df: DataFrame, by: list[str], ratio: int = 1) -> DataFrame:
     return cut.withColumn("new", new).groupBy(*by).agg(F.sum("new").alias("covered"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, stripe: int = STRIPE) -> DataFrame:
+def _leveled(df: DataFrame, seq: str, levels: list[int], above: bool) -> DataFrame:
+    """A row per extent, level and bin it touches: at its own level, or at each of ``levels`` (above: greater, else from its own on)."""
+    own = F.expr("2 * cast(ceil(log2(cast(blocks as double)) / 2) as int)")
+    rows = df.select("vol_id", "addr", "blocks", F.col("seq").alias(seq), own.alias("own"))
+    if levels:
+        wanted = F.filter(F.array(*map(F.lit, levels)), lambda v: v > F.col("own") if above else v >= F.col("own"))
+        rows = rows.withColumn("level", F.explode(wanted))
+    else:
+        rows = rows.withColumn("level", F.col("own"))
+    bins = F.expr("sequence(shiftright(addr, level), shiftright(addr + blocks - 1, level))")
+    return rows.withColumn("bin", F.explode(bins)).drop("own")
+
+
+def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of extents that share a block: (vol_id, l_seq, r_seq, addr, blocks of the overlap).
 
-    An equi-join on stripes; a pair is kept at the stripe where the overlap begins.
+    Extents have a level by length (powers of four) and touch at most two bins of that width.
+    A pair meets at the level of its longer extent, in the bin where the overlap begins, so
+    candidates are of like width: short extents aren't compared with all of a wide stripe.
+    The levels at hand, 32 at most, are looked up first.
     """
-    a = left.select("vol_id", F.col("addr").alias("la"), F.col("blocks").alias("ln"), F.col("seq").alias("l_seq"), F.explode(stripes(stripe=stripe)).alias("stripe"))
-    b = right.select(F.col("vol_id").alias("rv"), F.col("addr").alias("ra"), F.col("blocks").alias("rn"), F.col("seq").alias("r_seq"), F.explode(stripes(stripe=stripe)).alias("rs"))
-    start, end = F.greatest("la", "ra"), F.least(F.col("la") + F.col("ln"), F.col("ra") + F.col("rn"))
-    hit = a.join(b, (F.col("vol_id") == F.col("rv")) & (F.col("stripe") == F.col("rs")) & (start < end))
-    return hit.where(F.floor(start / stripe) == F.col("stripe")).select("vol_id", "l_seq", "r_seq", start.alias("addr"), (end - start).alias("blocks"))
+    long = [F.col(c).cast("long").alias(c) for c in ("vol_id", "addr", "blocks", "seq")]
+    left, right = left.where("blocks > 0").select(*long), right.where("blocks > 0").select(*long)
+
+    def levels(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in _leveled(df, "seq", [], False).select("level").distinct().collect())  # one number a level
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(F.col("vol_id").alias("rv"), F.col("addr").alias("ra"), F.col("blocks").alias("rn"), "r_seq", F.col("level").alias("rl"), F.col("bin").alias("rb"))
+        start, end = F.greatest("addr", "ra"), F.least(F.col("addr") + F.col("blocks"), F.col("ra") + F.col("rn"))
+        hit = a.join(b, (F.col("vol_id") == F.col("rv")) & (F.col("level") == F.col("rl")) & (F.col("bin") == F.col("rb")) & (start < end))
+        return hit.where(F.expr("shiftright(greatest(addr, ra), level) = bin")).select("vol_id", "l_seq", "r_seq", start.alias("addr"), (end - start).alias("blocks"))
+
+    ll, rl = levels(left), levels(right)
+    if not ll or not rl:
+        return meet(_leveled(left, "l_seq", [], False), _leveled(right, "r_seq", [], False))
+    longer_right = meet(_leveled(left, "l_seq", rl, False), _leveled(right, "r_seq", [], False))
+    longer_left = meet(_leveled(left, "l_seq", [], False), _leveled(right, "r_seq", ll, True))
+    return longer_right.unionByName(longer_left)
+
+
+def covered(df: DataFrame) -> DataFrame:
+    """The disjoint ranges (vol_id, stripe, addr, blocks) that extents cover, by stripe; touching ones are one."""
+    cut = cut_at_stripes(df.select("vol_id", "addr", "blocks").distinct()).select("vol_id", "stripe", "addr", (F.col("addr") + F.col("blocks")).alias("end"))
+    w = Window.partitionBy("vol_id", "stripe").orderBy("addr", "end")
+    new = F.coalesce(F.col("addr") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    isles = cut.withColumn("isle", F.sum(new.cast("int")).over(w)).groupBy("vol_id", "stripe", "isle").agg(F.min("addr").alias("addr"), F.max("end").alias("end"))
+    return isles.select("vol_id", "stripe", "addr", (F.col("end") - F.col("addr")).alias("blocks"))

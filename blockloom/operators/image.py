@@ -2,58 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .changes import block_content, change_stats, delete_ranges, winners
-from .extent import STRIPE
+from ..plans.stage import staged
+from .catalog import plan_restore
+from .changes import block_content, change_stats, winners
+from .extent import STRIPE, cut_at_stripes
 
 DISCARD_MODES = ("ignore", "passdown", "zero")
 
 
-def check_range(changes: DataFrame, size: int) -> DataFrame:
-    """Records beyond a device of ``size`` blocks; applying them is an error."""
-    return changes.where(F.col("addr") + F.col("blocks") > size)
+def in_range(changes: DataFrame, size: int) -> DataFrame:
+    """The changes; a record beyond a device of ``size`` blocks is an error when rows are read."""
+    over = F.col("addr") + F.col("blocks") > size
+    what = F.concat(F.lit("a record of volume "), F.col("vol_id").cast("string"), F.lit(" ends beyond the device: block "), (F.col("addr") + F.col("blocks")).cast("string"))
+    return changes.withColumn("addr", F.when(over, F.raise_error(what)).otherwise(F.col("addr")))
+
+
+def clip(changes: DataFrame, size: int) -> DataFrame:
+    """Records cut at a device's end; those beyond it go."""
+    return changes.where(F.col("addr") < size).withColumn("blocks", F.least(F.col("blocks"), size - F.col("addr")))
 
 
 def apply_runs(image: DataFrame, runs: DataFrame, discard: str = "ignore") -> DataFrame:
     """Disjoint runs (rec_type, token, off) laid over an image (vol_id, addr, content).
 
-    Only normal runs become blocks. Zeroed and, unless ignored, discarded ranges remove
-    base blocks by a join on stripes.
+    Only normal runs become blocks. Blocks of a stripe that no run touches pass through. In the
+    others the end of the last run before a block is a running maximum in order of address, as
+    runs are disjoint; a stripe has at most its blocks and as many runs, so groups are bounded.
     """
     if discard not in DISCARD_MODES:
         raise ValueError(f"discard must be one of {DISCARD_MODES}")
     gone = ("Normal", "Allzero") if discard == "ignore" else ("Normal", "Allzero", "Discard")
-    ranges = delete_ranges(runs, gone).select(F.col("vol_id").alias("v"), F.col("stripe").alias("s"), F.col("addr").alias("a"), F.col("blocks").alias("n"))
-    base = image.withColumn("stripe", F.floor(F.col("addr") / STRIPE))
-    same = (F.col("vol_id") == F.col("v")) & (F.col("stripe") == F.col("s")) & (F.col("addr") >= F.col("a")) & (F.col("addr") < F.col("a") + F.col("n"))
-    kept = base.join(ranges, same, "left_anti").select("vol_id", "addr", "content")
-    new = runs.where("rec_type = 'Normal'").withColumn("k", F.explode(F.expr("sequence(off, off + blocks - 1)")))
-    new = new.select("vol_id", (F.col("addr") + F.col("k") - F.col("off")).alias("addr"), block_content().alias("content"))
-    return kept.unionByName(new)
-
-
-def apply_changes(image: DataFrame, changes: DataFrame, discard: str = "ignore", clip: int | None = None) -> DataFrame:
-    """Changes applied in the order of ``seq``. With ``ignore``, discards take no part; ``clip`` cuts records at a device's end."""
+    ranges = cut_at_stripes(runs.where(F.col("rec_type").isin(*gone)).select("vol_id", "addr", "blocks"))
+    ranges = ranges.select("vol_id", "stripe", "addr", (F.col("addr") + F.col("blocks")).alias("end"))
+    touched = ranges.select(F.col("vol_id").alias("v"), F.col("stripe").alias("s")).distinct()
+    base = image.select("vol_id", "addr", "content", F.shiftright("addr", STRIPE.bit_length() - 1).alias("stripe"))
+    same = (F.col("vol_id") == F.col("v")) & (F.col("stripe") == F.col("s"))
+    apart = base.join(touched, same, "left_anti").select("vol_id", "addr", "content")
+    under = base.join(touched, same, "left_semi").select("vol_id", "stripe", "addr", F.lit(None).cast("long").alias("end"), "content", F.lit(1).alias("kind"))
+    both = under.unionByName(ranges.withColumns({"content": F.lit(None).cast("string"), "kind": F.lit(0)}))
+    w = Window.partitionBy("vol_id", "stripe").orderBy("addr", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    left = both.withColumn("covered", F.max("end").over(w)).where("kind = 1 and (covered is null or covered <= addr)").select("vol_id", "addr", "content")
+    new = cut_at_stripes(runs.where("rec_type = 'Normal'").select("vol_id", "addr", "blocks", "token", F.col("off").alias("from")))
+    new = new.withColumn("k", F.explode(F.expr("sequence(from + off, from + off + blocks - 1)")))
+    new = new.select("vol_id", (F.col("addr") + F.col("k") - F.col("from") - F.col("off")).alias("addr"), block_content().alias("content"))
+    return apart.unionByName(left).unionByName(new)
+
+
+def apply_changes(image: DataFrame, changes: DataFrame, discard: str = "ignore", size: int | None = None, cut: int | None = None) -> DataFrame:
+    """Changes applied in the order of ``seq``. With ``ignore``, discards take no part. Beyond ``size`` is an error; ``cut`` clips instead."""
     if discard == "ignore":
         changes = changes.where("rec_type <> 'Discard'")
-    if clip is not None:
-        changes = changes.where(F.col("addr") < clip).withColumn("blocks", F.least(F.col("blocks"), clip - F.col("addr")))
-    return apply_runs(image, winners(changes), discard)
+    if size is not None:
+        changes = in_range(changes, size)
+    return apply_runs(image, winners(changes if cut is None else clip(changes, cut)), discard)
+
+
+def _of_plan(changes: DataFrame, plan: DataFrame) -> DataFrame:
+    """The records of the change sets (gid) that each volume's planned diffs hold: those after its first and up to its last gid."""
+    span = plan.groupBy(F.col("vol_id").alias("v")).agg(F.min("b_b").alias("from_gid"), F.max("e_b").alias("to_gid"))
+    return changes.join(span, (F.col("vol_id") == F.col("v")) & (F.col("gid") > F.col("from_gid")) & (F.col("gid") <= F.col("to_gid"))).drop("v", "from_gid", "to_gid")
+
+
+def start_images(base: DataFrame, targets: DataFrame, cold: DataFrame | None) -> DataFrame:
+    """(vol_id, b_b, b_e, is_cold): the newest restored gid not after the target and newer than the base, else the base."""
+    own = base.join(targets.select("vol_id", "gid"), "vol_id").select("vol_id", "b_b", "b_e", "gid")
+    if cold is None:
+        return own.select("vol_id", "b_b", "b_e", F.lit(False).alias("is_cold"))
+    c = cold.select(F.col("vol_id").alias("v"), F.col("gid").alias("cold_gid")).distinct()
+    best = own.join(c, (F.col("vol_id") == F.col("v")) & (F.col("cold_gid") <= F.col("gid")) & (F.col("cold_gid") > F.col("b_b")), "left")
+    best = best.groupBy("vol_id", "b_b", "b_e").agg(F.max("cold_gid").alias("c"))
+    return best.select("vol_id", F.coalesce("c", "b_b").alias("b_b"), F.coalesce("c", "b_e").alias("b_e"), F.col("c").isNotNull().alias("is_cold"))
+
+
+def image_at(image: DataFrame, diffs: DataFrame, base: DataFrame, changes: DataFrame, targets: DataFrame, cold: DataFrame | None = None, clean: bool = False) -> DataFrame:
+    """A virtual full scan of each (vol_id, gid) of ``targets`` (one a volume) that the chain reaches exactly.
+
+    The start is the newest of ``cold`` (vol_id, gid, addr, content: restored images) that serves,
+    else ``image``. Discard and Allzero both read as zero. ``clean``: only clean snapshots count.
+    """
+    start = staged(start_images(base, targets, cold), "starts")  # a row a volume
+    plan = staged(plan_restore(diffs, start, targets, exact_clean=clean), "plan")  # a row a diff
+    here = start.join(targets.select("vol_id", "gid"), "vol_id").where("b_b = gid" + (" and b_b = b_e" if clean else "")).select("vol_id")
+    reached = plan.select("vol_id").distinct().unionByName(here)
+    own = start.join(reached, "vol_id", "left_semi").select(F.col("vol_id").alias("v"), F.col("b_b").alias("at"), "is_cold")
+    blocks = image.join(own.where("not is_cold"), F.col("vol_id") == F.col("v"), "left_semi").select("vol_id", "addr", "content")
+    if cold is not None:
+        blocks = blocks.unionByName(cold.join(own.where("is_cold"), (F.col("vol_id") == F.col("v")) & (F.col("gid") == F.col("at")), "left_semi").select("vol_id", "addr", "content"))
+    return apply_runs(blocks, staged(winners(_of_plan(changes, plan)), "runs"), "zero")
+
+
+def restore(image: DataFrame, diffs: DataFrame, base: DataFrame, changes: DataFrame, targets: DataFrame, cold: DataFrame | None = None) -> DataFrame:
+    """The images of clean snapshots, to be written as new versions: (vol_id, gid, addr, content)."""
+    got = image_at(image, diffs, base, changes, targets, cold, clean=True)
+    return got.join(targets.select("vol_id", "gid"), "vol_id").select("vol_id", "gid", "addr", "content")
 
 
-def image_at(image: DataFrame, changes: DataFrame) -> DataFrame:
-    """A virtual full scan: Discard and Allzero both read as zero."""
-    return apply_runs(image, winners(changes), "zero")
+def redo_counts(changes: DataFrame, mode: str, size: int | None = None) -> DataFrame:
+    """Blocks by kind that a redo writes on a device of ``size`` blocks, those that it ignores, and those clipped at the end."""
+    end = F.lit(size) if size is not None else F.col("addr") + F.col("blocks")
+    inside = F.greatest(F.lit(0), F.least(F.col("addr") + F.col("blocks"), end) - F.col("addr")).cast("long")
+    rows = changes.withColumn("out", F.col("blocks") - inside).withColumn("blocks", inside)
+    got = change_stats(rows, ["vol_id"]).select("vol_id", "normal_blocks", "allzero_blocks", "discard_blocks")
+    gone = rows.groupBy("vol_id").agg(F.sum("out").cast("long").alias("clipped_blocks"))
+    ignored = F.col("discard_blocks") if mode == "ignore" else F.lit(0).cast("long")
+    return got.withColumn("ignored_blocks", ignored).withColumn("discard_blocks", F.col("discard_blocks") - ignored).join(gone, "vol_id")
 
 
-def redo_counts(changes: DataFrame, mode: str) -> DataFrame:
-    """Blocks by kind that a redo writes, and those that it ignores."""
-    got = change_stats(changes, ["vol_id"]).select("vol_id", "normal_blocks", "allzero_blocks", "discard_blocks")
-    if mode == "ignore":
-        return got.withColumn("ignored_blocks", F.col("discard_blocks")).withColumn("discard_blocks", F.lit(0).cast("long"))
-    return got.withColumn("ignored_blocks", F.lit(0).cast("long"))
+def redo_io_counts(changes: DataFrame, mode: str, size: int) -> DataFrame:
+    """Records that a redo of a change set reads, and those that it writes: not beyond the device, nor ignored discards."""
+    done = F.col("addr") + F.col("blocks") <= size
+    done &= F.lit(True) if mode != "ignore" else F.col("rec_type") != "Discard"
+    return changes.groupBy("vol_id").agg(F.count("*").alias("n_in"), F.count_if(done).alias("n_out"), F.sum("blocks").cast("long").alias("blocks_in"), F.coalesce(F.sum(F.when(done, F.col("blocks"))), F.lit(0)).cast("long").alias("blocks_out"))
 
 
 def image_diff(a: DataFrame, b: DataFrame, size: int | None = None) -> DataFrame:
@@ -64,6 +126,11 @@ def image_diff(a: DataFrame, b: DataFrame, size: int | None = None) -> DataFrame
     return both.where(~F.col("content").eqNullSafe(F.col("b_content"))).select("addr", "content", "b_content")
 
 
+def image_diff_counts(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+    """(n_differ, n_checked) of two images up to the end of the shorter, ``size`` blocks."""
+    return image_diff(a, b, size).agg(F.count("*").alias("n_differ")).withColumn("n_checked", F.lit(size).cast("long"))
+
+
 def image_diff_mask(diff: DataFrame) -> DataFrame:
     """``_`` where a byte of the two contents agrees, ``X`` where it doesn't."""
     chars = lambda c: F.split(F.coalesce(F.col(c), F.lit("0")), "")
@@ -71,21 +138,37 @@ def image_diff_mask(diff: DataFrame) -> DataFrame:
     return diff.select("addr", F.array_join(mask, "").alias("mask"))
 
 
+def _chunk(bulk: int, begin: int = 0) -> Column:
+    return (F.floor((F.col("addr") - begin) / bulk) * bulk + begin).cast("long")
+
+
 def chunk_digest(image: DataFrame, chunk_blocks: int, begin: int = 0, end: int | None = None, by: list[str] | None = None) -> DataFrame:
     """sha256 of each chunk's blocks in order; chunks without blocks are all zero and absent."""
     by = by or []
     rows = image.where(F.col("addr") >= begin)
     rows = rows.where(F.col("addr") < end) if end is not None else rows
-    chunk = F.floor((F.col("addr") - begin) / chunk_blocks) * chunk_blocks + begin
-    got = rows.groupBy(*by, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("addr", "content"))).alias("b"))
+    got = rows.groupBy(*by, _chunk(chunk_blocks, begin).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("addr", "content"))).alias("b"))
     text = F.array_join(F.transform("b", lambda x: F.concat_ws("=", x["addr"].cast("string"), x["content"])), ",")
-    return got.select(*by, F.col("chunk").cast("long").alias("chunk"), F.sha2(text, 256).alias("digest"))
+    return got.select(*by, "chunk", F.sha2(text, 256).alias("digest"))
+
+
+FAN_IN = 4096
+
+
+def folded_digest(rows: DataFrame, by: list[str], position: str, levels: int = 3, fan_in: int = FAN_IN) -> DataFrame:
+    """One digest a group of digests at positions from 0: a tree of ``levels``, each node of at most ``fan_in``, so no row holds more."""
+    got = rows.select(*by, F.col(position).alias("p"), "digest")
+    for level in range(levels):
+        up = F.floor(F.col("p") / fan_in) if level < levels - 1 else F.lit(0)
+        got = got.groupBy(*by, up.cast("long").alias("q")).agg(F.array_sort(F.collect_list(F.struct("p", "digest"))).alias("d"))
+        got = got.select(*by, F.col("q").alias("p"), F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ","), 256).alias("digest"))
+    return got.select(*by, "digest")
 
 
 def image_digest(image: DataFrame, chunk_blocks: int, by: list[str]) -> DataFrame:
-    """One digest per image: sha256 over its chunk digests in order."""
-    d = chunk_digest(image, chunk_blocks, by=by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chunk", "digest"))).alias("d"))
-    return d.select(*by, F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ","), 256).alias("digest"))
+    """One digest per image: a tree of sha256 over its chunk digests in order."""
+    d = chunk_digest(image, chunk_blocks, by=by)
+    return folded_digest(d.withColumn("p", F.floor(F.col("chunk") / chunk_blocks)), by, "p")
 
 
 def differing_chunks(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
@@ -100,11 +183,19 @@ def hash_sync(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
     Digests meet first; payload is read only for chunks that differ.
     """
     chunks = differing_chunks(src, dst, bulk)
-    own = lambda df: df.withColumn("chunk", (F.floor(F.col("addr") / bulk) * bulk).cast("long")).join(chunks, "chunk", "left_semi")
+    own = lambda df: df.withColumn("chunk", _chunk(bulk)).join(chunks, "chunk", "left_semi")
     old = own(dst).select(F.col("addr").alias("old"))
     return own(src).join(old, F.col("addr") == F.col("old"), "full").select(F.coalesce("addr", "old").alias("addr"), "content")
 
 
+def sync_meta(snaps: DataFrame) -> DataFrame:
+    """The diff that a sync from one snapshot to another (vol_id, from_b, from_e, to_b, to_e) makes: mergeable unless it starts at a clean, restorable one."""
+    return snaps.select(
+        "vol_id", F.col("from_b").alias("b_b"), F.col("from_e").alias("b_e"), F.col("to_b").alias("e_b"), F.col("to_e").alias("e_e"),
+        (F.col("from_b") != F.col("from_e")).alias("is_mergeable"), F.lit(False).alias("is_comp_diff"),
+    )
+
+
 def hash_replicate(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
     """``hash_sync`` as a compared diff, mergeable."""
     return hash_sync(src, dst, bulk).withColumns({"is_comp_diff": F.lit(True), "is_mergeable": F.lit(True)})
@@ -121,17 +212,28 @@ def resync(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
     return patch(dst, hash_sync(src, dst, bulk))
 
 
-def full_copy(image: DataFrame, start_block: int = 0, bulk: int = 64) -> DataFrame:
-    """Chunks to send from a start or a resumed position on; all-zero chunks have no rows and are skipped."""
-    chunk = (F.floor(F.col("addr") / bulk) * bulk).cast("long")
-    return image.where(F.col("addr") >= start_block).groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n_blocks"))
+def copy_start(current: DataFrame, progress: DataFrame) -> DataFrame:
+    """Where a full copy goes on: (vol_id, start_block, resumed).
+
+    ``current``: vol_id, archive_uuid, gid_b, gid_e, size; ``progress``: the same but size, and
+    progress. A copy resumes only for the same archive and state, and within the size.
+    """
+    p = progress.select(F.col("vol_id").alias("v"), F.col("archive_uuid").alias("u"), F.col("gid_b").alias("b"), F.col("gid_e").alias("e"), "progress")
+    same = (F.col("vol_id") == F.col("v")) & (F.col("archive_uuid") == F.col("u")) & (F.col("gid_b") == F.col("b")) & (F.col("gid_e") == F.col("e")) & (F.col("progress") <= F.col("size"))
+    return current.join(p, same, "left").select("vol_id", F.coalesce("progress", F.lit(0).cast("long")).alias("start_block"), F.col("progress").isNotNull().alias("resumed"))
+
+
+def full_copy(image: DataFrame, starts: DataFrame, bulk: int = 64) -> DataFrame:
+    """Chunks (vol_id, chunk, n_blocks) to send from each volume's start on; all-zero chunks have no rows and are skipped."""
+    rows = image.join(starts.select("vol_id", "start_block"), "vol_id").where("addr >= start_block")
+    return rows.groupBy("vol_id", _chunk(bulk).alias("chunk")).agg(F.count("*").alias("n_blocks"))
 
 
 def grow_image(sizes: DataFrame, image: DataFrame, new_size: int) -> tuple[DataFrame, DataFrame]:
-    """A larger size, with nothing left beyond the old one; a smaller size is an error row."""
-    grown = sizes.withColumn("error", F.when(F.col("size") > new_size, "shrink")).withColumn("size", F.greatest("size", F.lit(new_size)))
-    old = sizes.select(F.col("size").alias("old_size"))
-    return grown, image.crossJoin(F.broadcast(old.limit(1))).where("addr < old_size").drop("old_size")
+    """Larger sizes (vol_id, size), and each volume's image with nothing left beyond its old size; a smaller size is an error row."""
+    grown = sizes.withColumn("error", F.when(F.col("size") > new_size, "shrink")).withColumn("size", F.greatest("size", F.lit(new_size).cast("long")))
+    old = sizes.select("vol_id", F.col("size").alias("old_size"))
+    return grown, image.join(old, "vol_id").where("addr < old_size").drop("old_size")
 
 
 def range_change_events(samples: DataFrame) -> DataFrame:
@@ -144,8 +246,7 @@ def bulk_checksum(image: DataFrame, bulk: int) -> DataFrame:
     """Additive sums of each bulk's blocks in order."""
     from ..functions.checksum import block_sum
 
-    chunk = (F.floor(F.col("addr") / bulk) * bulk).cast("long")
-    got = image.groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("addr", "content"))).alias("b"))
+    got = image.groupBy(_chunk(bulk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("addr", "content"))).alias("b"))
     text = F.array_join(F.transform("b", lambda x: x["content"]), "")
     return got.select("chunk", block_sum(F.encode(text, "UTF-8"), F.lit(0).cast("long")).alias("sum"))
 
@@ -158,7 +259,14 @@ def verify_image_recipe(image: DataFrame, recipe: DataFrame) -> DataFrame:
     return got.groupBy("vol_id", "ord").agg(F.bool_and(F.col("want").eqNullSafe(F.col("content"))).alias("ok"))
 
 
-def tree_digest(spark, path: str) -> DataFrame:
-    """sha256 of each file under a folder, names sorted by the reader of the result."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("digest"))
+def tree_digest(files: DataFrame, depth: int = 1) -> DataFrame:
+    """sha256 of each file (path, content) and of each folder, up to ``depth`` levels above the files: its entries' names and digests, in order of name."""
+    level = files.select("path", F.sha2("content", 256).alias("digest"))
+    out = level
+    for _ in range(depth):
+        split = level.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "digest")
+        at = F.row_number().over(Window.partitionBy("folder").orderBy("name")) - 1
+        own = split.select("folder", at.alias("p"), F.sha2(F.concat_ws("=", "name", "digest"), 256).alias("digest"))
+        level = folded_digest(own, ["folder"], "p").withColumnRenamed("folder", "path")
+        out = out.unionByName(level)
+    return out

@@ -47,6 +47,20 @@ def log_valid_prefix(packs: DataFrame, bad=None) -> DataFrame:
     return marked.withColumn("broken", upto).where("broken = 0").drop("broken")
 
 
+def shrink_packs(records: DataFrame, ok: str = "ok") -> DataFrame:
+    """Packs cut at their first bad record: (vol_id, pack_lsid, n_records, n_padding, total_io_size, next_lsid).
+
+    Records: vol_id, pack_lsid, rec_idx, blocks, is_padding, is_discard and the flag ``ok``.
+    Sizes count what stays; discards take no log space. A pack without a good record at its
+    head is left with none, and the next one begins where it did.
+    """
+    bad = records.groupBy("vol_id", "pack_lsid").agg(F.min(F.when(~F.col(ok), F.col("rec_idx"))).alias("cut"), F.count("*").alias("n"))
+    rows = records.join(bad, ["vol_id", "pack_lsid"]).withColumn("stays", F.col("rec_idx") < F.coalesce("cut", "n"))
+    space = F.when(F.col("stays") & ~F.col("is_discard"), F.col("blocks")).otherwise(0)
+    got = rows.groupBy("vol_id", "pack_lsid").agg(F.count_if("stays").alias("n_records"), F.count_if(F.col("stays") & F.col("is_padding")).alias("n_padding"), F.sum(space).cast("long").alias("total_io_size"))
+    return got.withColumn("next_lsid", F.when(F.col("n_records") > 0, F.col("pack_lsid") + 1 + F.col("total_io_size")).otherwise(F.col("pack_lsid")))
+
+
 def log_rebase(records: DataFrame, delta: int, begin: int, invalid_from: int, dev_blocks: int) -> DataFrame:
     """Lsids moved by ``delta``; packs before ``begin`` and from ``invalid_from`` on left out; beyond the device normal records become padding, discards go."""
     kept = records.where((F.col("pack_lsid") >= begin) & (F.col("pack_lsid") < invalid_from))

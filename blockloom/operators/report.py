@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import latest_state, restorable
+from ..plans.chain import applicable_chain
 from .ledger import ledger_bounds
 
 
 def archive_status(diffs: DataFrame, base: DataFrame) -> DataFrame:
-    """Base, latest gid, restorable snapshots (explicit and all), diffs and their size of each volume."""
-    count = lambda df, n: df.groupBy("vol_id").agg(F.count("*").alias(n))
+    """Base, latest gid, restorable snapshots (explicit and all), diffs and their size of each volume. The chain is walked once."""
     totals = diffs.groupBy("vol_id").agg(F.count("*").alias("n_diffs"), F.sum("data_size").cast("long").alias("total_size"))
-    got = base.select("vol_id", F.col("b_b").alias("base_gid")).join(latest_state(diffs, base).select("vol_id", F.col("gid_b").alias("latest_gid")), "vol_id")
-    got = got.join(totals, "vol_id", "left").join(count(restorable(diffs, base), "n_restorable"), "vol_id", "left").join(count(restorable(diffs, base, True), "n_clean"), "vol_id", "left")
-    return got.fillna(0, ["n_diffs", "total_size", "n_restorable", "n_clean"])
+    w = Window.partitionBy("vol_id").orderBy("pos")
+    chain = applicable_chain(diffs, base).withColumns({"explicit": ~F.coalesce(F.lead("is_mergeable").over(w), F.lit(False)), "clean": F.col("s_b") == F.col("s_e")})
+    walked = chain.groupBy("vol_id").agg(F.max_by("s_b", "pos").alias("latest_gid"), F.count_if(F.col("clean") & F.col("explicit")).alias("explicit"), F.count_if("clean").alias("clean"))
+    got = base.select("vol_id", F.col("b_b").alias("base_gid"), (~F.col("is_applying") & (F.col("b_b") == F.col("b_e"))).cast("long").alias("base_clean"))
+    got = got.join(walked, "vol_id", "left").join(totals, "vol_id", "left").fillna(0, ["n_diffs", "total_size", "explicit", "clean"])
+    return got.select(
+        "vol_id", "base_gid", F.coalesce("latest_gid", "base_gid").alias("latest_gid"), "n_diffs", "total_size",
+        (F.col("explicit") + F.col("base_clean")).alias("n_restorable"), (F.col("clean") + F.col("base_clean")).alias("n_clean"),
+    )
 
 
 def storage_status(ledger: DataFrame, log: DataFrame, capacity: int) -> DataFrame:

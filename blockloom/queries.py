@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .operators import catalog as cat
 from .operators import changes as chg
 from .operators import extent, image, ledger, log, policy, report
 from .plans.chain import applicable_chain
+from .plans.stage import staged
 from .sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,20 +36,26 @@ REC = "vol_id, ev, pack_lsid, lsid, next_lsid, addr, blocks, is_padding, is_disc
 DIFF = "vol_id, b_b, b_e, e_b, e_e, is_mergeable, is_comp_diff, data_size"
 _DIFF = DIFF.split(", ")
 
-#: The applicable chain with the snapshot after each diff.
-WALK = """WITH RECURSIVE ptr AS (
+
+
+def walk_sql(starts: str = "base_state") -> str:
+    """The applicable chain with the snapshot after each diff, from the snapshots (vol_id, b_b, b_e) of ``starts``."""
+    return f"""WITH RECURSIVE ptr AS (
   SELECT * FROM (
     SELECT p.g, d.*, row_number() OVER (PARTITION BY p.vol_id, p.g ORDER BY d.e_b DESC, d.b_b DESC, d.e_e, d.b_e) AS rn
-    FROM (SELECT vol_id, e_b AS g FROM meta_diff UNION SELECT vol_id, b_b FROM base_state) p
+    FROM (SELECT vol_id, e_b AS g FROM meta_diff UNION SELECT vol_id, b_b FROM {starts}) p
     JOIN meta_diff d ON d.vol_id = p.vol_id AND p.g < d.e_b
      AND ((NOT d.is_comp_diff AND d.b_b <= p.g) OR (d.is_comp_diff AND d.b_b = p.g))) t WHERE rn = 1),
 walk AS (
   SELECT CAST(1 AS bigint) AS pos, p.*, p.e_b AS s_b, CASE WHEN p.b_b = p.b_e AND p.e_b = p.e_e THEN greatest(p.e_b, b.b_e) ELSE p.e_e END AS s_e
-  FROM base_state b JOIN ptr p ON p.vol_id = b.vol_id AND p.g = b.b_b
+  FROM {starts} b JOIN ptr p ON p.vol_id = b.vol_id AND p.g = b.b_b
   UNION ALL
   SELECT w.pos + 1, p.*, p.e_b, CASE WHEN p.b_b = p.b_e AND p.e_b = p.e_e THEN greatest(p.e_b, w.s_e) ELSE p.e_e END
   FROM walk w JOIN ptr p ON p.vol_id = w.vol_id AND p.g = w.s_b)
 """
+
+
+WALK = walk_sql()
 #: The winner of each block, the newest record last.
 WIN = """WITH blk AS (
   SELECT *, addr + k AS block, row_number() OVER (PARTITION BY vol_id, addr + k ORDER BY {order} DESC) AS rn
@@ -59,11 +67,13 @@ SELECT vol_id, min(block) AS addr, count(*) AS blocks, min(k) AS "off", rec_type
 _SHOW = ["vol_id", "addr", "blocks", "off", "rec_type", "token"]
 
 
-def _volume_image(t: Inputs) -> DataFrame:
-    return t.image_a.where("addr < 4320").select((F.col("addr") % 4).alias("vol_id"), "addr", "content")
+_IMAGE = ", img AS (SELECT vol_id, addr, content FROM volume_image)"
 
 
-_IMAGE = ", img AS (SELECT addr % 4 AS vol_id, addr, content FROM image_a WHERE addr < 4320)"
+def sum_sql(text: str, salt: str = "0") -> str:
+    """The additive sum of an ASCII text: little-endian words of four characters, summed with a salt, negated, modulo 2**32."""
+    word = " + ".join(f"coalesce(ord(nullif(substring({text}, CAST(i AS int) + {k + 1}, 1), '')), 0) * {256**k}" for k in range(4))
+    return f"(4294967296 - (CAST(list_sum(list_transform(range(0, length({text}), 4), lambda i: {word})) AS bigint) + {salt}) % 4294967296) % 4294967296"
 
 
 def _ordered(t: Inputs) -> DataFrame:
@@ -92,10 +102,10 @@ def l4_log_invalid_ranges(t):
     return log.log_invalid_ranges(t.log_record_gappy)
 
 
-@query("""WITH q AS (SELECT vol_id, pack_lsid + ev % 2 AS lsid FROM log_record WHERE ev % 5 = 0)
+@query("""WITH q AS (SELECT vol_id, pack_lsid + ev % 2 AS lsid FROM log_record)
 SELECT vol_id, lsid, EXISTS (SELECT 1 FROM log_record_gappy g WHERE g.vol_id = q.vol_id AND g.pack_lsid = q.lsid) AS found FROM q""")
 def l5_log_lookup(t):
-    asked = t.log_record.where("ev % 5 = 0").select("vol_id", F.expr("pack_lsid + ev % 2").alias("lsid"))
+    asked = t.log_record.select("vol_id", F.expr("pack_lsid + ev % 2").alias("lsid"))
     return log.log_lookup(t.log_record_gappy, asked)
 
 
@@ -114,10 +124,10 @@ def l7_log_rebase(t):
 
 
 @query("""WITH f AS (SELECT vol_id, ev // 100 AS file_no, min(pack_lsid) AS begin_lsid, max(next_lsid) AS end_lsid FROM log_record_gappy GROUP BY ALL),
-g AS (SELECT *, lag(end_lsid) OVER (PARTITION BY vol_id ORDER BY file_no) AS prev_end FROM f)
-SELECT vol_id, file_no, prev_end, begin_lsid, 'lsid' AS reason FROM g WHERE prev_end <> begin_lsid""")
+g AS (SELECT *, lag(end_lsid) OVER w AS prev_end, lag(file_no // 7) OVER w AS prev_uuid FROM f WINDOW w AS (PARTITION BY vol_id ORDER BY file_no))
+SELECT vol_id, file_no, prev_end, begin_lsid, CASE WHEN prev_uuid <> file_no // 7 THEN 'uuid' ELSE 'lsid' END AS reason FROM g WHERE prev_end <> begin_lsid OR prev_uuid <> file_no // 7""")
 def l8_log_continuity(t):
-    files = t.log_record_gappy.groupBy("vol_id", F.expr("ev div 100").alias("file_no")).agg(F.lit("u").alias("uuid"), F.min("pack_lsid").alias("begin_lsid"), F.max("next_lsid").alias("end_lsid"))
+    files = t.log_record_gappy.groupBy("vol_id", F.expr("ev div 100").alias("file_no")).agg(F.min("pack_lsid").alias("begin_lsid"), F.max("next_lsid").alias("end_lsid")).withColumn("uuid", F.expr("file_no div 7"))
     return log.log_continuity(files)
 
 
@@ -146,7 +156,11 @@ def _with_bytes(df: DataFrame) -> DataFrame:
     return df.withColumn("payload", F.encode(F.expr("repeat(token, cast(blocks as int))"), "UTF-8"))
 
 
-@query()
+_DATA = "(SELECT *, repeat(token, CAST(blocks AS int)) AS payload FROM {}) r"
+
+
+@query(f"""SELECT vol_id, lsid, CASE WHEN ev % 101 <> 5 THEN actual ELSE 0 END AS expected, actual, ev % 101 <> 5 OR actual = 0 AS ok
+FROM (SELECT vol_id, lsid, ev, {sum_sql('payload', 'vol_id * 7')} AS actual FROM {_DATA.format('log_record')} WHERE NOT is_padding AND NOT is_discard) x""")
 def l3_log_checksum_audit(t):
     from .functions.checksum import block_sum
 
@@ -155,11 +169,23 @@ def l3_log_checksum_audit(t):
     return log.log_checksum_audit(rows, "checksum", salt="salt").select("vol_id", "lsid", F.col("checksum").alias("expected"), "actual", "ok")
 
 
-@query()
+@query(f"""SELECT vol_id, lsid, CAST(k AS bigint) AS k, {sum_sql('part')} AS sum FROM (
+  SELECT vol_id, lsid, k, substring(payload, CAST(k * 32 + 1 AS int), 32) AS part FROM (SELECT *, unnest(range((length(payload) + 31) // 32)) AS k FROM {_DATA.format('log_record')} WHERE NOT is_padding AND NOT is_discard) x) y""")
 def l12_log_block_checksums(t):
     return log.log_block_checksums(_with_bytes(t.log_record), 32)
 
 
+_PACKED = """SELECT vol_id, CAST((ord - 1) // 4 AS bigint) * 1000 AS pack_lsid, (ord - 1) % 4 AS rec_idx, blocks, is_padding, is_discard, ev % 9 <> 4 AS ok
+FROM (SELECT *, row_number() OVER (PARTITION BY vol_id ORDER BY lsid, ev) AS ord FROM log_record) x"""
+
+
+@query(f"""WITH p AS ({_PACKED}), k AS (SELECT p.*, rec_idx < coalesce(min(CASE WHEN NOT ok THEN rec_idx END) OVER (PARTITION BY vol_id, pack_lsid), 4) AS stays FROM p),
+g AS (SELECT vol_id, pack_lsid, count(*) FILTER (stays) AS n_records, count(*) FILTER (stays AND is_padding) AS n_padding, CAST(coalesce(sum(blocks) FILTER (stays AND NOT is_discard), 0) AS bigint) AS total_io_size FROM k GROUP BY 1, 2)
+SELECT *, CASE WHEN n_records > 0 THEN pack_lsid + 1 + total_io_size ELSE pack_lsid END AS next_lsid FROM g""")
+def l6_shrink_packs(t):
+    return log.shrink_packs(t.sql(_PACKED.replace("//", "div").replace("'", "'")))
+
+
 # Change sets
 
 
@@ -173,11 +199,11 @@ def c2_change_stats(t):
     return chg.change_stats(t.change_input, ["vol_id", "gid"])
 
 
-@query()
+@query(f"""SELECT vol_id, ev, {sum_sql('payload')} AS actual, ev % 7 <> 3 AS ok FROM {_DATA.format('change_input')} WHERE rec_type = 'Normal'""")
 def c3_change_checksum_audit(t):
     from .functions.checksum import block_sum
 
-    rows = _with_bytes(t.change_input).withColumn("checksum", block_sum(F.col("payload"), F.lit(0).cast("long")))
+    rows = _with_bytes(t.change_input).withColumn("checksum", block_sum(F.col("payload"), F.lit(0).cast("long")) + F.expr("if(ev % 7 = 3, 1, 0)"))
     return chg.change_checksum_audit(rows, "checksum").select("vol_id", "ev", "actual", "ok")
 
 
@@ -218,10 +244,10 @@ def c8_changes_minus(t):
 
 
 @query("""SELECT a.vol_id, a.ev AS l_seq, b.ev AS r_seq, greatest(a.addr, b.addr) AS addr, least(a.addr + a.blocks, b.addr + b.blocks) - greatest(a.addr, b.addr) AS blocks
-FROM change_input a JOIN change_input b ON a.vol_id = b.vol_id AND a.addr < b.addr + b.blocks AND b.addr < a.addr + a.blocks WHERE a.rec_type = 'Discard' AND b.ev % 3 = 0""")
+FROM change_input a JOIN change_input b ON a.vol_id = b.vol_id AND a.addr < b.addr + b.blocks AND b.addr < a.addr + a.blocks WHERE a.rec_type = 'Discard'""")
 def c9_overlap_join(t):
     own = t.change_input.withColumn("seq", F.col("ev"))
-    return extent.overlap_join(own.where("rec_type = 'Discard'"), own.where("ev % 3 = 0"))
+    return extent.overlap_join(own.where("rec_type = 'Discard'"), own)
 
 
 @query(WIN.format(order="ev", where="") + _RUNS.format(n=8))
@@ -229,14 +255,22 @@ def x1_compact_log(t):
     return chg.compact_log(t.log_record, 8).select(*_SHOW)
 
 
-@query()
+@query(WIN.replace("WITH blk", "WITH RECURSIVE blk").format(order="ev", where="") + """, isl AS (SELECT *, block - row_number() OVER (PARTITION BY vol_id, ev ORDER BY block) AS isl FROM win),
+run AS (SELECT vol_id, ev, min(block) AS addr, count(*) AS blocks, min(k) AS o, rec_type, token FROM isl GROUP BY vol_id, ev, isl, rec_type, token),
+s AS (
+  SELECT vol_id, ev, rec_type, token, addr - o AS start, addr AS a, blocks AS n, CAST(NULL AS bigint) AS addr, CAST(NULL AS bigint) AS size FROM run
+  UNION ALL
+  SELECT vol_id, ev, rec_type, token, start, a + w, n - w, a, w FROM (
+    SELECT *, CAST(least(CASE WHEN a = 0 THEN 64 ELSE a & -a END, CASE WHEN n >= 64 THEN 64 WHEN n >= 32 THEN 32 WHEN n >= 16 THEN 16 WHEN n >= 8 THEN 8 WHEN n >= 4 THEN 4 WHEN n >= 2 THEN 2 ELSE 1 END, 64) AS bigint) AS w
+    FROM s WHERE n > 0) x)
+SELECT vol_id, addr, size AS blocks, addr - start AS "off", rec_type, token FROM s WHERE size IS NOT NULL""")
 def x1_compact_log_aligned(t):
     return chg.compact_log(t.log_record, 64, "aligned").select(*_SHOW)
 
 
 @query(WIN.format(order="gid DESC, lsid", where="") + _RUNS.format(n=65535))
 def x2_merge_changes(t):
-    return chg.merge_changes(t.change_input, slices=2).select(*_SHOW)
+    return chg.merge_changes(t.change_input).select(*_SHOW)
 
 
 @query("""WITH d AS (SELECT vol_id, pos, CASE WHEN vol_id % 5 = 0 AND pos > 7 THEN 'b' ELSE 'a' END AS uuid FROM (SELECT vol_id, b_b AS pos FROM meta_diff) x)
@@ -280,55 +314,80 @@ def c15_compaction_gain(t):
 _WON = WIN.format(order="gid DESC, lsid", where="")
 
 
-@query(WIN.format(order="gid DESC, lsid", where="WHERE rec_type <> 'Discard'") + _IMAGE + """
+_LAID = """
 SELECT vol_id, addr, content FROM (SELECT coalesce(w.vol_id, i.vol_id) AS vol_id, coalesce(w.block, i.addr) AS addr,
   CASE WHEN w.block IS NULL THEN i.content WHEN w.rec_type = 'Normal' THEN concat(token, ':', k) END AS content
-FROM img i FULL JOIN win w ON w.vol_id = i.vol_id AND w.block = i.addr) x WHERE content IS NOT NULL""")
+FROM img i FULL JOIN win w ON w.vol_id = i.vol_id AND w.block = i.addr) x WHERE content IS NOT NULL"""
+
+
+@query(WIN.format(order="gid DESC, lsid", where="WHERE rec_type <> 'Discard'") + _IMAGE + _LAID)
 def d1_apply_changes(t):
-    return image.apply_changes(_volume_image(t), _ordered(t))
+    return image.apply_changes(t.volume_image, _ordered(t), size=1 << 20)
+
+
+_SCAN = _WON + _IMAGE + _LAID
+#: The gids that the catalogue's chain reaches: every fourth, where merged diffs end, and those after the last of these.
+_REACHED = "ok AS (SELECT vol_id, gid FROM restore_target WHERE gid >= 0 AND (gid % 4 = 0 OR gid > top - top % 4))"
+_AT = f"""WITH {_REACHED},
+blk AS (SELECT *, addr + k AS block, row_number() OVER (PARTITION BY vol_id, addr + k ORDER BY gid DESC, lsid DESC) AS rn
+  FROM (SELECT c.*, unnest(range(blocks)) AS k FROM change_input c JOIN ok ON ok.vol_id = c.vol_id AND c.gid <= ok.gid) x),
+win AS (SELECT * FROM blk WHERE rn = 1),
+img AS (SELECT * FROM volume_image WHERE vol_id IN (SELECT vol_id FROM ok)),
+scan AS ({_LAID})
+"""
 
 
-_SCAN = _WON + _IMAGE + """
-SELECT vol_id, addr, content FROM (SELECT coalesce(w.vol_id, i.vol_id) AS vol_id, coalesce(w.block, i.addr) AS addr,
-  CASE WHEN w.block IS NULL THEN i.content WHEN w.rec_type = 'Normal' THEN concat(token, ':', k) END AS content
-FROM img i FULL JOIN win w ON w.vol_id = i.vol_id AND w.block = i.addr) x WHERE content IS NOT NULL"""
+def _store(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The image at gid 0, the catalogue, its base and the records of the change sets."""
+    base = t.stored("restore_target").select("vol_id", F.lit(0).cast("long").alias("b_b"), F.lit(0).cast("long").alias("b_e"), F.lit(False).alias("is_applying"), F.lit(None).cast("long").alias("e_b"))
+    return t.volume_image, t.stored("change_meta"), base, t.stored("change_input").withColumn("seq", chg.order_key())
 
 
-@query(_SCAN)
+@query(_AT + "SELECT * FROM scan")
 def d2_image_at(t):
-    return image.image_at(_volume_image(t), _ordered(t))
+    return image.image_at(*_store(t), t.stored("restore_target"))
 
 
-@query(_SCAN.replace("FROM change_input ", "FROM change_input WHERE gid <= 3"))
+@query(_AT + "SELECT scan.vol_id, ok.gid, addr, content FROM scan JOIN ok ON ok.vol_id = scan.vol_id")
 def d3_restore(t):
-    return image.apply_changes(_volume_image(t), _ordered(t).where("gid <= 3"), "zero")
+    store, targets = _store(t), t.stored("restore_target")
+    fourth = targets.where("vol_id % 2 = 0").select("vol_id", F.lit(4).cast("long").alias("gid"))
+    newest = targets.where("vol_id % 4 = 0").select("vol_id", F.col("top").alias("gid"))
+    cold = staged(image.restore(*store, fourth).unionByName(image.restore(*store, newest)), "cold")
+    return image.restore(*store, targets, cold)
 
 
-@query("""SELECT vol_id, CAST(coalesce(sum(blocks) FILTER (rec_type = 'Normal'), 0) AS bigint) AS normal_blocks, CAST(coalesce(sum(blocks) FILTER (rec_type = 'Allzero'), 0) AS bigint) AS allzero_blocks,
-  CAST(0 AS bigint) AS discard_blocks, CAST(coalesce(sum(blocks) FILTER (rec_type = 'Discard'), 0) AS bigint) AS ignored_blocks FROM change_input GROUP BY vol_id""")
+@query("""SELECT vol_id, CAST(coalesce(sum(n) FILTER (rec_type = 'Normal'), 0) AS bigint) AS normal_blocks, CAST(coalesce(sum(n) FILTER (rec_type = 'Allzero'), 0) AS bigint) AS allzero_blocks,
+  CAST(0 AS bigint) AS discard_blocks, CAST(coalesce(sum(n) FILTER (rec_type = 'Discard'), 0) AS bigint) AS ignored_blocks, CAST(sum(blocks - n) AS bigint) AS clipped_blocks
+FROM (SELECT *, greatest(0, least(addr + blocks, 4000) - addr) AS n FROM change_input) x GROUP BY vol_id""")
 def d4_redo_counts(t):
-    return image.redo_counts(chg.log_to_changes(t.log_record), "ignore")
+    return image.redo_counts(chg.log_to_changes(t.log_record), "ignore", 4000)
 
 
 @query(_SCAN)
 def d4_redo_log(t):
     rows = chg.log_to_changes(t.log_record).withColumn("seq", F.col("ev").cast("long"))
-    return image.apply_changes(_volume_image(t), rows, "passdown")
+    return image.apply_changes(t.volume_image, rows, "passdown")
 
 
 @query(_SCAN.replace("FROM (SELECT *, unnest(range(blocks)) AS k FROM change_input ) t", "FROM (SELECT *, unnest(range(blocks)) AS k FROM change_input ) t WHERE addr + k < 4000"))
 def d5_redo_changes(t):
-    return image.apply_changes(_volume_image(t), _ordered(t), "zero", clip=4000)
+    return image.apply_changes(t.volume_image, _ordered(t), "zero", cut=4000)
+
 
+@query("""SELECT vol_id, count(*) AS n_in, count(*) FILTER (ok) AS n_out, CAST(sum(blocks) AS bigint) AS blocks_in, CAST(coalesce(sum(blocks) FILTER (ok), 0) AS bigint) AS blocks_out
+FROM (SELECT *, addr + blocks <= 4000 AND rec_type <> 'Discard' AS ok FROM change_input) x GROUP BY vol_id""")
+def d5_redo_io_counts(t):
+    return image.redo_io_counts(t.change_input, "ignore", 4000)
 
-_DIFFER = """WITH s AS (SELECT count(*) - count(*) % 100 AS n FROM lineitem),
+
+_DIFFER = """WITH s AS (SELECT max(l_orderkey) * 8 - 300 AS n FROM lineitem),
 d AS (SELECT coalesce(a.addr, b.addr) AS addr, a.content, b.content AS b_content FROM image_a a FULL JOIN image_b b ON a.addr = b.addr)
 """
 
 
 def _size(t):
-    n = t.spark.table("lineitem").count()
-    return n - n % 100
+    return t.spark.table("lineitem").agg(F.max("l_orderkey") * 8 - 300).first()[0]
 
 
 @query(_DIFFER + "SELECT * FROM d WHERE addr < (SELECT n FROM s) AND content IS DISTINCT FROM b_content")
@@ -336,7 +395,13 @@ def d6_image_diff(t):
     return image.image_diff(t.image_a, t.image_b, _size(t))
 
 
-@query()
+@query(_DIFFER + "SELECT count(*) AS n_differ, (SELECT n FROM s) AS n_checked FROM d WHERE addr < (SELECT n FROM s) AND content IS DISTINCT FROM b_content")
+def d6_image_diff_counts(t):
+    return image.image_diff_counts(t.image_a, t.image_b, _size(t))
+
+
+@query(_DIFFER + """SELECT addr, array_to_string(list_transform(range(1, greatest(length(x), length(y)) + 1), lambda i: CASE WHEN substring(x, CAST(i AS int), 1) = substring(y, CAST(i AS int), 1) THEN '_' ELSE 'X' END), '') AS mask
+FROM (SELECT addr, coalesce(content, '0') AS x, coalesce(b_content, '0') AS y FROM d WHERE addr < (SELECT n FROM s) AND content IS DISTINCT FROM b_content) z""")
 def d7_image_diff_mask(t):
     return image.image_diff_mask(image.image_diff(t.image_a, t.image_b, _size(t)))
 
@@ -349,11 +414,16 @@ def d8_chunk_digest(t):
     return image.chunk_digest(t.image_a, 64)
 
 
-@query("""WITH i AS (SELECT addr % 4 AS vol_id, addr, content FROM image_a),
-c AS (SELECT vol_id, addr // 64 * 64 AS chunk, sha256(string_agg(concat(addr, '=', content), ',' ORDER BY addr)) AS digest FROM i GROUP BY 1, 2)
-SELECT vol_id, sha256(string_agg(digest, ',' ORDER BY chunk)) AS digest FROM c GROUP BY vol_id""")
+def _folded(rows: str, by: str) -> str:
+    """SQL of three levels of digests of digests (by, p, digest)."""
+    for q in ("p // 4096", "p // 4096", "0"):
+        rows = f"SELECT {by}, q AS p, sha256(string_agg(digest, ',' ORDER BY p)) AS digest FROM (SELECT {by}, p, digest, {q} AS q FROM ({rows}) a) b GROUP BY {by}, q"
+    return rows
+
+
+@query(_AT + ", " + "fold AS (" + _folded("SELECT vol_id, addr // 64 AS p, sha256(string_agg(concat(addr, '=', content), ',' ORDER BY addr)) AS digest FROM scan GROUP BY 1, 2", "vol_id") + ") SELECT vol_id, digest FROM fold")
 def d9_image_digest(t):
-    return image.image_digest(t.image_a.withColumn("vol_id", F.col("addr") % 4), 64, ["vol_id"])
+    return image.image_digest(image.image_at(*_store(t), t.stored("restore_target")), 64, ["vol_id"])
 
 
 _SYNC = f"""WITH a AS ({_CHUNK.format('image_a')}), b AS ({_CHUNK.format('image_b')}),
@@ -367,14 +437,33 @@ def d10_hash_sync(t):
     return image.hash_sync(t.image_a, t.image_b, 64)
 
 
+_SNAPS = "SELECT b.vol_id, b.b_b AS from_b, b.b_e AS from_e, r.gid AS to_b, r.gid + r.vol_id % 2 AS to_e FROM base_state b JOIN remote_snap r ON r.vol_id = b.vol_id"
+
+
+@query(f"SELECT vol_id, from_b AS b_b, from_e AS b_e, to_b AS e_b, to_e AS e_e, from_b <> from_e AS is_mergeable, false AS is_comp_diff FROM ({_SNAPS}) s")
+def d10_sync_meta(t):
+    return image.sync_meta(t.sql(_SNAPS))
+
+
 @query(_SYNC % ", true AS is_comp_diff, true AS is_mergeable")
 def d11_hash_replicate(t):
     return image.hash_replicate(t.image_a, t.image_b, 64)
 
 
-@query("SELECT addr // 64 * 64 AS chunk, count(*) AS n_blocks FROM image_a WHERE addr >= 1000 GROUP BY 1")
+_COPY = "SELECT vol_id, 'u' AS archive_uuid, vol_id % 7 AS gid_b, vol_id % 7 AS gid_e, max(addr) + 1 AS size FROM volume_image GROUP BY vol_id"
+_DONE = "SELECT vol_id, CASE WHEN vol_id % 5 = 0 THEN 'x' ELSE 'u' END AS archive_uuid, vol_id % 6 AS gid_b, vol_id % 7 AS gid_e, max(addr) - 20 + vol_id % 40 AS progress FROM volume_image WHERE vol_id % 4 <> 3 GROUP BY vol_id"
+_START = f"""WITH c AS ({_COPY}), p AS ({_DONE}), st AS (SELECT c.vol_id, coalesce(p.progress, 0) AS start_block, p.vol_id IS NOT NULL AS resumed
+FROM c LEFT JOIN p ON p.vol_id = c.vol_id AND p.archive_uuid = c.archive_uuid AND p.gid_b = c.gid_b AND p.gid_e = c.gid_e AND p.progress <= c.size) """
+
+
+@query(_START + "SELECT * FROM st")
+def d12_copy_start(t):
+    return image.copy_start(t.sql(_COPY), t.sql(_DONE))
+
+
+@query(_START + "SELECT i.vol_id, addr // 64 * 64 AS chunk, count(*) AS n_blocks FROM volume_image i JOIN st ON st.vol_id = i.vol_id AND addr >= start_block GROUP BY 1, 2")
 def d12_full_copy(t):
-    return image.full_copy(t.image_a, 1000)
+    return image.full_copy(t.volume_image, image.copy_start(t.sql(_COPY), t.sql(_DONE)))
 
 
 @query("SELECT addr, content FROM image_a")
@@ -382,20 +471,43 @@ def d13_resync(t):
     return image.resync(t.image_a, t.image_b, 64)
 
 
-@query()
+@query(f"SELECT chunk, {sum_sql('body')} AS sum FROM (SELECT addr // 64 * 64 AS chunk, string_agg(content, '' ORDER BY addr) AS body FROM image_a GROUP BY 1) x")
 def d14_bulk_checksum(t):
     return image.bulk_checksum(t.image_a, 64)
 
 
-@query()
+@query(_WON + """, line AS (SELECT vol_id, ord, addr + k AS block, CASE WHEN csum <> 'Z' THEN concat(csum, ':', k) END AS want FROM (SELECT *, unnest(range(blocks)) AS k FROM io_recipe) x)
+SELECT l.vol_id, ord, bool_and(want IS NOT DISTINCT FROM CASE WHEN w.rec_type = 'Normal' THEN concat(w.token, ':', w.k) END) AS ok
+FROM line l LEFT JOIN win w ON w.vol_id = l.vol_id AND w.block = l.block GROUP BY l.vol_id, ord""")
 def d15_verify_image_recipe(t):
-    return image.verify_image_recipe(image.apply_changes(t.image_a.limit(0).withColumn("vol_id", F.lit(0).cast("long")).select("vol_id", "addr", "content"), _ordered(t), "zero"), t.io_recipe)
+    written = chg.winners(_ordered(t)).where("rec_type = 'Normal'").withColumn("k", F.explode(F.expr("sequence(off, off + blocks - 1)")))
+    blocks = written.select("vol_id", (F.col("addr") + F.col("k") - F.col("off")).alias("addr"), chg.block_content().alias("content"))
+    return image.verify_image_recipe(blocks, t.io_recipe)
 
 
-@query("SELECT addr, content FROM image_a WHERE addr < 2000")
+_SIZES = "SELECT vol_id, max(addr) - vol_id % 50 AS size FROM volume_image GROUP BY vol_id"
+
+
+@query(f"SELECT i.* FROM volume_image i JOIN ({_SIZES}) s ON s.vol_id = i.vol_id AND addr < size")
 def d16_grow_image(t):
-    sizes = t.spark.range(1).select(F.lit(2000).cast("long").alias("size"))
-    return image.grow_image(sizes, t.image_a, 100_000)[1].select("addr", "content")
+    return image.grow_image(t.sql(_SIZES), t.volume_image, 1 << 21)[1].select("vol_id", "addr", "content")
+
+
+@query(f"SELECT vol_id, greatest(size, 300) AS size, CASE WHEN size > 300 THEN 'shrink' END AS error FROM ({_SIZES}) s")
+def d16_grown_sizes(t):
+    return image.grow_image(t.sql(_SIZES), t.volume_image, 300)[0]
+
+
+_TREE = "SELECT concat('root/', o_custkey % 100, '/', o_orderkey) AS path, concat(o_custkey, ':', o_orderpriority) AS content FROM orders"
+_ENTRY = "sha256(concat(regexp_extract({0}, '([^/]*)$', 1), '=', digest)) AS digest, row_number() OVER (PARTITION BY regexp_extract({0}, '^(.*)/[^/]*$', 1) ORDER BY regexp_extract({0}, '([^/]*)$', 1)) - 1 AS p"
+
+
+@query(f"""WITH e AS (SELECT path, sha256(content) AS digest FROM ({_TREE}) x),
+f AS ({_folded("SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, " + _ENTRY.format('path') + " FROM e", 'path')}),
+r AS ({_folded("SELECT 'root' AS path, " + _ENTRY.format('path') + " FROM f", 'path')})
+SELECT path, digest FROM e UNION ALL SELECT path, digest FROM f UNION ALL SELECT path, digest FROM r""")
+def d18_tree_digest(t):
+    return image.tree_digest(t.sql(_TREE).withColumn("content", F.encode("content", "UTF-8")), depth=2)
 
 
 @query("""WITH s AS (SELECT vol_id AS range_id, lsid AS ts, CASE WHEN is_discard THEN 'd' WHEN is_padding THEN 'p' ELSE 'n' END AS digest FROM log_record),
@@ -429,11 +541,16 @@ def m3_can_merge(t):
 
 
 _HEAD = WALK + """, lagged AS (SELECT *, lag(is_comp_diff) OVER (PARTITION BY vol_id ORDER BY pos) AS pc FROM walk),
-head AS (SELECT * FROM lagged l WHERE NOT EXISTS (SELECT 1 FROM lagged x WHERE x.vol_id = l.vol_id AND x.pos <= l.pos AND x.pos > 1 AND (NOT x.is_mergeable OR x.is_comp_diff OR x.pc)))
+bad AS (SELECT vol_id, min(pos) AS stop FROM lagged WHERE pos > 1 AND (NOT is_mergeable OR is_comp_diff OR pc) GROUP BY vol_id),
+head AS (SELECT l.* FROM lagged l LEFT JOIN bad ON bad.vol_id = l.vol_id WHERE stop IS NULL OR l.pos < stop)
 """
 
 
-@query(_HEAD + "SELECT vol_id, arg_min(b_b, pos) AS b_b, arg_min(b_e, pos) AS b_e, arg_max(s_b, pos) AS e_b, arg_max(s_e, pos) AS e_e, arg_min(is_mergeable, pos) AS is_mergeable, arg_max(ts, pos) AS ts, count(*) AS n FROM head GROUP BY vol_id")
+@query(_HEAD.replace(WALK, WALK + """, mg AS (
+  SELECT vol_id, pos, b_b AS m_b, b_e AS m_be, is_mergeable AS m_ok, e_b AS m_eb, e_e AS m_ee FROM walk WHERE pos = 1
+  UNION ALL
+  SELECT w.vol_id, w.pos, m.m_b, m.m_be, m.m_ok, w.e_b, CASE WHEN w.b_b = w.b_e AND w.e_b = w.e_e THEN greatest(w.e_b, m.m_ee) ELSE w.e_e END FROM mg m JOIN walk w ON w.vol_id = m.vol_id AND w.pos = m.pos + 1)
+""") + ", top AS (SELECT vol_id, max(pos) AS pos, arg_max(ts, pos) AS ts FROM head GROUP BY vol_id) SELECT mg.vol_id, m_b AS b_b, m_be AS b_e, m_eb AS e_b, m_ee AS e_e, m_ok AS is_mergeable, top.ts, mg.pos AS n FROM mg JOIN top ON top.vol_id = mg.vol_id AND top.pos = mg.pos")
 def m3_merge_meta(t):
     return cat.merge_meta(cat.applicable_mergeable_chain(t.meta_diff, t.base_state))
 
@@ -443,11 +560,17 @@ def m4_contained_diffs(t):
     return cat.contained_diffs(t.meta_diff).select("vol_id", "b_b", "e_b")
 
 
-@query("""WITH d AS (SELECT vol_id, b_b, CASE WHEN vol_id % 7 = 3 AND b_b % 5 = 0 THEN b_b - 1 ELSE b_e END AS b_e, e_b, e_e FROM meta_diff)
-SELECT vol_id, CASE WHEN b_b > b_e OR e_b > e_e THEN 'snapshot' ELSE 'progress' END AS what FROM d WHERE b_b > b_e OR e_b > e_e OR b_b >= e_b OR b_e > e_e""")
+_BROKEN = """SELECT vol_id, b_b, CASE WHEN vol_id % 7 = 3 AND b_b % 5 = 0 THEN b_b - 1 ELSE b_e END AS b_e, e_b, e_e FROM meta_diff
+UNION ALL SELECT vol_id, b_b, b_e, e_b, e_e FROM meta_diff WHERE vol_id % 11 = 2 AND b_b % 4 = 1"""
+
+
+@query(f"""WITH d AS ({_BROKEN})
+SELECT vol_id, CASE WHEN b_b > b_e OR e_b > e_e THEN 'snapshot' ELSE 'progress' END AS what FROM d WHERE b_b > b_e OR e_b > e_e OR b_b >= e_b OR b_e > e_e
+UNION ALL SELECT vol_id, 'duplicate' FROM (SELECT DISTINCT vol_id, b_b, b_e, e_b, e_e FROM (SELECT *, count(*) OVER (PARTITION BY vol_id, b_b, b_e, e_b, e_e) AS n FROM d) x WHERE n > 1) y
+UNION ALL SELECT vol_id, 'state' FROM base_state WHERE is_applying AND vol_id % 20 = 0""")
 def m5_validate_catalog(t):
-    broken = t.meta_diff.withColumn("b_e", F.expr("case when vol_id % 7 = 3 and b_b % 5 = 0 then b_b - 1 else b_e end"))
-    return cat.validate_catalog(broken, t.base_state)
+    states = t.base_state.withColumn("e_b", F.expr("case when vol_id % 20 = 0 then b_b else e_b end"))
+    return cat.validate_catalog(t.sql(_BROKEN), states)
 
 
 @query("SELECT r.vol_id, r.gid, (SELECT count(*) FROM meta_diff d WHERE d.vol_id = r.vol_id AND d.b_b <= r.gid AND r.gid < d.e_b) AS n_diffs FROM remote_snap r")
@@ -476,6 +599,11 @@ def m8_applicable_chain(t):
     return cat.applicable_until(t.meta_diff, t.base_state, max_gid=12).select(*_CHL)
 
 
+@query(WALK + f", late AS (SELECT vol_id, min(pos) AS stop FROM walk WHERE ts > TIMESTAMP '1997-01-01' OR data_size > 400000 GROUP BY vol_id) SELECT {', '.join('w.' + c for c in _CHL)} FROM walk w LEFT JOIN late ON late.vol_id = w.vol_id WHERE stop IS NULL OR w.pos < stop")
+def m8_applicable_chain_until(t):
+    return cat.applicable_until(t.meta_diff, t.base_state, max_ts=datetime(1997, 1, 1), pred=F.col("data_size") <= 400_000).select(*_CHL)
+
+
 @query(_HEAD + f"SELECT {_CH} FROM head")
 def m9_applicable_mergeable_chain(t):
     return cat.applicable_mergeable_chain(t.meta_diff, t.base_state).select(*_CHL)
@@ -569,6 +697,11 @@ def m20_set_snapshot(t):
     return cat.set_snapshot(t.meta_diff, 8, True).select("vol_id", "b_b", "e_b", "is_mergeable")
 
 
+@query("SELECT vol_id, bool_or(b_b = 8) AS found FROM meta_diff GROUP BY vol_id")
+def m20_snapshot_found(t):
+    return cat.snapshot_found(t.meta_diff, 8)
+
+
 @query(f"SELECT {DIFF} FROM meta_diff WHERE b_b >= 4 AND b_b < 8")
 def m21_list_diffs(t):
     return cat.list_diffs(t.meta_diff, 4, 8).select(*_DIFF)
@@ -604,6 +737,12 @@ def m24_merge_range(t):
     return cat.merge_range(t.meta_diff, 5, 15).select("vol_id", "b_b", "e_b", "n")
 
 
+@query(_M10.replace("d.is_comp_diff, w.h,", "d.is_comp_diff, d.data_size, w.h,").replace("e_e, is_comp_diff, b_b AS h FROM f", "e_e, is_comp_diff, data_size, b_b AS h FROM f").replace("e_e, is_comp_diff, h FROM (", "e_e, is_comp_diff, data_size, h FROM (")
+       + _CUT.format("walk") + ", k AS (SELECT * FROM cut WHERE rk = 1 OR upto <= 900000) SELECT vol_id, arg_min(b_b, pos) AS b_b, arg_max(e_b, pos) AS e_b, count(*) AS n FROM k GROUP BY vol_id HAVING count(*) >= 2")
+def m24_merge_range_by_size(t):
+    return cat.merge_range(t.meta_diff, 5, max_size=900_000).select("vol_id", "b_b", "e_b", "n")
+
+
 @query(WALK + """, g AS (SELECT b.vol_id, coalesce(max(w.s_b), min(b.b_b)) AS gid_b, coalesce(arg_max(w.s_e, w.pos), min(b.b_e)) AS gid_e, count(w.pos) AS n_applied FROM base_state b LEFT JOIN walk w ON w.vol_id = b.vol_id AND w.s_b <= 12 GROUP BY b.vol_id)
 SELECT *, (SELECT count(*) FROM meta_diff d WHERE d.vol_id = g.vol_id AND d.e_b <= g.gid_b) AS n_expired FROM g""")
 def m25_apply_to_gid(t):
@@ -620,11 +759,14 @@ def _permanent(t):
 
 
 _WINDOW = f"""WITH {_PERM},
-r AS (SELECT l.*, p.perm_lsid, row_number() OVER w AS rn, first(l.lsid) OVER w AS lsid_b, first(l.gid) OVER w AS gid_b FROM lsid_gid l JOIN p ON p.vol_id = l.vol_id WINDOW w AS (PARTITION BY l.vol_id ORDER BY l.gid)),
-b AS (SELECT vol_id, min(rn) AS stop FROM r WHERE rn > 1 AND NOT ((rn = 2 OR is_mergeable AND lsid - lsid_b <= 200) AND lsid <= perm_lsid) GROUP BY vol_id),
+r AS (SELECT l.*, p.perm_lsid, row_number() OVER w AS rn, first(l.lsid) OVER w AS lsid_b, first(l.gid) OVER w AS gid_b, first(l.is_mergeable) OVER w AS is_mergeable_b, first(l.ts) OVER w AS ts_b,
+  lag(l.is_mergeable) OVER w AS end_before FROM lsid_gid l JOIN p ON p.vol_id = l.vol_id WINDOW w AS (PARTITION BY l.vol_id ORDER BY l.gid)),
+b AS (SELECT vol_id, min(rn) AS stop FROM r WHERE rn > 2 AND NOT (end_before AND lsid - lsid_b <= 200 AND lsid <= perm_lsid) GROUP BY vol_id),
 x AS (SELECT r.* FROM r LEFT JOIN b ON b.vol_id = r.vol_id WHERE rn > 1 AND (stop IS NULL OR rn < stop)),
-tw AS (SELECT vol_id, max(lsid) AS lsid, max(gid) AS gid, arg_max(is_mergeable, gid) AS is_mergeable, arg_max(ts, gid) AS ts, min(lsid_b) AS lsid_b, min(gid_b) AS gid_b, least(max(lsid), min(lsid_b) + 200) AS lsid_limit FROM x GROUP BY vol_id)
-"""
+e AS (SELECT vol_id, max(lsid) AS lsid, max(gid) AS gid, arg_max(is_mergeable, gid) AS is_mergeable, arg_max(ts, gid) AS ts, max(perm_lsid) AS perm_lsid, max(lsid_b) AS lsid_b, max(gid_b) AS gid_b,
+  bool_or(is_mergeable_b) AS is_mergeable_b, max(ts_b) AS ts_b, count(*) AS n FROM x GROUP BY vol_id),
+tw AS (SELECT * EXCLUDE (n), lsid_limit, perm_lsid < lsid_limit AS later FROM (SELECT *, CASE WHEN n = 1 AND gid = gid_b + 1 THEN lsid ELSE least(lsid, lsid_b + 200) END AS lsid_limit FROM e) y)
+""".replace("SELECT * EXCLUDE (n), lsid_limit, perm_lsid", "SELECT * EXCLUDE (n), perm_lsid")
 
 
 @query("""WITH s AS (SELECT *, coalesce(1 + (lsid - lag(lsid) OVER w) // 100, 0) AS step FROM lsid_gid WINDOW w AS (PARTITION BY vol_id ORDER BY lsid, gid))
@@ -638,20 +780,21 @@ def g2_transfer_window(t):
     return ledger.transfer_window(t.lsid_gid, 200, _permanent(t))
 
 
-@query(_WINDOW + "SELECT vol_id, gid_b AS b_b, CASE WHEN lsid_limit < lsid THEN gid_b + 1 ELSE gid END AS e_b, lsid_limit < lsid AS is_partial, is_mergeable, ts FROM tw")
+@query(_WINDOW + "SELECT vol_id, gid_b AS b_b, CASE WHEN lsid_limit < lsid THEN gid_b + 1 ELSE gid END AS e_b, lsid_limit < lsid AS is_partial, is_mergeable_b AS is_mergeable, ts FROM tw")
 def g3_transfer_meta(t):
     return ledger.transfer_meta(ledger.transfer_window(t.lsid_gid, 200, _permanent(t)))
 
 
-@query(_WINDOW + "SELECT l.vol_id, l.lsid, l.gid FROM lsid_gid l LEFT JOIN tw ON tw.vol_id = l.vol_id AND tw.lsid_limit >= tw.lsid WHERE tw.gid IS NULL OR l.gid > tw.gid")
+@query(_WINDOW + """, d AS (SELECT vol_id, lsid_limit AS lsid, CASE WHEN lsid_limit < lsid THEN gid_b + 1 ELSE gid END AS gid, lsid_limit < lsid OR is_mergeable AS is_mergeable, CASE WHEN lsid_limit < lsid THEN ts_b ELSE ts END AS ts FROM tw)
+SELECT * FROM d UNION ALL SELECT l.vol_id, l.lsid, l.gid, l.is_mergeable, l.ts FROM lsid_gid l LEFT JOIN d ON d.vol_id = l.vol_id WHERE d.vol_id IS NULL OR l.lsid > d.lsid OR (l.lsid = d.lsid AND l.gid > d.gid)""")
 def g4_finish_transfer(t):
-    return ledger.finish_transfer(t.lsid_gid, ledger.transfer_window(t.lsid_gid, 200, _permanent(t))).select("vol_id", "lsid", "gid")
+    return ledger.finish_transfer(t.lsid_gid, ledger.transfer_window(t.lsid_gid, 200, _permanent(t)))
 
 
-@query("""WITH e AS (SELECT vol_id, max(next_lsid) AS end_lsid FROM log_record GROUP BY vol_id), l AS (SELECT vol_id, min(lsid) AS lsid_b, count(*) - 1 AS waiting FROM lsid_gid GROUP BY vol_id)
-SELECT l.vol_id, waiting, waiting > 0 AS now, (end_lsid - lsid_b) * 512 // 1048576 AS remaining_mb FROM l JOIN e ON e.vol_id = l.vol_id""")
+@query("""WITH e AS (SELECT vol_id, max(next_lsid) + 9000 AS end_lsid FROM log_record GROUP BY vol_id), l AS (SELECT vol_id, min(lsid) AS lsid_b, count(*) - 1 AS waiting FROM lsid_gid GROUP BY vol_id)
+SELECT l.vol_id, waiting, waiting > 0 OR lsid_b < end_lsid AS now, CASE WHEN lsid_b < end_lsid THEN (end_lsid - lsid_b) * 512 // 1048576 + 1 ELSE 0 END AS remaining_mb FROM l JOIN e ON e.vol_id = l.vol_id""")
 def g5_transfer_backlog(t):
-    return ledger.transfer_backlog(t.lsid_gid, t.log_record.groupBy("vol_id").agg(F.max("next_lsid").alias("end_lsid")))
+    return ledger.transfer_backlog(t.lsid_gid, t.log_record.groupBy("vol_id").agg((F.max("next_lsid") + 9000).alias("end_lsid")))
 
 
 @query("SELECT vol_id, min(gid) AS gid_b, max(gid) AS gid_e, arg_max(lsid, gid) AS latest_lsid FROM lsid_gid GROUP BY vol_id")
@@ -662,70 +805,201 @@ def g6_ledger_bounds(t):
 # Policy
 
 
-def _restorable_ts(t):
+def _restorable_ts(t, every: bool = False):
     ts = applicable_chain(t.meta_diff, t.base_state).select("vol_id", "pos", "ts")
-    return cat.restorable(t.meta_diff, t.base_state).join(ts, ["vol_id", "pos"])
+    return cat.restorable(t.meta_diff, t.base_state, every).join(ts, ["vol_id", "pos"], "left")
+
+
+_RETAINED = """, rt AS (SELECT rs.vol_id, rs.pos, rs.gid, w.ts, row_number() OVER (PARTITION BY rs.vol_id ORDER BY rs.pos) AS rk FROM rs LEFT JOIN walk w ON w.vol_id = rs.vol_id AND w.pos = rs.pos WHERE rs.gid = rs.e{}),
+nw AS (SELECT vol_id, min(pos) AS stop FROM rt WHERE rk > 1 AND ts > TIMESTAMP '1996-01-01' GROUP BY vol_id),
+kept AS (SELECT rt.vol_id, arg_max(rt.gid, rt.pos) AS gid FROM rt LEFT JOIN nw ON nw.vol_id = rt.vol_id WHERE rk > 1 AND (stop IS NULL OR rt.pos < stop) GROUP BY rt.vol_id)
+"""
 
 
-@query(_REST + """, rt AS (SELECT rs.vol_id, rs.pos, rs.gid, w.ts, row_number() OVER (PARTITION BY rs.vol_id ORDER BY rs.pos) AS rk FROM rs JOIN walk w ON w.vol_id = rs.vol_id AND w.pos = rs.pos WHERE rs.gid = rs.e AND rs.explicit),
-nw AS (SELECT vol_id, min(pos) AS stop FROM rt WHERE rk > 1 AND ts > TIMESTAMP '1996-01-01' GROUP BY vol_id)
-SELECT rt.vol_id, arg_max(rt.gid, rt.pos) AS gid FROM rt LEFT JOIN nw ON nw.vol_id = rt.vol_id WHERE rk > 1 AND (stop IS NULL OR rt.pos < stop) GROUP BY rt.vol_id""")
+@query(_REST + _RETAINED.format(" AND (rs.explicit OR rs.pos = 0)") + "SELECT * FROM kept")
 def w1_retention_target(t):
     return policy.retention_target(_restorable_ts(t), "1996-01-01 00:00:00")
 
 
-@query()
-def w2_best_merge_range(t):
+#: The scan of each volume's chain for merge ranges, a step a row: the run that is open and the best one closed.
+_RUNS_SCAN = """, scan AS (
+  SELECT DISTINCT vol_id, CAST(0 AS bigint) AS pos, CAST(NULL AS bigint) AS first, CAST(NULL AS bigint) AS last, CAST(0 AS bigint) AS total, CAST(0 AS bigint) AS n,
+    CAST(NULL AS bigint) AS avg_, CAST(NULL AS bigint) AS b_, CAST(NULL AS bigint) AS e_, CAST(NULL AS bigint) AS n_ FROM walk
+  UNION ALL
+  SELECT vol_id, pos, CASE WHEN ok THEN first WHEN can THEN b_b END, CASE WHEN ok OR can THEN e_b END, CASE WHEN ok THEN t WHEN can THEN data_size ELSE 0 END, CASE WHEN ok THEN n + 1 WHEN can THEN 1 ELSE 0 END,
+    CASE WHEN better THEN t // nullif(n, 0) ELSE avg_ END, CASE WHEN better THEN first ELSE b_ END, CASE WHEN better THEN last ELSE e_ END, CASE WHEN better THEN n ELSE n_ END
+  FROM (SELECT *, first IS NOT NULL AND NOT ok AND n >= 2 AND (avg_ IS NULL OR t // nullif(n, 0) < avg_) AS better
+    FROM (SELECT *, first IS NOT NULL AND is_mergeable AND can AND NOT coalesce(p > first AND p < e_b, false) AND t <= 600000 AND n <= 10 AS ok
+      FROM (SELECT w.vol_id, w.pos, w.b_b, w.e_b, w.is_mergeable, w.data_size, s.first, s.last, s.n, s.avg_, s.b_, s.e_, s.n_, r.gid AS p, s.total + w.data_size AS t, NOT w.is_comp_diff AND w.data_size <= 600000 AS can
+        FROM scan s JOIN walk w ON w.vol_id = s.vol_id AND w.pos = s.pos + 1 LEFT JOIN remote_snap r ON r.vol_id = w.vol_id) a) b) c),
+best AS (SELECT vol_id, b_ AS gid_b, e_ AS gid_e, n_ AS n, avg_ AS average FROM (SELECT *, row_number() OVER (PARTITION BY vol_id ORDER BY pos DESC) AS rk FROM scan) x WHERE rk = 1 AND b_ IS NOT NULL)
+"""
+
+
+def _ranges(t):
     return policy.best_merge_range(applicable_chain(t.meta_diff, t.base_state), t.remote_snap, 600_000, 10)
 
 
-_SENT = WALK + ", fr AS (SELECT w.* FROM walk w JOIN remote_snap r ON r.vol_id = w.vol_id WHERE w.b_b >= r.gid) "
+@query(WALK + _RUNS_SCAN + "SELECT * FROM best")
+def w2_best_merge_range(t):
+    return _ranges(t)
+
+
+_STOP = """, sd AS (SELECT w.vol_id, w.pos, w.e_b, w.data_size, lead(w.b_b) OVER (PARTITION BY w.vol_id ORDER BY w.pos) > r.gid - 12 AS past FROM walk w JOIN remote_snap r ON r.vol_id = w.vol_id),
+sb AS (SELECT vol_id, min(pos) AS begin FROM sd WHERE past GROUP BY vol_id),
+sc AS (SELECT sd.*, begin, sum(data_size) OVER (PARTITION BY sd.vol_id ORDER BY pos) AS upto FROM sd JOIN sb ON sb.vol_id = sd.vol_id AND pos >= begin),
+se AS (SELECT vol_id, begin, coalesce(min(pos) FILTER (upto > 500000), max(pos)) AS last FROM sc GROUP BY vol_id, begin),
+stop AS (SELECT se.vol_id, sc.e_b AS stop_gid FROM se JOIN sc ON sc.vol_id = se.vol_id AND sc.pos = CASE WHEN last = se.begin THEN last + 1 ELSE last END)
+"""
+
 
+def _behind(t):
+    return t.remote_snap.withColumn("gid", F.col("gid") - 12)
 
-@query(_SENT + _CUT.format("fr") + "SELECT vol_id, max(s_b) AS stop_gid FROM cut WHERE rk = 1 OR upto <= 500000 GROUP BY vol_id")
+
+@query(WALK + _STOP + "SELECT * FROM stop")
 def w3_replication_target(t):
-    return policy.replication_target(applicable_chain(t.meta_diff, t.base_state), t.remote_snap, 500_000)
+    return policy.replication_target(applicable_chain(t.meta_diff, t.base_state), _behind(t), 500_000)
 
 
-def _pending(t):
-    return t.meta_diff.where("e_b <= 20").groupBy("vol_id").agg(F.sum("data_size").cast("long").alias("size"))
+_NOW = "1996-06-01 00:00:00"
+_DUE = "(l.ts IS NULL OR epoch(TIMESTAMP '1996-06-01') - epoch(l.ts) >= {})"
+_APPLY = _RETAINED.format("") + f""", ap AS (SELECT CAST(1 AS int) AS priority, vol_id, e_b AS gid, CAST(0 AS bigint) AS size FROM base_state WHERE is_applying
+UNION ALL SELECT 2, k.vol_id, k.gid, CAST(coalesce((SELECT sum(data_size) FROM meta_diff d WHERE d.vol_id = k.vol_id AND d.b_b < k.gid), 0) AS bigint) FROM kept k LEFT JOIN last_action l ON l.vol_id = k.vol_id WHERE {_DUE.format(8_000_000)})
+"""
 
 
-_APPLY = "pe AS (SELECT vol_id, CAST(sum(data_size) AS bigint) AS size FROM meta_diff WHERE e_b <= 20 GROUP BY vol_id), ca AS (SELECT b.vol_id, is_applying, size, CAST(row_number() OVER (ORDER BY is_applying DESC, size DESC NULLS LAST, b.vol_id) AS int) AS rank FROM base_state b LEFT JOIN pe ON pe.vol_id = b.vol_id WHERE is_applying OR size > 0)"
+def _applies(t):
+    kept = policy.retention_target(_restorable_ts(t, True), "1996-01-01 00:00:00")
+    return policy.apply_candidates(t.base_state, kept, t.meta_diff, t.last_action, _NOW, 8_000_000)
 
 
-@query(f"WITH {_APPLY} SELECT * FROM ca")
+@query(_REST + _APPLY + "SELECT * FROM ap")
 def w4_apply_candidates(t):
-    return policy.apply_candidates(t.base_state, _pending(t))
+    return _applies(t)
 
 
-@query("WITH n AS (SELECT vol_id, count(*) AS n_diffs FROM meta_diff GROUP BY vol_id HAVING count(*) >= 20) SELECT vol_id, n_diffs, CAST(row_number() OVER (ORDER BY n_diffs DESC, vol_id) AS int) AS rank FROM n")
+_MERGE = f"""nd AS (SELECT vol_id, count(*) AS n_diffs FROM meta_diff GROUP BY vol_id),
+mc AS (SELECT CAST(3 AS int) AS priority, vol_id, n_diffs FROM nd WHERE n_diffs >= 20 UNION ALL SELECT 5, nd.vol_id, n_diffs FROM nd LEFT JOIN last_action l ON l.vol_id = nd.vol_id WHERE {_DUE.format(9_000_000)})
+"""
+
+
+def _merges(t):
+    return policy.merge_candidates(cat.diff_totals(t.meta_diff), t.last_action, _NOW, 20, 9_000_000)
+
+
+@query(f"WITH {_MERGE} SELECT * FROM mc")
 def w5_merge_candidates(t):
-    return policy.merge_candidates(cat.diff_totals(t.meta_diff), 20)
+    return _merges(t)
+
+
+_SERVERS = "SELECT DISTINCT dst_id, dst_id <> 'a2' AS enabled, CASE WHEN dst_id = 'a0' THEN 7000000 ELSE 10000000 END AS interval FROM remote_snap"
+_ACTIVE = "SELECT vol_id, 'source' AS node FROM base_state WHERE vol_id % 13 <> 5 UNION ALL SELECT vol_id, dst_id FROM remote_snap WHERE vol_id % 17 <> 3"
+_SENT_AT = "SELECT l.vol_id, r.dst_id, l.ts FROM last_action l JOIN remote_snap r ON r.vol_id = l.vol_id"
+_REPL = f""", la AS ({_LATEST}), sv AS ({_SERVERS}), ac AS ({_ACTIVE}), ld AS ({_SENT_AT}),
+rc AS (SELECT la.vol_id, r.dst_id, la.gid_b AS gid, r.gid AS dest_gid, ld.ts AS last FROM la JOIN remote_snap r ON r.vol_id = la.vol_id JOIN sv ON sv.dst_id = r.dst_id AND sv.enabled
+  LEFT JOIN ld ON ld.vol_id = la.vol_id AND ld.dst_id = r.dst_id
+  WHERE la.vol_id % 19 <> 7 AND la.gid_b <> r.gid AND la.vol_id IN (SELECT vol_id FROM ac WHERE node = 'source') AND EXISTS (SELECT 1 FROM ac WHERE ac.vol_id = la.vol_id AND ac.node = r.dst_id)
+  AND (ld.ts IS NULL OR epoch(TIMESTAMP '1996-06-01') - epoch(ld.ts) >= sv.interval))
+"""
 
 
-_REPL = WALK + f", la AS ({_LATEST}) SELECT la.vol_id, r.dst_id, la.gid_b AS gid, r.gid AS dest_gid, CAST(row_number() OVER (ORDER BY r.ts, la.vol_id, r.dst_id) AS int) AS rank FROM la JOIN remote_snap r ON r.vol_id = la.vol_id WHERE la.gid_b <> r.gid"
+def _replications(t):
+    disabled = t.base_state.where("vol_id % 19 = 7").select("vol_id")
+    return policy.replication_candidates(cat.latest_state(t.meta_diff, t.base_state), t.remote_snap, t.sql(_SERVERS), t.sql(_ACTIVE), t.sql(_SENT_AT), _NOW, disabled)
 
 
-@query(_REPL)
+@query(WALK + _REPL + "SELECT * FROM rc")
 def w6_replication_candidates(t):
-    return policy.replication_candidates(cat.latest_state(t.meta_diff, t.base_state), t.remote_snap)
+    return _replications(t)
 
 
-@query(f"WITH {_APPLY} SELECT CAST(CASE WHEN is_applying THEN 1 ELSE 2 END AS int) AS priority, 'apply' AS task, vol_id, rank FROM ca ORDER BY priority, rank, vol_id LIMIT 1")
+_STEPS = """, t1 AS (SELECT 1 AS priority, 'apply' AS task, vol_id, NULL AS dst_id, NULL AS gid_b, gid AS gid_e FROM ap WHERE priority = 1 ORDER BY vol_id LIMIT 1),
+t2 AS (SELECT 2, 'apply', vol_id, NULL, NULL, gid FROM ap WHERE priority = 2 ORDER BY size DESC, vol_id DESC LIMIT 1),
+m3 AS (SELECT vol_id FROM mc WHERE priority = 3 ORDER BY n_diffs DESC, vol_id LIMIT 1), t3 AS (SELECT 3, 'merge', m3.vol_id, NULL, b.gid_b, b.gid_e FROM m3 JOIN best b ON b.vol_id = m3.vol_id),
+r4 AS (SELECT vol_id, dst_id FROM rc ORDER BY last NULLS FIRST, vol_id, dst_id LIMIT 1), t4 AS (SELECT 4, 'replicate', r4.vol_id, r4.dst_id, NULL, stop_gid FROM r4 LEFT JOIN stop ON stop.vol_id = r4.vol_id),
+m5 AS (SELECT vol_id FROM mc WHERE priority = 5 ORDER BY n_diffs DESC, vol_id LIMIT 1), t5 AS (SELECT 5, 'merge', m5.vol_id, NULL, b.gid_b, b.gid_e FROM m5 JOIN best b ON b.vol_id = m5.vol_id),
+tasks AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4 UNION ALL SELECT * FROM t5)
+SELECT CAST(priority AS int) AS priority, task, vol_id, CAST(dst_id AS varchar) AS dst_id, CAST(gid_b AS bigint) AS gid_b, CAST(gid_e AS bigint) AS gid_e FROM tasks WHERE priority > {} ORDER BY priority LIMIT 1"""
+_TASK = _REST + _APPLY + _RUNS_SCAN + _STOP + _REPL + ", " + _MERGE + _STEPS
+
+
+def _next(t, applies=None, merges=None, replications=None):
+    """The next task when the steps that are given as empty have nothing to do."""
+    stop = policy.replication_target(applicable_chain(t.meta_diff, t.base_state), _behind(t), 500_000)
+    every = (_applies(t) if applies is None else applies, _merges(t) if merges is None else merges, _ranges(t), _replications(t) if replications is None else replications, stop)
+    return policy.next_task(*every)
+
+
+@query(_TASK.format(0))
 def w7_next_task(t):
-    merges = policy.merge_candidates(cat.diff_totals(t.meta_diff), 20)
-    return policy.next_task(policy.apply_candidates(t.base_state, _pending(t)), merges, policy.replication_candidates(cat.latest_state(t.meta_diff, t.base_state), t.remote_snap))
+    return _next(t)
+
+
+@query(_TASK.format(1))
+def w7_next_task_none_interrupted(t):
+    return _next(t, applies=_applies(t).where("priority = 2"))
 
 
-@query(WALK + f", la AS ({_LATEST}), o AS (SELECT vol_id, min(b_b) AS oldest FROM meta_diff GROUP BY vol_id) SELECT la.vol_id, CASE WHEN la.gid_b <= r.gid THEN 'none' WHEN la.gid_b - r.gid > 3 OR o.oldest > r.gid THEN 'hash' ELSE 'diff' END AS mode FROM la JOIN remote_snap r ON r.vol_id = la.vol_id LEFT JOIN o ON o.vol_id = la.vol_id")
+@query(_TASK.format(2))
+def w7_next_task_none_to_apply(t):
+    return _next(t, applies=_applies(t).where("false"))
+
+
+@query(_TASK.format(3))
+def w7_next_task_few_diffs(t):
+    return _next(t, applies=_applies(t).where("false"), merges=_merges(t).where("priority = 5"))
+
+
+@query(_TASK.format(4))
+def w7_next_task_by_interval(t):
+    return _next(t, applies=_applies(t).where("false"), merges=_merges(t).where("priority = 5"), replications=_replications(t).where("false"))
+
+
+_DEST = "SELECT vol_id, CAST(gid - 10 + vol_id % 12 - CASE WHEN vol_id % 8 = 5 THEN 10000 ELSE 0 END AS bigint) AS gid FROM remote_snap"
+_MODE = """WITH RECURSIVE dest AS (SELECT vol_id, gid AS b_b, gid AS b_e FROM (""" + _DEST + """) d),
+la AS (""" + walk_sql() + _LATEST + """),
+""" + walk_sql("dest").removeprefix("WITH RECURSIVE ") + """, way AS (SELECT w.vol_id, max(s_b) AS last, sum(data_size) AS total, arg_min(w.b_b, pos) AS first_b FROM walk w JOIN la ON la.vol_id = w.vol_id AND w.s_b <= la.gid_b GROUP BY w.vol_id)
+SELECT la.vol_id, CASE WHEN d.b_b >= la.gid_b THEN 'none' WHEN d.b_b < b.b_b THEN 'hash' WHEN coalesce(way.last, -1) <> la.gid_b THEN 'error' WHEN {} THEN 'diff' ELSE 'none' END AS mode
+FROM la JOIN dest d ON d.vol_id = la.vol_id JOIN base_state b ON b.vol_id = la.vol_id LEFT JOIN way ON way.vol_id = la.vol_id"""
+
+
+def _mode(t, by_size: bool, least: int):
+    return policy.replication_mode(cat.latest_state(t.meta_diff, t.base_state), t.sql(_DEST), t.base_state, t.meta_diff, by_size, least)
+
+
+@query(_MODE.format("total > 1500000"))
 def w8_replication_mode(t):
-    return policy.replication_mode(cat.latest_state(t.meta_diff, t.base_state), t.remote_snap, t.meta_diff, 3)
+    return _mode(t, True, 1_500_000)
+
+
+@query(_MODE.format("first_b < 20"))
+def w8_replication_mode_by_gid(t):
+    return _mode(t, False, 20)
+
+
+_TO = "SELECT vol_id, CAST(gid - 10 AS bigint) AS b_b, CAST(gid - 10 AS bigint) AS b_e FROM remote_snap"
+_FROM_DEST = _HEAD.replace(WALK, "WITH RECURSIVE dest AS (" + _TO + "),\n" + walk_sql("dest").removeprefix("WITH RECURSIVE "))
 
 
-@query()
+@query(_FROM_DEST + _CUT.format("head") + f"SELECT {_CH} FROM cut WHERE rk = 1 OR upto <= 2000000 AND rk <= 5")
 def w9_send_list(t):
-    return policy.send_list(applicable_chain(t.meta_diff, t.base_state), t.remote_snap.withColumn("gid", F.col("gid") - 10), 2_000_000, 5).select(*_CHL)
+    return policy.send_list(t.meta_diff, t.sql(_TO), 2_000_000, 5).select(*_CHL)
+
+
+@query(_FROM_DEST + f"SELECT {_CH} FROM walk WHERE pos = 1")
+def w9_send_single(t):
+    return policy.send_single(t.meta_diff, t.sql(_TO)).select(*_CHL)
+
+
+_SENDS = _M10.replace("b_b >= 5", "b_b >= 0").replace("d.is_comp_diff, w.h,", "d.is_comp_diff, d.data_size, w.h,").replace("e_e, is_comp_diff, b_b AS h FROM f", "e_e, is_comp_diff, data_size, b_b AS h FROM f").replace("e_e, is_comp_diff, h FROM (", "e_e, is_comp_diff, data_size, h FROM (")
+
+
+@query(_SENDS + _CUT.format("walk") + """, k AS (SELECT *, b_b > 3 AND vol_id % 5 = 0 AS other FROM cut WHERE rk = 1 OR upto <= 1500000 AND rk <= 8)
+SELECT vol_id, pos, b_b, e_b FROM k WHERE NOT EXISTS (SELECT 1 FROM k x WHERE x.vol_id = k.vol_id AND x.pos <= k.pos AND x.other)""")
+def w9_proxy_send_list(t):
+    diffs = t.meta_diff.withColumn("uuid", F.expr("case when vol_id % 5 = 0 and b_b > 3 then 'b' else 'a' end"))
+    return policy.proxy_send_list(diffs, 1_500_000, 8).select("vol_id", "pos", "b_b", "e_b")
 
 
 # Reports
@@ -782,7 +1056,7 @@ def r8_idle_volumes(t):
     return report.idle_volumes(t.action_log)
 
 
-@query("SELECT vol_id, concat('<|', b_b, '|', CASE WHEN is_applying THEN concat('-->|', e_b, '|') ELSE '' END, '>') AS state FROM base_state")
+@query("SELECT vol_id, concat('<|', b_b, CASE WHEN b_e > b_b THEN concat(',', b_e) ELSE '' END, '|', CASE WHEN is_applying THEN concat('-->|', e_b, '|') ELSE '' END, '>') AS state FROM base_state")
 def r9_base_all(t):
     return report.base_all(t.base_state)
 
@@ -815,10 +1089,20 @@ def i5_diff_names(t):
     return ingest.with_diff_name(t.meta_diff).select(*_DIFF, "name")
 
 
-@query("SELECT vol_id, b_b, b_e, e_b, e_e, is_mergeable, is_comp_diff, ts, data_size FROM meta_diff")
+def _listing(t):
+    """File names as they are, some with a letter too many."""
+    name = F.concat(F.lit("/archive/"), "name", F.expr("case when b_b % 23 = 5 then 'x' else '' end"))
+    return ingest.with_diff_name(t.meta_diff).select("vol_id", name.alias("path"), F.col("data_size").alias("length"))
+
+
+@query("SELECT vol_id, b_b, b_e, e_b, e_e, is_mergeable, is_comp_diff, ts, data_size FROM meta_diff WHERE b_b % 23 <> 5")
 def i4_catalog_from_listing(t):
-    listing = ingest.with_diff_name(t.meta_diff).select("vol_id", F.concat(F.lit("/archive/"), "name").alias("path"), F.col("data_size").alias("length"))
-    return ingest.catalog_from_listing(listing)[0]
+    return ingest.catalog_from_listing(_listing(t))[0]
+
+
+@query(f"SELECT vol_id, concat('/archive/', {_NAME}, 'x') AS path, data_size AS length FROM meta_diff WHERE b_b % 23 = 5")
+def i4_rejected_names(t):
+    return ingest.catalog_from_listing(_listing(t))[1]
 
 
 @query("SELECT vol_id, b_b, b_e, e_b, e_e, is_mergeable, is_comp_diff, ts, data_size FROM meta_diff")
@@ -831,6 +1115,12 @@ def i7_read_state_dump(t):
     return ingest.read_state_dump(report.base_all(t.base_state)).select("vol_id", "is_applying", "b_b", "b_e", "e_b")
 
 
+@query("SELECT vol_id, b_b, CASE WHEN vol_id % 2 = 0 THEN TIMESTAMP '1999-12-31 23:59:58' ELSE TIMESTAMP '2000-01-01' END AS ts FROM base_state")
+def i7_state_times(t):
+    dump = report.base_all(t.base_state).withColumn("state", F.expr("concat(state, case when vol_id % 2 = 0 then '-19991231235958' else '' end)"))
+    return ingest.read_state_dump(dump, loaded=F.lit("2000-01-01").cast("timestamp")).select("vol_id", "b_b", "ts")
+
+
 @query("SELECT vol_id, ord, addr, blocks, ord * 17 % 65536 AS csum FROM io_recipe")
 def i9_read_recipe(t):
     line = F.concat_ws(" ", F.col("addr").cast("string"), F.col("blocks").cast("string"), F.lower(F.lpad(F.hex(F.expr("ord * 17 % 65536")), 8, "0")))
@@ -847,8 +1137,6 @@ def p1_parse_status(t):
 # The flagship: a volume's blocks as of a snapshot
 
 
-@query(_WON.replace("FROM change_input ", "FROM change_input WHERE gid <= 5") + "SELECT vol_id, block, concat(token, ':', k) AS content FROM win WHERE rec_type = 'Normal'")
+@query(_AT + "SELECT vol_id, addr AS block, content FROM scan")
 def blocks_as_of_snapshot(t):
-    rows = _ordered(t).where("gid <= 5")
-    empty = rows.limit(0).select("vol_id", "addr", F.col("token").alias("content"))
-    return image.image_at(empty, rows).select("vol_id", F.col("addr").alias("block"), "content")
+    return d2_image_at(t).withColumnRenamed("addr", "block")

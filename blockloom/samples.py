@@ -1,0 +1,93 @@
+"""Native log and change-set files made of the fixtures' rows, as inputs for the readers' queries. One group is one file of few packs."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions.checksum import sum_words
+from .sources import binary as b
+
+SALT, PBS = 77, 512
+
+
+def closed(raw: bytes, at: int = 0, salt: int = 0) -> bytes:
+    """The bytes with the 32-bit sum at ``at`` set so that the whole sums to zero."""
+    cleared = raw[:at] + bytes(4) + raw[at + 4 :]
+    return cleared[:at] + struct.pack("<I", sum_words(cleared, salt)) + cleared[at + 4 :]
+
+
+def payload(token: str, blocks: int) -> bytes:
+    """What a token stands for: each block is the token and its number; Z is all zero."""
+    if token == "Z":
+        return bytes(blocks * b.BLOCK)
+    return b"".join(f"{token}:{k}".encode().ljust(b.BLOCK, b"\0") for k in range(blocks))
+
+
+def log_file(rows: pd.DataFrame) -> bytes:
+    """A log of one record a pack, in order of lsid."""
+    rows = rows.sort_values("pack_lsid")
+    head = b.LOG_HEADER.pack(b.LOG_HEADER_KIND, 2, b.LOG_HEADER_BYTES, 0, 0, SALT, 512, PBS, bytes(range(16)), int(rows["pack_lsid"].iloc[0]), int(rows["next_lsid"].iloc[-1]))
+    out = [closed(head + bytes(b.LOG_HEADER_BYTES - len(head)), 8)]
+    for r in rows.itertuples():
+        data = b"" if r.is_discard else bytes(r.blocks * b.BLOCK) if r.is_padding else payload(r.token, r.blocks)
+        flags = b.EXIST | (b.PADDING if r.is_padding else 0) | (b.DISCARD if r.is_discard else 0)
+        csum = 0 if r.is_padding or r.is_discard else sum_words(data, SALT)
+        pack = b.PACK.pack(0, b.PACK_KIND, len(data) // PBS, r.pack_lsid, 1, int(r.is_padding), 0) + b.RECORD.pack(csum, flags, r.addr, r.blocks, 1, 0, r.lsid)
+        out += [closed(pack + bytes(PBS - len(pack)), 0, SALT), data]
+    return b"".join(out)
+
+
+def change_file(rows: pd.DataFrame, indexed: bool) -> bytes:
+    """A change set, its normal records compressed: in packs, or with an index at the tail."""
+    flag = {"Normal": 1, "Allzero": 3, "Discard": 5}
+    rows = rows.sort_values(["addr", "ev"])
+    data = [zlib.compress(payload(r.token, r.blocks), 1) if r.rec_type == "Normal" else b"" for r in rows.itertuples()]
+    codec = [1 if d else 0 for d in data]
+    head = b.DIFF_HEADER.pack(0, 2, int(indexed), 0, 0, 0, bytes(range(16)))
+    if indexed:
+        body, index = head, b""
+        for r, d, c in zip(rows.itertuples(), data, codec, strict=True):
+            index += b.INDEX_RECORD.pack(r.addr, r.blocks, flag[r.rec_type], c, 0, len(body), len(d), 0, r.blocks, 0, sum_words(d), 0)
+            body += d
+        body += bytes(-len(body) % 8)
+        return body + index + b.INDEX_SUPER.pack(len(body), len(rows), 1, 0, 0)
+    out, most = [head], (b.DIFF_PACK_BYTES - b.DIFF_PACK.size) // b.DIFF_RECORD.size
+    every = list(zip(rows.itertuples(), data, codec, strict=True))
+    for at in range(0, len(every), most):
+        part, records, used = every[at : at + most], b"", 0
+        for r, d, c in part:
+            records += b.DIFF_RECORD.pack(r.addr, r.blocks, flag[r.rec_type], c, 0, used, len(d), sum_words(d), 0)
+            used += len(d)
+        pack = b.DIFF_PACK.pack(0, len(part), 0, 0, used, 0) + records
+        out += [closed(pack + bytes(b.DIFF_PACK_BYTES - len(pack))), *(d for _, d, _ in part)]
+    end = b.DIFF_PACK.pack(0, 0, b.DIFF_END, 0, 0, 0)
+    return b"".join([*out, closed(end + bytes(b.DIFF_PACK_BYTES - len(end)))])
+
+
+def log_files(records: DataFrame, per_file: int = 64) -> DataFrame:
+    """(path, content): a file of up to ``per_file`` records that follow each other in a volume."""
+    part = F.expr(f"ev div {per_file}").alias("part")
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Records of other volumes lie between, so a file is cut where the next pack doesn't follow.
+        pdf = pdf.sort_values("pack_lsid")
+        run = (pdf["pack_lsid"] != pdf["next_lsid"].shift()).cumsum()
+        return pd.DataFrame([(f"{g['vol_id'].iloc[0]}/{g['pack_lsid'].iloc[0]}.log", log_file(g)) for _, g in pdf.groupby(run)], columns=["path", "content"])
+
+    return records.withColumn("part", part).groupBy("vol_id", "part").applyInPandas(make, "path string, content binary")
+
+
+def change_files(changes: DataFrame, per_file: int = 64) -> DataFrame:
+    """(path, content): a file of a part of each change set, indexed where the volume is odd."""
+    part = F.expr(f"ev div {per_file}").alias("part")
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, g, p = (int(pdf[c].iloc[0]) for c in ("vol_id", "gid", "part"))
+        return pd.DataFrame([(f"{v}/{g}-{p}.wdiff", change_file(pdf, bool(v % 2)))], columns=["path", "content"])
+
+    return changes.withColumn("part", part).groupBy("vol_id", "gid", "part").applyInPandas(make, "path string, content binary")

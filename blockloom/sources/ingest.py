@@ -88,21 +88,61 @@ def parse_status(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.withColumn("status", F.map_from_entries(pairs))
 
 
-def read_image(spark: SparkSession, path: str, block_size: int = 512) -> DataFrame:
-    """Blocks (path, addr, data) of full image files; zero blocks are left out."""
-    files = spark.read.format("binaryFile").load(path)
-    blocks = F.expr(f"sequence(0L, (length - 1) div {block_size})")
-    rows = files.where("length > 0").select("path", "content", F.explode(blocks).alias("addr"))
-    data = F.expr(f"substring(content, cast(addr * {block_size} + 1 as int), {block_size})")
-    rows = rows.select("path", "addr", data.alias("data"))
-    return rows.where(~F.hex("data").rlike("^0*$"))
+def read_image(spark: SparkSession, path: str, block_size: int = 512, piece: int = 128) -> DataFrame:
+    """Blocks (path, addr, data) of full image files; zero blocks are left out.
+
+    Files are read by splits of fixed-length records of ``piece`` blocks (of one block, where a
+    file isn't a multiple of that), so an image of any size takes many tasks and little memory.
+    A file that isn't a multiple of ``block_size`` is an error.
+    """
+    files = list_folder(spark, path).where("length > 0").collect()  # a name and a length for each image file
+    kind, out = "path string, addr bigint, data binary", None
+    for f in files:
+        if f.length % block_size:
+            raise ValueError(f"{f.path} has {f.length} bytes, not a multiple of {block_size}")
+        n = piece if f.length % (piece * block_size) == 0 else 1
+        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(n * block_size)}
+        name = "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable"
+        records = spark.sparkContext.newAPIHadoopFile(f.path, *name, conf=conf).map(lambda r: (r[0], bytes(r[1])))
+        rows = spark.createDataFrame(records, "record bigint, raw binary").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        data = F.substring("raw", F.col("k") * block_size + 1, F.lit(block_size))
+        rows = rows.select(F.lit(f.path).alias("path"), (F.col("record") * n + F.col("k")).alias("addr"), data.alias("data")).where(F.col("data") != F.lit(bytes(block_size)))
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], kind) if out is None else out
 
 
 def write_changes(changes: DataFrame, path: str) -> None:
-    """Parquet by volume and change set, sorted by address for min/max pruning."""
-    changes.repartition("vol_id", "gid").sortWithinPartitions("vol_id", "gid", "addr").write.partitionBy("vol_id", "gid").mode("append").parquet(path)
+    """Parquet by change set, sorted by volume and address for min/max pruning; a large change set is dealt by address."""
+    changes.repartitionByRange("gid", "vol_id", "addr").sortWithinPartitions("gid", "vol_id", "addr").write.partitionBy("gid").mode("append").parquet(path)
 
 
-def write_image(image: DataFrame, path: str, version: int, buckets: int = 64) -> None:
-    bucketed = image.withColumn("bucket", F.pmod(F.expr("addr div 65536"), F.lit(buckets)))
-    bucketed.repartition("vol_id", "bucket").sortWithinPartitions("vol_id", "bucket", "addr").write.partitionBy("vol_id", "bucket").parquet(f"{path}/version={version}")
+def read_changes(spark: SparkSession, path: str, plan: DataFrame | None = None) -> DataFrame:
+    """Written changes, all or those of a plan (vol_id, b_b, e_b); change sets outside every plan aren't read."""
+    rows = spark.read.parquet(path)
+    if plan is None:
+        return rows
+    span = plan.groupBy(F.col("vol_id").alias("v")).agg(F.min("b_b").alias("from_gid"), F.max("e_b").alias("to_gid"))
+    low, high = span.agg(F.min("from_gid"), F.max("to_gid")).first()
+    rows = rows.where((F.col("gid") > low) & (F.col("gid") <= high)) if low is not None else rows.where("false")
+    return rows.join(span, (F.col("vol_id") == F.col("v")) & (F.col("gid") > F.col("from_gid")) & (F.col("gid") <= F.col("to_gid"))).drop("v", "from_gid", "to_gid")
+
+
+def bucket_of(buckets: int = 64) -> Column:
+    """The bucket of a block: stripes of volumes are dealt evenly, so the number of folders doesn't grow with volumes."""
+    return F.pmod(F.col("vol_id") * 31 + F.shiftright("addr", 16), F.lit(buckets)).cast("int")
+
+
+def write_image(image: DataFrame, path: str, version: int, buckets: int = 64) -> DataFrame:
+    """Write an image version by bucket, sorted by volume and address, and then its manifest (vol_id, bucket, n_blocks, version), which commits it."""
+    rows = image.withColumn("bucket", bucket_of(buckets))
+    rows.repartitionByRange("bucket", "vol_id", "addr").sortWithinPartitions("bucket", "vol_id", "addr").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={version}")
+    written = image.sparkSession.read.parquet(f"{path}/data/version={version}")
+    manifest = written.groupBy("vol_id", "bucket").agg(F.count("*").alias("n_blocks")).withColumn("version", F.lit(version).cast("long"))
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+    return image.sparkSession.read.schema("vol_id bigint, bucket int, n_blocks bigint, version bigint").parquet(f"{path}/manifest/version={version}")
+
+
+def read_image_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The blocks of a committed version; without its manifest it is an error."""
+    spark.read.parquet(f"{path}/manifest/version={version}")
+    return spark.read.parquet(f"{path}/data/version={version}").drop("bucket")
