@@ -420,12 +420,68 @@ def test_lm_base_and_gain(spark):
         ws = words[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
-
-
-def test_log_bilinear_is_normalised():
-    model = lm_score.LogBilinear.start(np.array([0.5, 0.3, 0.2]), dim=4)
-    assert np.allclose((10 ** model.log10_table()).sum(axis=1), 1)
+    tokens = sum(r.n_tokens for r in got if r.held_out)
+    gain = sum(r.score - r.base_score for r in got if r.held_out) / math.log10(2) / tokens
+    assert gain > 0.3, gain  # bits a token
+
+
+def test_log_bilinear_is_normalised_and_trained_by_contrast():
+    r = np.random.default_rng(1)
+    known = [(f"t{i}".encode(), 1000 - i) for i in range(lm_score.WIDTH + 30)]
+    v = lm_score.vocabulary(known, {3: (50, 7)})
+    model = lm_score.LogBilinear.start(v)
+    every = np.arange(v.own + lm_score.RARE)
+    total = lambda m, a, b: (10 ** m.log10(np.full(len(every), a), np.full(len(every), b), every, v)).sum()
+    assert all(math.isclose(total(model, a, b), 1, rel_tol=1e-4) for a, b in ((0, 5), (200, v.own + 3)))
+    # Token i is followed by i + 1 for the most part: contrast finds it.
+    one = r.integers(0, 60, 40_000)
+    t = np.where(r.random(40_000) < 0.9, one + 1, r.integers(0, v.own, 40_000))
+    before = model.log10(one, one, one + 1, v).mean()
+    trainer = lm_score.Trainer(model, v, 0.1, 3)
+    for k in range(0, 40_000 * 6, 2000):
+        at = slice(k % 40_000, k % 40_000 + 2000)
+        trainer.step(one[at], one[at], t[at])
+    after = lm_score.LogBilinear(model.parts)
+    assert after.log10(one, one, one + 1, v).mean() > before + 0.5
+    assert math.isclose(total(after, 7, 7), 1, rel_tol=1e-3)
+
+
+def test_lm_score_against_its_formula(spark, folder, monkeypatch):
+    """One text's score from the model's arrays, term by term, with tokens of all kinds."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(80)), "s") for i in range(120)] + [(900, "w1 never-seen w2 " + "x" * 100, "s"), (901, None, "s")]
+    got, seen = {}, {}
+    real = lm_score.train_round
+    monkeypatch.setattr(lm_score, "train_round", lambda *a, **k: seen.setdefault("m", []).append((real(*a, **k), a[3])) or seen["m"][-1][0])
+    table = spark.read.parquet(folder(rows) + "/documents.parquet")
+    from blockloom.llm.common import id_crc
+
+    scores = lm_score.score_texts(table.select("doc_id", "text"), id_crc() % 10 != 0, keep=("doc_id",), own=40, frequent=70).collect()
+    model, v = seen["m"][-1]
+    counts = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in [*(t or "").encode().split(), b""])
+    mass = Counter()
+    for w, n in counts.items():
+        if w not in v.ids:
+            mass[lm_score.token_hash(w) % lm_score.RARE] += n
+    kinds = Counter(lm_score.token_hash(w) % lm_score.RARE for w in counts if w not in v.ids)
+    a, places, classes, class_bias, tokens, token_bias = (p.astype(float) for p in model.parts)
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    for x in scores:
+        w = [*(dict((i, t) for i, t, _ in rows)[x.doc_id] or "").encode().split(), b""]
+        ids = [v.id_of(b"")] * 2 + [v.id_of(t) for t in w]
+        want = 0.0
+        for k, t in enumerate(w):
+            q = a[ids[k]] @ places[0] + a[ids[k + 1]] @ places[1]
+            cls = int(v.class_of(np.array([ids[k + 2]]))[0])
+            want += soft(classes @ q + class_bias)[cls] / math.log(10)
+            if t in v.ids:
+                lo = cls * lm_score.WIDTH
+                want += soft(tokens[lo : lo + lm_score.WIDTH] @ q + token_bias[lo : lo + lm_score.WIDTH])[v.ids[t] - lo] / math.log(10)
+            else:
+                h = lm_score.token_hash(t) % lm_score.RARE
+                want += math.log10((counts[t] + 0.1) / (mass[h] + 0.1 * (kinds[h] + 1)))
+        assert math.isclose(x.score, want, rel_tol=1e-4), x.doc_id
+    assert len(v.ids) <= 40 and len(scores) == len(rows)
 
 
 def test_mixed_part_is_a_prefix_of_words(spark):
