@@ -4,7 +4,8 @@
 multiplexes their pages. ``decode_ogg`` reads any such column: it finds pages, verifies
 each page's checksum, reassembles packets from the lacing values (also across pages),
 demultiplexes the logical streams by serial number and derives each packet's time from
-the granule positions. Pages with a wrong checksum are skipped and counted.
+the granule positions. Pages with a wrong checksum are
+skipped and counted, and so are missing pages and ends.
 
 Rows are independent: no shuffle. Null media gives null results; an empty payload gives
 a stream without data packets. Other columns of the input, whatever their names, aren't read.
@@ -92,14 +93,19 @@ def read_pages(media: bytes) -> tuple[list[tuple], int]:
 
 
 def read_ogg(media: bytes) -> dict:
-    """Packets by time with their streams; a packet that a lost page interrupts is dropped and counted."""
+    """Packets by time with their streams; a packet that a lost page interrupts is dropped.
+
+    ``lost`` counts such packets, the pages that numbers skip, and streams without their last page.
+    """
     pages, broken = read_pages(media)
-    rate, heads, partial, expected = {}, {}, {}, {}
+    rate, heads, partial, expected, ended = {}, {}, {}, {}, {}
     packets: list[tuple[int, int, bytes]] = []  # first sample, serial, bytes
     lost = 0
     for flags, granule, serial, number, lacing, body in pages:
-        gap = serial in expected and number != expected[serial]
+        gap = number != expected.get(serial, 0)
+        lost += max(0, number - expected.get(serial, 0))
         expected[serial] = number + 1
+        ended[serial] = bool(flags & _LAST)
         open_part = partial.pop(serial, None)
         if open_part is not None and (gap or not flags & _CONTINUED):
             lost, open_part = lost + 1, None
@@ -123,7 +129,7 @@ def read_ogg(media: bytes) -> dict:
             packets.append((end - len(p), serial, p))
             end -= len(p)
     packets.sort(key=lambda x: (x[0], heads.get(x[1], x[1])))
-    return {"packets": packets, "rate": rate, "pages": len(pages), "broken": broken, "lost": lost + len(partial)}
+    return {"packets": packets, "rate": rate, "pages": len(pages), "broken": broken, "lost": lost + len(partial) + sum(not e for e in ended.values())}
 
 
 def encode_ogg(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -19,7 +19,8 @@ written once and joined by size (Spark broadcasts them only below its threshold)
 
 Null texts have size 0 and take 0. Rows alike in id and text have one rank and share
 equally what they take together (whole words each). An empty table gives an empty result. Only
-the columns named here are read, and results have names of their own.
+the columns named here are read; other columns may have any names but the five in
+``PREPARED`` and those of the results.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import WORD, staged
 
 WEIGHTS, MAX_COPIES, BINS, SEED = (5.0, 2.0, 1.0), 3.0, 4096, 20240
+PREPARED = ("mix_id", "mix_hash", "mix_source", "mix_size", "mix_measure")
 _TINY = 1e-9
 
 
@@ -153,7 +155,7 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed(docs: DataFrame, plan: Plan, text: str = "text", bins: int = BINS, seed: int = SEED) -> DataFrame:
     """The mix itself: each of the ``prepare``d rows as often as taken, the part at a cut shortened."""
-    names = [c for c in docs.columns if not c.startswith("mix_")]
+    names = [c for c in docs.columns if c not in PREPARED]
     rows = apply_mix(docs, plan, bins, seed).withColumn("mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies") + 1)))
     rows = rows.where((F.col("mix_k") <= F.col("mix_copies")) | (F.col("mix_part") > 0))
     short = (F.col("mix_k") > F.col("mix_copies")) & (F.col("mix_part") > 0)

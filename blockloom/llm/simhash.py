@@ -455,8 +455,10 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     judged = rows.select("id", "h", "node").join(of, "node").select("id", "h", (F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("h") == F.col("stays.h"))).alias("stays"))
     counted = judged.groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     touched = staged(counted.where("not stays or n > 1").withColumnsRenamed({"id": "loser_id", "h": "loser_h"}), "copy-losers")
-    named = docs.withColumn("loser_of", row_hash)
-    same = F.col("loser_id").eqNullSafe(F.col(doc_id)) & (F.col("loser_h") == F.col("loser_of"))
+    own = "copy_of" + "_" * max(map(len, names))  # a name that no column has
+    named = docs.withColumn(own, row_hash)
+    touched = touched.withColumnsRenamed({"loser_id": own + "i", "loser_h": own + "h"})
+    same = F.col(own + "i").eqNullSafe(F.col(f"`{doc_id}`")) & (F.col(own + "h") == F.col(own))
     alone = named.join(touched, same, "left_anti")
-    repeated = named.join(touched.where("stays"), same, "left_semi").dropDuplicates([doc_id, "loser_of"])
-    return alone.unionByName(repeated).select(*names)
+    repeated = named.join(touched.where("stays"), same, "left_semi").dropDuplicates([doc_id, own])
+    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in names])

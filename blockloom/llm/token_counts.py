@@ -9,9 +9,10 @@ its number of tokens. Ties go to fewer pieces.
 The vocabulary is a rank file, which has no probabilities: the score of a piece is Zipf's,
 -log(rank + 2). Every byte is a piece, so every text has a segmentation.
 
-A task keeps one trie of at most ``max_nodes`` nodes and starts it anew beyond that, which
-changes no result and bounds memory; prefixes beyond ``max_depth`` bytes are scored
-without being stored. Rows are independent: no shuffle. Null and empty texts have no
+A task keeps one trie of at most ``max_nodes`` nodes and as many pre-tokens, none of them beyond
+``max_depth`` bytes, and starts it anew beyond that, which changes no result and bounds memory;
+longer pre-tokens are scored each time without being stored. A text of any length is cut and
+scored by one pass. Kept columns may have any name but those of the results. Rows are independent: no shuffle. Null and empty texts have no
 pre-tokens and zero tokens; repeated rows get equal counts.
 """
 
@@ -61,9 +62,12 @@ class CountTrie(dict):
         self.score, self.tokens = array("d", [0.0]), array("i", [0])
 
     def __missing__(self, pretoken: str) -> int:
-        if len(self.score) + min(len(pretoken) * 4, self.max_depth) > self.max_nodes:
+        raw = pretoken.encode("utf-8", "surrogatepass")
+        if len(raw) > self.max_depth:
+            return self._insert(raw)
+        if len(self.score) + len(raw) > self.max_nodes or len(self) >= self.max_nodes:
             self._reset()
-        n = self[pretoken] = self._insert(pretoken.encode("utf-8", "surrogatepass"))
+        n = self[pretoken] = self._insert(raw)
         return n
 
     def _insert(self, raw: bytes) -> int:
@@ -78,7 +82,7 @@ class CountTrie(dict):
                         s, t = score[start] + piece, tokens[start] + 1
                         if s > best or s == best and t < fewest:
                             best, fewest = s, t
-                if 0 <= node and d <= self.max_depth:
+                if 0 <= node and len(raw) <= self.max_depth:
                     child = self.children[node * 256 + raw[d - 1]] = len(self.score)
                     self.score.append(best)
                     self.tokens.append(fewest)

@@ -50,10 +50,88 @@ def test_edge_tables(spark, folder, rows):
     assert len({(r.doc_id, r.start) for r in pieces}) >= len({r[0] for r in rows})
 
 
-def test_pipeline_on_edges(spark, folder):
+@pytest.mark.parametrize("rows", [EDGE, []], ids=["edge", "empty"])
+def test_pipeline_on_edges(spark, folder, rows):
     import corpus_pipeline
 
-    assert corpus_pipeline.run(spark, folder(EDGE, labels=LABELS)).count() >= 0
+    got = corpus_pipeline.run(spark, folder(rows, labels=LABELS)).collect()
+    assert sorted({"doc_id", "start", "length", "sequence_id", "offset"} - set(got[0].asDict() if got else ["doc_id", "start", "length", "sequence_id", "offset"])) == []
+    ids = [r.doc_id for r in got]
+    assert set(ids) <= {r[0] for r in rows} and (not rows or (3 in ids) + (4 in ids) <= 1)  # equal texts leave one
+    spans = {}
+    for r in got:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 for x in spans.values())
+
+
+def test_media_query_against_plain_bytes(spark, folder):
+    rows = [(i, t, "s") for i, t in enumerate([None, "", "a", "b" * 63, "c" * 64, "é" * 9000, "d" * 70_000])]
+    for r in queries.op2_media_ogg(spark, folder(rows)).collect():
+        raw = (rows[r.doc_id][1] or "").encode()
+        full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = media_ogg.write_ogg(full)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and "broken=0" in r.feature
+
+
+def test_ogg_counts_what_is_missing():
+    raw = random.Random(1).randbytes(300_000)
+    media = media_ogg.write_ogg(raw)
+    at = [m.start() for m in re.finditer(b"OggS", media) if media_ogg.read_pages(media[m.start() :])[0]]
+    pages = [media[a:b] for a, b in zip(at, [*at[1:], len(media)], strict=True)]
+    assert media_ogg.read_ogg(media)["lost"] == 0
+    assert media_ogg.read_ogg(b"".join(pages[:4] + pages[6:]))["lost"] >= 2
+    assert media_ogg.read_ogg(b"".join(pages[:-1]))["lost"] >= 1
+
+
+def test_simhash_query_against_brute_force(spark, folder):
+    import xxhash
+
+    r = random.Random(11)
+    base = [" ".join(r.choices("abcdefghij", k=60)) for _ in range(12)]
+    rows = [(i, t, "s") for i, t in enumerate(base + base[:3] + [None, "", "One", "one two three", "A b C d e"])]
+    rows += [(100 + i, t.replace(" ", "\n", 3).upper() + " tail", "s") for i, t in enumerate(base)]
+    bits = {}
+    for i, t, _ in rows:
+        w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(max(1, len(w) - 3))] if w else []
+        bits[i] = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    want = {i: g[0] for g in groups(list(bits), [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= 4]) for i in g}
+    got = queries.op6_simhash(spark, folder(rows)).collect()
+    assert {x.doc_id: x.fingerprint for x in got} == {i: f"{b:016x}" for i, b in bits.items()}
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_token_counts_query_against_plain_dynamic_programming(spark, folder):
+    import regex
+
+    scores = token_counts.read_ranks(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    longest = max(map(len, scores))
+    rows = [(i, t, "s") for i, t in enumerate([None, "", "The quick brün fox, 12345 times!", "日本語 text\n\n end", "x" * 700 + " tail"])]
+
+    def plain(raw):
+        best = [(0.0, 0)] + [None] * len(raw)
+        for e in range(1, len(raw) + 1):
+            best[e] = max((best[k][0] + scores[raw[k:e]], best[k][1] - 1) for k in range(max(0, e - longest), e) if raw[k:e] in scores)
+        return -best[-1][1]
+
+    for r in queries.op1_token_counts(spark, folder(rows)).collect():
+        found = regex.findall(token_counts.PRETOKEN, rows[r.doc_id][1] or "")
+        assert (r.n_bytes, r.n_pretokens, r.n_tokens) == (len((rows[r.doc_id][1] or "").encode()), len(found), sum(plain(f.encode()) for f in found))
+
+
+def test_trie_holds_no_more_than_its_bound():
+    trie = token_counts.CountTrie({bytes([b]): -1.0 for b in range(256)}, max_nodes=50, max_depth=8)
+    assert all(trie["q" * 9 + str(k)] == 9 + len(str(k)) for k in range(300)) and len(trie) == 0
+    assert all(trie[str(k)] == len(str(k)) for k in range(300)) and len(trie) <= 50 and len(trie.score) <= 50
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "same words in these texts here", 5, "x"), (2, "same words in these texts here", 6, "y"), (3, "quite other words stand here now", 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, loser_of int, mix_note string")
+    assert sorted((r.doc_id, r.loser_of, r.mix_note) for r in simhash.near_copies(df).collect()) == [(1, 5, "x"), (3, 7, "z")]
+    prepared = mixing.prepare(df.withColumn("source", df.mix_note))
+    assert "mix_note" in mixing.mixed(prepared, mixing.plan_mix(prepared)).columns
 
 
 def test_pipeline_stages(spark, folder):
