@@ -352,7 +352,7 @@ def d2_image_at(t):
 def d3_restore(t):
     store, targets = _store(t), t.stored("restore_target")
     fourth = targets.where("vol_id % 2 = 0").select("vol_id", F.lit(4).cast("long").alias("gid"))
-    newest = targets.where("vol_id % 4 = 0").select("vol_id", F.col("top").alias("gid"))
+    newest = targets.where("vol_id % 4 = 0 and top <> 4").select("vol_id", F.col("top").alias("gid"))  # each restored image once
     cold = staged(image.restore(*store, fourth).unionByName(image.restore(*store, newest)), "cold")
     return image.restore(*store, targets, cold)
 
