@@ -13,7 +13,7 @@ with probability ``RECALL`` (closer pairs more surely). A pair that meets in sev
 is counted in the first. Equal vectors of a label are one node with a multiplicity.
 
 Buckets are compared in numpy blocks inside a task and return a number of links and one
-edge per row, never pairs. Buckets over ``HOT`` rows are cut in chunks whose pairs of
+edge per row, never pairs. Buckets of ``SMALL`` rows or fewer are compared many at once. Buckets over ``HOT`` rows are cut in chunks whose pairs of
 chunks are dealt to different tasks; the table of hot buckets is joined by its size.
 
 Null labels, null, empty or zero vectors and vectors with null or non-finite components
@@ -29,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 from .components import connected_components
 
-EPSILON, RECALL, PER_BUCKET, HOT, TILE, SEED = 4.0, 0.998, 16, 4096, 2048, 11
+EPSILON, RECALL, PER_BUCKET, HOT, TILE, SMALL, SEED = 4.0, 0.998, 16, 4096, 2048, 64, 11
 
 
 def bands_for(rows: int, threshold: float) -> tuple[int, int]:
@@ -121,6 +122,35 @@ def bucket_links(x: np.ndarray, code: np.ndarray, factor: np.ndarray, mult: np.n
     return (count, _star(n, links)) if links else None
 
 
+def small_links(x: np.ndarray, code: np.ndarray, factor: np.ndarray, mult: np.ndarray, band: np.ndarray, sizes: np.ndarray, coder: Coder, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """As ``bucket_links``, for whole buckets of few rows that lie one after another; ``band``: of each row."""
+    n = len(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rotated, sign = (unit @ coder.rotation.T).astype(np.float32), np.where(code, np.float32(1), np.float32(-1))
+    scale, bound, keys = math.sqrt(coder.bits) * factor, coder.bound(factor), coder.keys(code)
+    starts, links, count = np.cumsum(sizes) - sizes, [], np.zeros(n, np.int64)
+    m = 2
+    while m < 2 * sizes.max():  # buckets of over m / 2 to m rows, filled up to m with their last row
+        those = np.flatnonzero((sizes <= m) & (sizes > m // 2))
+        step = max(1, (1 << 20) // (m * coder.bits))
+        for k in range(0, len(those), step):
+            g = those[k : k + step]
+            rows = starts[g, None] + np.minimum(np.arange(m), sizes[g, None] - 1)
+            upper = np.matmul(sign[rows], rotated[rows].transpose(0, 2, 1)) / scale[rows][:, :, None] + bound[rows][:, :, None]
+            need = (upper >= threshold - 1e-6) & np.triu(np.ones((m, m), bool), 1) & (np.arange(m) < sizes[g, None])[:, None, :]
+            at, a, b = np.nonzero(need)
+            a, b = rows[at, a], rows[at, b]
+            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+            a, b = a[near], b[near]
+            if len(a):
+                links.append((a, b))
+                new = ~((keys[a] == keys[b]) & (np.arange(keys.shape[1]) < band[a, None])).any(axis=1)
+                np.add.at(count, a[new], mult[b[new]])
+                np.add.at(count, b[new], mult[a[new]])
+        m *= 2
+    return (count, _star(n, links)) if links else None
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -164,50 +194,61 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     bits, bands = bands_for(largest, threshold)
     bucket = ["label", "band", "key"]
     sizes = _banded(nodes, bits, bands, False).groupBy(*bucket).count().where(F.col("count") > HOT)
+    few = SMALL
     hot = staged(sizes.select(*bucket, F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("chunks")), "hot")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, Coder] = {}
-        held: list[pa.RecordBatch] = []
-        group = [*bucket, "ta", "tb"]
 
-        def work(t: pa.Table) -> pa.RecordBatch | None:
-            first = t.slice(0, 1).to_pylist()[0]
-            xs = _vectors(t.column("x").combine_chunks())
-            coder = coders.setdefault(xs.shape[1], Coder(xs.shape[1], bits, bands))
+        def work(t: pa.RecordBatch, sizes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            """Links in one bucket, or in small buckets of ``sizes`` rows."""
+            xs = _vectors(t.column("x"))
+            if xs.shape[1] not in coders:
+                coders[xs.shape[1]] = Coder(xs.shape[1], bits, bands)
+            coder = coders[xs.shape[1]]
             packed = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(xs), -1)
             code = np.unpackbits(packed, axis=1).astype(bool)
-            node = t.column("node").to_numpy()
-            found = bucket_links(xs, code, t.column("factor").to_numpy(), t.column("mult").to_numpy(), t.column("chunk").to_numpy(), first["band"], coder, threshold)
-            if found is None:
-                return None
-            count, root = found
-            own = (count > 0) | (root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(count[own]), pa.array(node[root[own]])], ["node", "links", "to"])
-
-        def parts(b: pa.RecordBatch) -> list[int]:
-            change = np.zeros(max(b.num_rows - 1, 0), bool)
-            for c in group:
-                v = b.column(c).to_numpy()
-                change |= v[1:] != v[:-1]
-            return [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+            node, factor, mult, band = (t.column(c).to_numpy() for c in ("node", "factor", "mult", "band"))
+            if sizes is None:
+                found = bucket_links(xs, code, factor, mult, t.column("chunk").to_numpy(), int(band[0]), coder, threshold)
+            else:
+                found = small_links(xs, code, factor, mult, band, sizes, coder, threshold)
+            if found is not None:
+                count, root = found
+                own = (count > 0) | (root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(count[own]), pa.array(node[root[own]])], ["node", "links", "to"])
+
+        def whole(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Links of the buckets that begin and end at ``cuts``."""
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            small = (sizes <= few) & (b.column("ta").to_numpy()[starts] == b.column("tb").to_numpy()[starts])
+            for k in np.flatnonzero(~small & (sizes > 1)).tolist():
+                yield from work(b.slice(int(starts[k]), int(sizes[k])), None)
+            dims = pc.list_value_length(b.column("x")).to_numpy()[starts]
+            small &= sizes > 1
+            for dim in np.unique(dims[small]).tolist():
+                of = np.flatnonzero(small & (dims == dim))
+                part = np.split(of, np.flatnonzero(np.diff(np.cumsum(sizes[of]) // 4096)) + 1)  # about 4,096 rows at a time
+                for g in part:
+                    first = np.cumsum(sizes[g]) - sizes[g]
+                    rows = np.repeat(starts[g] - first, sizes[g]) + np.arange(sizes[g].sum())
+                    yield from work(b.take(pa.array(rows)), sizes[g])
 
-        last = None
-        for b in batches:
-            if not b.num_rows:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cuts = parts(b)
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                piece = b.slice(s, e - s)
-                name = tuple(piece.column(c)[0].as_py() for c in group)
-                if name != last and held:
-                    if sum(h.num_rows for h in held) > 1 and (out := work(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
-                last = name
-                held.append(piece)
-        if held and sum(h.num_rows for h in held) > 1 and (out := work(pa.Table.from_batches(held))) is not None:
-            yield out
+            b = pa.concat_batches([*held, batch])
+            change = np.zeros(b.num_rows - 1, bool)
+            for c in [*bucket, "ta", "tb"]:
+                v = b.column(c).to_numpy()
+                change |= v[1:] != v[:-1]
+            cuts = np.concatenate(([0], np.flatnonzero(change) + 1))  # the last bucket may go on
+            if len(cuts) > 1:
+                yield from whole(b, cuts)
+            held = [b.slice(int(cuts[-1]))]
+        if held:
+            yield from whole(held[0], np.array([0, held[0].num_rows]))
 
     banded = _banded(nodes, bits, bands, True).join(hot, bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     banded = banded.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int"))

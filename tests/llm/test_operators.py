@@ -324,7 +324,9 @@ def test_components(spark):
     assert groups(nodes, got.items()) == groups(nodes, edges)
 
 
-def test_embeddings_against_brute_force(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("small", [0, 3, 64])
+def test_embeddings_against_brute_force(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(embed_dedup, "SMALL", small)
     rng = np.random.default_rng(7)
     x = [rng.standard_normal(64).tolist() for _ in range(80)]
     for k in range(40):
