@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, lm_score, media_ogg, mixing, oracles, packing, secrets, simhash, token_counts, toxicity
+from . import embed_dedup, language_id, lm_score, media_ogg, mixing, oracles, packing, periodic_runs, secrets, simhash, token_counts, toxicity, whitening
 from .common import id_crc, read, text_or_empty
 from .url_filter import Rule, filter_urls, host_rule
 
@@ -94,8 +94,44 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.staged(whitening.whiten(read(spark, sf_dir, "embeddings"), "embedding", keep=("vec_id",)), "whitened")
+    numbers = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "z")
+    error = F.lit(whitening.identity_error(rows).first().identity_error).alias("identity_error")
+    return rows.select("vec_id", "n", "deviation", numbers).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "z.whitened", "z.explained", error)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, usable=id_crc() % 4 != 2)
+    return language_id.identify(docs.select("doc_id", (id_crc() % 4 == 2).alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
+
+
+def planted() -> Column:
+    """The text; of one in ten documents its words from a place on repeat with a period, as the contract of op13 has it."""
+    word = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    n, g = F.size(word).cast("long"), F.floor(id_crc() / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.flatten(F.array_repeat(F.slice(word, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    changed = F.slice(F.concat(F.slice(word, F.lit(1), a.cast("int")), again), F.lit(1), n.cast("int"))
+    return F.when((id_crc() % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(F.col("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", planted().alias("text"))
+    found = periodic_runs.find_runs(docs, keep=("doc_id",))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), "")
+    found = found.select("doc_id", "runs", longest.alias("r"), "collapsed")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("r.s")).alias("start"), "r.length", (-F.col("r.p")).alias("period"), F.floor(1000 * F.col("r.length") / -F.col("r.p")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_ogg, op3_embedding_dedup, op4_mixing, op5_secrets, op6_simhash, op7_url_filter, op8_packing, op9_toxicity, op10_lm_score)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_ogg, op3_embedding_dedup, op4_mixing, op5_secrets, op6_simhash, op7_url_filter, op8_packing, op9_toxicity, op10_lm_score, op11_embedding_whitening, op12_language_id, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
