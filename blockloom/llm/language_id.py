@@ -127,11 +127,11 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str
     loss = lambda t: -np.mean(np.sum(aim * np.log(_softmax(z / t) + 1e-30), axis=1))
     heat = min(np.geomspace(0.05, 20, 121), key=loss)
     p = _softmax(z / heat)
-    best, right = p.max(axis=1), p.argmax(axis=1) == y[check]
+    best, right = np.round(p.max(axis=1), 6), p.argmax(axis=1) == y[check]
     order = np.argsort(-best, kind="stable")
     wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     ok = np.flatnonzero((wrong <= ERRORS) & np.append(np.diff(best[order]) != 0, True))  # equal scores are accepted together
-    threshold = 1.0 if not len(ok) else 0.0 if ok[-1] == len(order) - 1 else float(best[order[ok[-1]]])
+    threshold = 1.0 if not len(ok) else 0.0 if ok[-1] == len(order) - 1 else float(best[order[ok[-1] : ok[-1] + 2]].mean())
     return Model(langs, (weight / heat).astype(np.float32), (bias / heat).astype(np.float32), threshold)
 
 
