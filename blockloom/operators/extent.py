@@ -108,12 +108,23 @@ def joined_runs(won: DataFrame) -> DataFrame:
     return runs.groupBy("vol_id", "seq", "run").agg(F.min("addr").alias("addr"), F.sum("blocks").alias("blocks"), F.min("off").alias("off")).select("vol_id", "addr", "blocks", "seq", "off")
 
 
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """Pieces of long extents dealt to tasks by their address. The number of tasks is named, as rows that are few now multiply later."""
+    return pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vol_id", "addr")
+
+
 def cut_from_start(runs: DataFrame, n: int) -> DataFrame:
-    """Runs cut at multiples of ``n`` blocks from their own extent's start."""
-    pieces = runs.withColumn("k", F.explode(F.expr(f"sequence(off div {n}, (off + blocks - 1) div {n})")))
-    lo = F.greatest(F.col("off"), F.col("k") * n)
-    hi = F.least(F.col("off") + F.col("blocks"), (F.col("k") + 1) * n)
-    return pieces.withColumns({"addr": F.col("addr") + lo - F.col("off"), "blocks": hi - lo, "off": lo}).drop("k")
+    """Runs cut at multiples of ``n`` blocks from their own extent's start. Long ones are cut at about a stripe first and dealt out, so no row holds a long list and no task all pieces of an extent."""
+
+    def cut(runs: DataFrame, n: int) -> DataFrame:
+        pieces = runs.withColumn("k", F.explode(F.expr(f"sequence(off div {n}L, (off + blocks - 1) div {n}L)")))
+        lo = F.greatest(F.col("off"), F.col("k") * n)
+        hi = F.least(F.col("off") + F.col("blocks"), (F.col("k") + 1) * n)
+        return pieces.withColumns({"addr": F.col("addr") + lo - F.col("off"), "blocks": hi - lo, "off": lo}).drop("k")
+
+    whole = n * max(1, STRIPE // n)
+    long = F.col("blocks") > whole
+    return cut(runs.where(~long).unionByName(_dealt(cut(runs.where(long), whole))), n)
 
 
 def split_aligned(df: DataFrame, most: int) -> DataFrame:
@@ -121,7 +132,8 @@ def split_aligned(df: DataFrame, most: int) -> DataFrame:
 
     Between an extent's ends lies one place of largest alignment. Before it the pieces are the
     binary digits of the distance, rising; after it those of the rest, falling. Pieces beyond
-    ``most`` are given by stripe first and then cut, so no row holds a long list.
+    a stripe are cut to stripes and dealt out before they are cut to ``most``, so no row holds a
+    long list and no task all pieces of an extent.
     """
     most = 1 << (most.bit_length() - 1)
     step = max(most, STRIPE)
@@ -133,10 +145,13 @@ def split_aligned(df: DataFrame, most: int) -> DataFrame:
     rest = [c for c in df.columns if c not in ("addr", "blocks")]
     got = df.where("blocks > 0").withColumns({"addr": F.col("addr").cast("long"), "blocks": F.col("blocks").cast("long")}).withColumn("mid", F.expr(mid))
     got = got.select(*rest, F.explode(F.expr(f"concat({rising}, {falling})")).alias("p")).select(*rest, "p.addr", "p.blocks")
-    for size in (step, most):  # at most STRIPE rows come of one row at each step
+
+    def cut(pieces: DataFrame, size: int) -> DataFrame:
         start = F.explode(F.expr(f"sequence(addr, addr + blocks - 1, {size}L)"))
-        got = got.select(*rest, start.alias("addr"), F.least("blocks", F.lit(size).cast("long")).alias("blocks"))
-    return got
+        return pieces.select(*rest, start.alias("addr"), F.least("blocks", F.lit(size).cast("long")).alias("blocks"))
+
+    long = F.col("blocks") > step
+    return cut(got.where(~long).unionByName(_dealt(cut(got.where(long), step))), most)
 
 
 def covered_blocks(df: DataFrame, by: list[str], ratio: int = 1) -> DataFrame:
