@@ -76,6 +76,10 @@ SELECT vol_id, gid - 1 AS b_b, gid - 1 AS b_e, gid AS e_b, gid AS e_e, gid % 6 <
 FROM (SELECT vol_id, gid, max(ev) AS data_size, CAST(max(day) AS timestamp) AS ts FROM change_input GROUP BY vol_id, gid) g
 UNION ALL
 SELECT vol_id, gid - 4, gid - 4, gid, gid, true, false, CAST(max(day) AS timestamp), max(ev), 'a' FROM change_input WHERE gid % 4 = 0 GROUP BY vol_id, gid
+""",
+    "diff_record": """
+SELECT d.vol_id, d.b_b, d.b_e, d.e_b, d.e_e, CAST((c.gid - d.b_b) * 4294967296 + c.lsid AS bigint) AS ord, c.addr, c.blocks, CAST(0 AS bigint) AS off, c.rec_type, c.token
+FROM change_meta d JOIN change_input c ON c.vol_id = d.vol_id AND c.gid > d.b_b AND c.gid <= d.e_b
 """,
     "restore_target": """
 SELECT vol_id, max(gid) - vol_id % 3 AS gid, max(gid) AS top FROM change_input GROUP BY vol_id
