@@ -10,10 +10,14 @@ which gives the class of the next token, and with the vectors of the tokens of t
 which gives the token; both are normalised. Classes hold ``WIDTH`` tokens each in order of
 frequency. In a rare class a token has its smoothed share of the class's counts.
 
-It is trained in numpy by noise-contrastive estimation. Every training document takes part: a
-round trains on one in ``STRIDE`` positions of each, another share of them each round, so what
-is learnt from grows with the corpus. Tasks go over their shares of the documents, whose number
-grows with the tokens; their parameters are averaged by Spark in small groups.
+It is trained in numpy by noise-contrastive estimation, on every position of every training
+document once, so what is learnt from grows with the corpus. A hash of a row gives its round and
+its share of the round; the number of shares follows the tokens, and rows of a share are
+sorted by that hash, so what is learnt doesn't depend on cores or splits. A round's shares all
+start from the model so far. AdaGrad divides a gradient by the root of the squares so far; moves
+of a row of parameters are averaged with these roots as weights, over the shares that met it
+only, so a token met by one share isn't averaged away, and stretched by up to ``BOOST`` where
+several met it, as their noise partly cancels. Spark adds the moves in small groups.
 
 Once the vocabulary is known, every text is written as its token ids, two bytes each; training
 and scoring read these. Scoring multiplies in batches and reads each token's normalised
@@ -47,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import slices, staged
 
 OWN, WIDTH, RARE, FREQUENT, DIM, SEED = 1 << 15, 192, 64, 1 << 17, 16, 5
-STRIDE, ROUNDS, SHARE_TOKENS = 4, 2, 8_000_000
+ROUNDS, SHARE_TOKENS, RATE, BOOST = 16, 4_000_000, 0.15, 1.5
 ADD, LONGEST = 0.1, 64
 
 
@@ -123,6 +127,8 @@ class LogBilinear:
     def __init__(self, parts: list[np.ndarray]):
         self.parts = parts
         self.a, self.places, self.classes, self.class_bias, self.tokens, self.token_bias = parts
+        #: Squares of gradients so far: a mean for each row of vectors, else one for each number.
+        self.seen = [np.full((len(p), 1) if p.ndim == 2 else p.shape, 1e-8, np.float32) for p in parts]
 
     @staticmethod
     def start(v: Vocabulary, dim: int = DIM, seed: int = SEED) -> LogBilinear:
@@ -132,12 +138,30 @@ class LogBilinear:
         bias = [v.log_class.astype(np.float32), np.log(v.share).astype(np.float32)]
         return LogBilinear([draw(v.own + RARE, dim), places, draw(len(v.log_class), dim), bias[0], draw(v.own, dim), bias[1]])
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts])
-
-    def like(self, flat: np.ndarray) -> LogBilinear:
-        at = np.cumsum([0, *(p.size for p in self.parts)])
-        return LogBilinear([flat[s:e].reshape(p.shape).astype(np.float32) for p, s, e in zip(self.parts, at, at[1:], strict=False)])
+    def copy(self) -> LogBilinear:
+        other = LogBilinear([p.copy() for p in self.parts])
+        other.seen = [s.copy() for s in self.seen]
+        return other
+
+    def moves(self, start: LogBilinear) -> np.ndarray:
+        """What was learnt since ``start``: by row the roots of the squares times the moves, those roots, the squares added, and one; all zero for rows not met."""
+        grown = [s - t for s, t in zip(self.seen, start.seen, strict=True)]
+        met = [(g > 0).astype(np.float32) for g in grown]
+        root = [np.sqrt(s) * m for s, m in zip(self.seen, met, strict=True)]
+        far = [(p - q) * r for p, q, r in zip(self.parts, start.parts, root, strict=True)]
+        return np.concatenate([x.ravel() for x in (*far, *root, *grown, *met)])
+
+    def moved(self, total: np.ndarray) -> LogBilinear:
+        """The model after the sum of all shares' moves."""
+        n = len(self.parts)
+        every = [*self.parts, *self.seen * 3]
+        at = np.cumsum([0, *(p.size for p in every)])
+        each = [total[s:e].reshape(p.shape).astype(np.float32) for p, s, e in zip(every, at, at[1:], strict=False)]
+        far, root, grown, met = (each[k * n : k * n + n] for k in range(4))
+        most = [np.maximum(m, 1) for m in met]
+        out = LogBilinear([p + f / np.maximum(r, 1e-12) * np.minimum(np.sqrt(m), BOOST) for p, f, r, m in zip(self.parts, far, root, most, strict=True)])
+        out.seen = [s + g / m for s, g, m in zip(self.seen, grown, most, strict=True)]
+        return out
 
     def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, v: Vocabulary, chunk: int = 512) -> np.ndarray:
         """log10 of each target's class and, of tokens with vectors, of the token in it; normalised."""
@@ -195,7 +219,7 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, v: Vocabulary, rate: float, seed: int, k: int = 64, k_token: int = 4):
         self.m, self.v, self.rate, self.k, self.k_token = model, v, rate, k, k_token
-        self.rng, self.seen = np.random.default_rng(seed), [np.full(p.shape, 1e-8, np.float32) for p in model.parts]
+        self.rng, self.seen = np.random.default_rng(seed), model.seen
         self.p_class = np.exp(v.log_class)
         self.upto = np.cumsum(v.share)  # classes are laid one after another, each of length one
         self.log_noise = np.log(np.maximum(v.share, 1e-12) * k_token).astype(np.float32)
@@ -213,7 +237,7 @@ class Trainer:
         """An AdaGrad step of the rows ``at`` of a part; the others have no gradient and stay as they are."""
         p, s = self.m.parts[part], self.seen[part]
         g = g.astype(np.float32)
-        s[at] += g * g
+        s[at] += np.einsum("ij,ij->i", g, g)[:, None] / g.shape[1] if p.ndim == 2 else g * g
         p[at] -= np.float32(self.rate) * g / np.sqrt(s[at])
 
     def step(self, two: np.ndarray, one: np.ndarray, t: np.ndarray) -> None:
@@ -309,52 +333,62 @@ def encode(texts: pa.Array, v: Vocabulary, log: dict[bytes, float]) -> dict[str,
 BLOCK = 1 << 16  # parameters of a row
 
 
-def train_round(learnt: DataFrame, ids: str, model: LogBilinear, v: Vocabulary, shares: int, number: int, least: int = 256, most: int = 4096) -> LogBilinear:
-    """The average, by examples, of what tasks learn from their shares of the documents, starting from ``model``."""
+def train_round(learnt: DataFrame, ids: str, model: LogBilinear, v: Vocabulary, number: int, shares: int, least: int = 256, most: int = 4096) -> LogBilinear:
+    """The model after a round: shares of the documents (columns __share, __order) are learnt apart, starting from ``model``, and their moves added."""
     end = v.id_of(b"")
-    given = learnt.sparkSession.sparkContext.broadcast((model.parts, replace(v, ids={})))  # bounded by OWN, RARE and DIM
+    given = learnt.sparkSession.sparkContext.broadcast((model, replace(v, ids={})))  # bounded by OWN, RARE and DIM
+    small = 3 if number == 0 else 0  # small batches first, then larger ones
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        start, v = given.value
+        share, own, held, n, steps = None, None, [], 0, 0
+
+        def batch() -> int:
+            return min(most, least << (steps // 8)) if small else most
+
+        def train(last: bool = False) -> None:
+            nonlocal held, n, steps
+            every, at = np.concatenate(held, axis=1), 0
+            while n - at >= batch() or (last and n > at):
+                size = min(batch(), n - at)
+                own.step(*every[:, at : at + size])
+                at, steps = at + size, steps + 1
+            held, n = [every[:, at:]], n - at
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if own is None:
+                return
+            train(last=True)
+            flat = own.m.moves(start).astype("<f4")
+            blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([share] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["block", "share", "p"])
 
-        parts, v = given.value
-        share = TaskContext.get().partitionId()
-        own = Trainer(LogBilinear([p.copy() for p in parts]), v, 0.1 / (number + 1), SEED + 1000 * number + share)
-        held, n, seen, steps, batch = [], 0, 0, 0, least
         for b in slices(batches):
-            for x in b.column(0).to_pylist():
+            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != share:
+                    yield from done()
+                    share, own, held, n, steps = k, Trainer(start.copy(), v, RATE, SEED + 1000 * number + k), [], 0, 0
                 run = np.concatenate(([end, end], np.frombuffer(x, v.kind), [end]))
-                first = (number + len(run)) % STRIDE
-                each = [run[first + k : len(run) - 2 + k : STRIDE] for k in range(3)]
-                held.append(np.stack(each))
-                n += len(each[0])
-                if n < batch:
-                    continue
-                every, at = np.concatenate(held, axis=1), 0
-                while n - at >= batch:
-                    own.step(*every[:, at : at + batch])
-                    at, seen, steps = at + batch, seen + batch, steps + 1
-                    batch = min(most, least << (steps // 8))  # small batches first, then larger ones
-                held, n = [every[:, at:]], n - at
-        if n:
-            own.step(*np.concatenate(held, axis=1))
-            seen += n
-        if seen:
-            flat = own.m.flat()
-            blocks = [flat[k : k + BLOCK] * np.float32(seen / most) for k in range(0, len(flat), BLOCK)]
-            cols = [pa.array(range(len(blocks)), pa.int32()), pa.array([share] * len(blocks), pa.int32()), pa.array([seen / most] * len(blocks), pa.float64()), pa.array([x.astype("<f4").tobytes() for x in blocks])]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "share", "n", "p"])
+                held.append(np.stack([run[:-2], run[1:-1], run[2:]]))
+                n += len(run) - 2
+                if n >= batch():
+                    train()
+        yield from done()
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(p, "<f4").astype(float) for p in pdf["p"]], axis=0)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "share": [pdf["share"].iloc[0] // 16], "n": [pdf["n"].sum()], "p": [total.astype("<f4").tobytes()]})
-
-    kind = "block int, share int, n double, p binary"
-    got = staged(learnt.select(ids).coalesce(shares).mapInArrow(learn, kind), "lm-parameters")
+        pdf = pdf.sort_values("share")
+        total = np.zeros(len(pdf["p"].iloc[0]) // 4)
+        for p in pdf["p"]:
+            total += np.frombuffer(p, "<f4")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "share": [pdf["share"].iloc[0] // 16], "p": [total.astype("<f4").tobytes()]})
+
+    kind = "block int, share int, p binary"
+    dealt = learnt.select("__share", "__order", ids).repartitionById(shares, F.col("__share")).sortWithinPartitions("__share", "__order")
+    got = staged(dealt.mapInArrow(learn, kind), "lm-moves")
     while shares > 16:  # sixteen shares at a time
-        got, shares = staged(got.groupBy("block", F.floor(F.col("share") / 16).alias("up")).applyInPandas(added, kind), "lm-parameters"), -(-shares // 16)
-    rows = sorted(((r.block, r.n, bytes(r.p)) for r in got.groupBy("block").applyInPandas(added, kind).collect()), key=lambda r: r[0])  # one model
-    return model.like(np.concatenate([np.frombuffer(p, "<f4") / n for _, n, p in rows])) if rows else model
+        got, shares = staged(got.groupBy("block", F.floor(F.col("share") / 16).alias("up")).applyInPandas(added, kind), "lm-moves"), -(-shares // 16)
+    rows = sorted(((r.block, bytes(r.p)) for r in got.groupBy("block").applyInPandas(added, kind).collect()), key=lambda r: r[0])  # one model
+    return model.moved(np.concatenate([np.frombuffer(p, "<f4") for _, p in rows])) if rows else model
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -399,14 +433,18 @@ def score_texts(docs: DataFrame, training, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.arange(row, row + b.num_rows)), *found.values()], [*b.schema.names[:-1], "__row", *found])
             row += b.num_rows
 
-    chosen = docs.select(*keep, F.coalesce(training, F.lit(False)).alias("__learnt"), F.col(text).alias("__text"))
+    shares = max(1, -(-n // (ROUNDS * SHARE_TOKENS)))
+    order = F.xxhash64(*keep, text)
+    chosen = docs.select(
+        *keep, F.when(training, F.pmod(order, F.lit(ROUNDS)).cast("int")).otherwise(-1).alias("__round"), F.pmod(F.shiftrightunsigned(order, 16), F.lit(shares)).cast("int").alias("__share"),
+        order.alias("__order"), F.col(text).alias("__text"),
+    )
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
     ddl = "__row bigint, __size bigint, __known bigint, __base double, __inside double, __rare array<struct<h:bigint,n:bigint>>, __ids binary"
-    encoded = staged(chosen.mapInArrow(written, ", ".join([*head, ddl])), "token-ids")
+    encoded = staged(chosen.mapInArrow(written, ", ".join([*head, ddl])), "token-ids", by=("__round",))
     model = LogBilinear.start(vocab)
-    shares = max(1, -(-n // SHARE_TOKENS))
     for number in range(ROUNDS):
-        model = train_round(encoded.where("__learnt"), "__ids", model, vocab, shares, number)
+        model = train_round(encoded.where(F.col("__round") == number), "__ids", model, vocab, number, shares)
     given = context.broadcast((replace(vocab, ids={}), model.parts))  # bounded by own
     end = vocab.id_of(b"")
 
@@ -435,7 +473,7 @@ def score_texts(docs: DataFrame, training, text: str = "text", keep: tuple[str,
     end_log = math.log10(known.get(b"", 0) + ADD)
     all_mass = math.log10(n + ADD * (v + 1))
     passed = [*keep, "__row", "__size", "__known", "__base", "__inside"]
-    ddl = ", ".join([*head[:-1], "__row bigint, __size bigint, __known bigint, __base double, __inside double, __model double"])
+    ddl = ", ".join([*head[: len(keep)], "__row bigint, __size bigint, __known bigint, __base double, __inside double, __model double"])
     got = encoded.select(*passed, "__ids").mapInArrow(run, ddl).join(sums, F.col("__row") == F.col("__of"), "left")
     rare_log, n_tokens = F.coalesce("__log", F.lit(0.0)), F.col("__size") + 1
     return got.select(

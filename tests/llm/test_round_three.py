@@ -205,3 +205,24 @@ def test_subwords_against_plain():
         words = re.findall(r"[^\W\d_]+", (text or "").lower())
         want = sum(1 for w in words for n in range(1, 5) for s in range(len(w) + 3 - n) if (n > 1 or 0 < s <= len(w)))
         assert len(language_id.subwords(text)) == want, text
+
+
+def test_lm_score_of_many_shares(spark, monkeypatch):
+    """Shares learnt apart keep most of what one learns; splits and partitions don't matter."""
+    from blockloom.llm import lm_score
+    from blockloom.llm.common import id_crc
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", (id_crc() % 10 == 0).alias("held_out"), "text")
+
+    def run(share, table=docs):
+        monkeypatch.setattr(lm_score, "SHARE_TOKENS", share)
+        got = lm_score.score_texts(table, ~table.held_out, keep=("doc_id", "held_out")).toPandas().sort_values("doc_id")
+        held = got[got.held_out]
+        return got, (held.score - held.base_score).sum() / math.log10(2) / held.n_tokens.sum()
+
+    one, gain = run(4_000_000)
+    five, of_five = run(5_600)
+    assert gain > 0.6 and of_five > 0.7 * gain, (gain, of_five)
+    again, _ = run(5_600, docs.repartition(7, "text"))
+    assert np.allclose(five.score, again.score, rtol=1e-6)
+    assert run(1_200)[1] > 0.7 * gain  # 19 shares
