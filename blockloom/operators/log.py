@@ -97,6 +97,23 @@ def verify_log_recipe(records: DataFrame, recipe: DataFrame) -> DataFrame:
     return both.select("vol_id", "ord", *[x.alias(n) for n, x in ok.items()]).withColumn("ok", F.expr("addr_ok and blocks_ok and csum_ok"))
 
 
+def verify_log_sums(records: DataFrame, recipe: DataFrame, payload: str = "payload") -> DataFrame:
+    """Position by position, with both sums: the recipe's against the payload's with salt 0, the record's against the salted one.
+
+    ``records`` has payload, checksum and salt, ``recipe`` a number csum. Of a record with data the
+    sums decide alone; of others address and size do. What is missing on a side is wrong.
+    """
+    from ..functions.checksum import plain_sum, salted
+
+    w = Window.partitionBy("vol_id").orderBy("lsid", "ev")
+    own = records.where(~F.col("is_padding")).select("vol_id", F.row_number().over(w).cast("long").alias("ord"), "addr", "blocks", "checksum", "salt", (~F.col("is_discard")).alias("has_data"), plain_sum(F.col(payload)).alias("zero_sum"))
+    r = recipe.select("vol_id", "ord", *[F.col(c).alias(f"r_{c}") for c in ("addr", "blocks", "csum")])
+    both = own.withColumn("salted_sum", salted(F.col("zero_sum"), F.col("salt"))).join(r, ["vol_id", "ord"], "full")
+    ok = {n: F.coalesce(F.col(a) == F.col(b), F.lit(False)) for n, a, b in (("addr_ok", "addr", "r_addr"), ("blocks_ok", "blocks", "r_blocks"), ("recipe_sum_ok", "r_csum", "zero_sum"), ("record_sum_ok", "checksum", "salted_sum"))}
+    ok["ok"] = F.when(F.col("has_data") & F.col("r_addr").isNotNull(), ok["recipe_sum_ok"] & ok["record_sum_ok"]).otherwise(ok["addr_ok"] & ok["blocks_ok"])
+    return both.select("vol_id", "ord", "zero_sum", "salted_sum", *[c.alias(n) for n, c in ok.items()])
+
+
 def log_padding(records: DataFrame) -> DataFrame:
     """Packs that hold padding, with their number of such records."""
     return records.where("is_padding").groupBy("vol_id", "pack_lsid").agg(F.count("*").alias("n_padding"))

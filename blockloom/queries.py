@@ -175,6 +175,22 @@ def l12_log_block_checksums(t):
     return log.log_block_checksums(_with_bytes(t.log_record), 32)
 
 
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY vol_id ORDER BY lsid, ev) AS ord FROM {_DATA.format('log_record')} WHERE NOT is_padding),
+s AS (SELECT vol_id, ord, addr, blocks, NOT is_discard AS has_data, {sum_sql('payload')} AS zero_sum, {sum_sql('payload', 'vol_id * 7')} AS salted_sum, CASE WHEN is_discard OR ev % 101 = 5 THEN 0 ELSE {sum_sql('payload', 'vol_id * 7')} END AS checksum FROM l),
+r AS (SELECT vol_id, ord, addr, blocks, {sum_sql('payload')} AS csum FROM (SELECT *, repeat(csum, CAST(blocks AS int)) AS payload FROM io_recipe) x),
+j AS (SELECT coalesce(s.vol_id, r.vol_id) AS vol_id, coalesce(s.ord, r.ord) AS ord, zero_sum, salted_sum, has_data AND r.addr IS NOT NULL AS by_sum,
+  coalesce(s.addr = r.addr, false) AS addr_ok, coalesce(s.blocks = r.blocks, false) AS blocks_ok, coalesce(csum = zero_sum, false) AS recipe_sum_ok, coalesce(checksum = salted_sum, false) AS record_sum_ok
+  FROM s FULL JOIN r ON r.vol_id = s.vol_id AND r.ord = s.ord)
+SELECT * EXCLUDE (by_sum), CASE WHEN by_sum THEN recipe_sum_ok AND record_sum_ok ELSE addr_ok AND blocks_ok END AS ok FROM j""")
+def l10_verify_log_sums(t):
+    from .functions.checksum import block_sum, plain_sum
+
+    rows = _with_bytes(t.log_record).withColumn("salt", F.col("vol_id") * 7)
+    rows = rows.withColumn("checksum", F.when(F.col("is_discard") | (F.col("ev") % 101 == 5), 0).otherwise(block_sum(F.col("payload"), F.col("salt"))))
+    recipe = t.io_recipe.withColumn("payload", F.encode(F.expr("repeat(csum, cast(blocks as int))"), "UTF-8"))
+    return log.verify_log_sums(rows, recipe.select("vol_id", "ord", "addr", "blocks", plain_sum(F.col("payload")).alias("csum")))
+
+
 _PACKED = """SELECT vol_id, CAST((ord - 1) // 4 AS bigint) * 1000 AS pack_lsid, (ord - 1) % 4 AS rec_idx, blocks, is_padding, is_discard, ev % 9 <> 4 AS ok
 FROM (SELECT *, row_number() OVER (PARTITION BY vol_id ORDER BY lsid, ev) AS ord FROM log_record) x"""
 
