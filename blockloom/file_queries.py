@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import samples
+import fixture_files as samples  # files for the readers to read, outside the library
+
+from .operators import extent
 from .plans.stage import new_path
 from .queries import query
-from .sources import binary, ingest
+from .sources import binary, ingest, ranges
 
 
 def _vol():
@@ -47,6 +49,26 @@ def i3_read_indexed_diffs(t):
     return _changes(t, 1)
 
 
+@query("""WITH own AS (SELECT *, addr + k AS block, row_number() OVER (PARTITION BY vol_id, addr + k ORDER BY gid DESC, lsid DESC) AS rn FROM (SELECT *, unnest(range(blocks)) AS k FROM change_input) t),
+isles AS (SELECT *, block - row_number() OVER (PARTITION BY vol_id, ev ORDER BY block) AS isle FROM own WHERE rn = 1)
+SELECT vol_id, gid, min(block) AS addr, count(*) AS blocks, rec_type, CASE WHEN rec_type = 'Normal' THEN count(*) * 512 ELSE 0 END AS n_bytes, CASE WHEN rec_type = 'Normal' THEN concat(token, ':', max(k)) END AS last_block
+FROM isles GROUP BY vol_id, gid, ev, isle, rec_type, token""")
+def i3_late_payload(t):
+    """Indexed files, a change set each; winners are found by their indexes, and only winners' images are read."""
+    path = new_path(t.spark, "indexed")
+    each = t.change_input.withColumn("set", F.expr("vol_id * 1048576 + gid"))
+    own = each.select("set", "vol_id", "gid", "ev", F.col("lsid").alias("seq"), F.col("blocks").alias("orig"), "rec_type", "token")
+    runs = extent.latest_wins(each.select(F.col("set").alias("vol_id"), "addr", "blocks", F.col("lsid").alias("seq"))).withColumnRenamed("vol_id", "set")
+    samples.write_files(samples.shared_files(runs.join(own, ["set", "seq"])), path)
+    index = ranges.read_index(ingest.list_folder(t.spark, path))
+    gid = F.regexp_extract("path", r"/(\d+)/(\d+).wdiff$", 2).cast("long")
+    index = index.withColumns({"vol_id": F.regexp_extract("path", r"/(\d+)/(\d+).wdiff$", 1).cast("long"), "gid": gid}).withColumn("seq", F.col("gid") * (1 << 32) + F.col("idx"))
+    got = ranges.late_payload(index)
+    last = F.decode(F.expr("replace(cast(substring(payload, -512, 512) as string), '\\0', '')").cast("binary"), "UTF-8")
+    n = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    return got.join(index.select("vol_id", "seq", "gid"), ["vol_id", "seq"]).select("vol_id", "gid", "addr", "blocks", "rec_type", n.alias("n_bytes"), F.when(F.col("rec_type") == "Normal", last).alias("last_block"))
+
+
 @query("SELECT CAST(floor(addr / 32768) AS bigint) AS vol_id, addr % 32768 AS addr, content FROM image_a")
 def i8_read_image(t):
     """Raw image files of 32,768 blocks (16 MB), written by Spark and read back by splits."""

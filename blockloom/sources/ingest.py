@@ -88,27 +88,24 @@ def parse_status(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.withColumn("status", F.map_from_entries(pairs))
 
 
-def read_image(spark: SparkSession, path: str, block_size: int = 512, piece: int = 128) -> DataFrame:
-    """Blocks (path, addr, data) of full image files; zero blocks are left out.
+def read_image(spark: SparkSession, path: str, block_size: int = 512, range_bytes: int = 1 << 26, odd: str = "error") -> DataFrame:
+    """Blocks (path, addr, data) of the full image files under a folder; zero blocks are left out.
 
-    Files are read by splits of fixed-length records of ``piece`` blocks (of one block, where a
-    file isn't a multiple of that), so an image of any size takes many tasks and little memory.
-    A file that isn't a multiple of ``block_size`` is an error.
+    All files are one scan of byte ranges of at most ``range_bytes``. Files whose length isn't a multiple of
+    ``block_size`` are named in an error, or with ``odd="skip"`` left out: ``odd_images`` lists them.
     """
-    files = list_folder(spark, path).where("length > 0").collect()  # a name and a length for each image file
-    kind, out = "path string, addr bigint, data binary", None
-    for f in files:
-        if f.length % block_size:
-            raise ValueError(f"{f.path} has {f.length} bytes, not a multiple of {block_size}")
-        n = piece if f.length % (piece * block_size) == 0 else 1
-        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(n * block_size)}
-        name = "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable"
-        records = spark.sparkContext.newAPIHadoopFile(f.path, *name, conf=conf).map(lambda r: (r[0], bytes(r[1])))
-        rows = spark.createDataFrame(records, "record bigint, raw binary").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        data = F.substring("raw", F.col("k") * block_size + 1, F.lit(block_size))
-        rows = rows.select(F.lit(f.path).alias("path"), (F.col("record") * n + F.col("k")).alias("addr"), data.alias("data")).where(F.col("data") != F.lit(bytes(block_size)))
-        out = rows if out is None else out.unionByName(rows)
-    return spark.createDataFrame([], kind) if out is None else out
+    from . import ranges
+
+    wrong = odd_images(spark, path, block_size)
+    if odd == "error" and (bad := wrong.limit(20).collect()):
+        raise ValueError(f"not a multiple of {block_size} bytes: " + ", ".join(f"{r.path} ({r.length})" for r in bad))
+    files = list_folder(spark, path).where((F.col("length") > 0) & (F.col("length") % block_size == 0)).select("path", "length")
+    return ranges.read_blocks(spark, [(r.path, r.length) for r in files.collect()], block_size, range_bytes)  # a name and a length for each image file
+
+
+def odd_images(spark: SparkSession, path: str, block_size: int = 512) -> DataFrame:
+    """(path, length) of the files that no whole number of blocks makes up."""
+    return list_folder(spark, path).where(F.col("length") % block_size != 0).select("path", "length")
 
 
 def write_changes(changes: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Native log and change-set files made of the fixtures' rows, as inputs for the readers' queries. One group is one file of few packs."""
+"""Native log and change-set files made of the fixtures' rows, as inputs for the readers' queries and tests; not part of the library. One group is one file of few packs."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.checksum import sum_words
-from .sources import binary as b
+from blockloom.functions.checksum import sum_words
+from blockloom.sources import binary as b
 
 SALT, PBS = 77, 512
 
@@ -69,6 +69,50 @@ def change_file(rows: pd.DataFrame, indexed: bool) -> bytes:
     return b"".join([*out, closed(end + bytes(b.DIFF_PACK_BYTES - len(end)))])
 
 
+def shared_file(rows: pd.DataFrame) -> bytes:
+    """An indexed change set of runs (addr, blocks, off of a record of ``orig`` blocks): runs of one record point into its one image."""
+    flag = {"Normal": 1, "Allzero": 3, "Discard": 5}
+    body, index, at = b.DIFF_HEADER.pack(0, 2, 1, 0, 0, 0, bytes(range(16))), b"", {}
+    for r in rows.sort_values("addr").itertuples():
+        normal = r.rec_type == "Normal"
+        if normal and r.ev not in at:
+            data = zlib.compress(payload(r.token, r.orig), 1)
+            at[r.ev] = len(body), len(data), sum_words(data)
+            body += data
+        off, size, csum = at[r.ev] if normal else (0, 0, 0)
+        index += b.INDEX_RECORD.pack(r.addr, r.blocks, flag[r.rec_type], int(normal), 0, off, size, r.off if normal else 0, r.orig, 0, csum, 0)
+    body += bytes(-len(body) % 8)
+    return body + index + b.INDEX_SUPER.pack(len(body), len(rows), len(at), 0, 0)
+
+
+def shared_files(runs: DataFrame) -> DataFrame:
+    """(path, content): an indexed file of the runs of each change set."""
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, g = int(pdf["vol_id"].iloc[0]), int(pdf["gid"].iloc[0])
+        return pd.DataFrame([(f"{v}/{g}.wdiff", shared_file(pdf))], columns=["path", "content"])
+
+    return runs.groupBy("vol_id", "gid").applyInPandas(make, "path string, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write (path, content) rows as files under a folder that all share; their number."""
+    from blockloom.sources.ranges import file_system
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs, at = file_system(f"{folder}/{name}")
+                fs.create_dir(at.rpartition("/")[0])
+                with fs.open_output_stream(at) as out:
+                    out.write(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return files.mapInArrow(write, "n bigint").groupBy().sum("n").first()[0] or 0
+
+
 def log_files(records: DataFrame, per_file: int = 64) -> DataFrame:
     """(path, content): a file of up to ``per_file`` records that follow each other in a volume."""
     part = F.expr(f"ev div {per_file}").alias("part")
