@@ -89,6 +89,30 @@ def gid_ranges(diffs: DataFrame) -> DataFrame:
     return got.where("end_gid is not null")
 
 
+def diffs_holding(diffs: DataFrame, gids: DataFrame) -> DataFrame:
+    """A row per asked (vol_id, gid) and diff with b_b <= gid < e_b: the diff's columns and ``gid``.
+
+    A diff's range is cut to aligned powers of two, about two for each binary digit of its length.
+    A gid lies in one such place of each size, so both meet by equality on size and place: a
+    volume that holds a third of all diffs is dealt out by place. The sizes at hand, 63 at most,
+    are looked up first.
+    """
+    from .extent import split_aligned
+
+    spans = split_aligned(diffs.withColumns({"addr": F.col("b_b"), "blocks": F.col("e_b") - F.col("b_b")}), 1 << 62)
+    spans = spans.withColumn("level", F.expr("cast(length(bin(blocks)) - 1 as int)")).withColumn("node", F.expr("shiftright(addr, level)")).drop("addr", "blocks")
+    levels = sorted(r[0] for r in spans.select("level").distinct().collect())  # one number a size
+    asked = gids.select(F.col("vol_id").alias("v"), "gid").distinct().withColumn("l", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("n", F.expr("shiftright(gid, l)"))
+    return spans.join(asked, (F.col("vol_id") == F.col("v")) & (F.col("level") == F.col("l")) & (F.col("node") == F.col("n"))).select(*diffs.columns, "gid")
+
+
+def range_diffs(diffs: DataFrame) -> DataFrame:
+    """A row per elementary gid range (begin_gid, end_gid) and diff over it."""
+    ranges = gid_ranges(diffs).where("n_diffs > 0").select(F.col("vol_id").alias("v"), "begin_gid", "end_gid")
+    held = diffs_holding(diffs, ranges.select(F.col("v").alias("vol_id"), F.col("begin_gid").alias("gid")))
+    return held.join(ranges, (F.col("vol_id") == F.col("v")) & (F.col("gid") == F.col("begin_gid"))).select(*diffs.columns, "begin_gid", "end_gid")
+
+
 def max_progress(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("vol_id").agg(F.max_by(F.struct("b_b", "e_b"), F.struct("e_b", "b_b")).alias("d")).select("vol_id", "d.b_b", "d.e_b")
 

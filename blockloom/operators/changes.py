@@ -31,9 +31,19 @@ def change_stats(changes: DataFrame, by: list[str]) -> DataFrame:
     return changes.groupBy(*by).agg(*cols)
 
 
+def in_window(changes: DataFrame, addr: int, blocks: int) -> DataFrame:
+    """The changes that touch an address range."""
+    return changes.where((F.col("addr") < addr + blocks) & (F.col("addr") + F.col("blocks") > addr))
+
+
+def merged_dump(changes: DataFrame, addr: int, blocks: int) -> DataFrame:
+    """An address range of change sets (gid) block by block as merged; only changes that touch it are merged."""
+    return change_dump(merge_changes(in_window(changes, addr, blocks)), addr, blocks)
+
+
 def change_dump(changes: DataFrame, addr: int, blocks: int) -> DataFrame:
     """An address range block by block; Discard and Allzero give '0'. Expects disjoint changes."""
-    hit = changes.where((F.col("addr") < addr + blocks) & (F.col("addr") + F.col("blocks") > addr))
+    hit = in_window(changes, addr, blocks)
     lo, hi = F.greatest("addr", F.lit(addr)), F.least(F.col("addr") + F.col("blocks"), F.lit(addr + blocks))
     rows = hit.withColumn("block", F.explode(F.sequence(lo, hi - 1)))
     off = F.col("off") if "off" in changes.columns else F.lit(0)

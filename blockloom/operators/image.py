@@ -252,11 +252,24 @@ def bulk_checksum(image: DataFrame, bulk: int) -> DataFrame:
 
 
 def verify_image_recipe(image: DataFrame, recipe: DataFrame) -> DataFrame:
-    """Whether the blocks of each recipe line hold that line's content."""
-    lines = recipe.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    lines = lines.select("vol_id", "ord", (F.col("addr") + F.col("k")).alias("addr"), F.when(F.col("csum") != "Z", block_content("csum")).alias("want"))
-    got = lines.join(image.select("vol_id", "addr", "content"), ["vol_id", "addr"], "left")
-    return got.groupBy("vol_id", "ord").agg(F.bool_and(F.col("want").eqNullSafe(F.col("content"))).alias("ok"))
+    """Whether the blocks of each recipe line hold that line's content.
+
+    Lines with content are compared block by block. A line of zeros or of a discard (csum Z or null) is right if
+    as many of the image's blocks lie before its end as before its start, however long it is.
+    """
+    zero = F.col("csum").isNull() | (F.col("csum") == "Z")
+    own = image.select("vol_id", "addr", "content")
+    data = recipe.where(~zero & (F.col("blocks") > 0)).withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    data = data.select("vol_id", "ord", (F.col("addr") + F.col("k")).alias("addr"), block_content("csum").alias("want"))
+    held = data.join(own, ["vol_id", "addr"], "left").groupBy("vol_id", "ord").agg(F.bool_and(F.col("want").eqNullSafe(F.col("content"))).alias("ok"))
+    cut = cut_at_stripes(recipe.where(zero & (F.col("blocks") > 0)).select("vol_id", "ord", "addr", "blocks"))
+    ends = F.explode(F.array(F.struct(F.col("addr").alias("pos"), F.lit(-1).alias("sign")), F.struct((F.col("addr") + F.col("blocks")).alias("pos"), F.lit(1).alias("sign")))).alias("x")
+    edges = cut.select("vol_id", "stripe", "ord", ends).select("vol_id", "stripe", "ord", "x.pos", "x.sign")
+    at = own.select("vol_id", F.shiftright("addr", STRIPE.bit_length() - 1).alias("stripe"), F.lit(None).cast("long").alias("ord"), F.col("addr").alias("pos"), F.lit(0).alias("sign"))
+    w = Window.partitionBy("vol_id", "stripe").orderBy("pos", F.col("sign") == 0).rowsBetween(Window.unboundedPreceding, 0)  # an edge comes before the block at it
+    counted = edges.unionByName(at).withColumn("before", F.count_if(F.col("sign") == 0).over(w)).where("sign <> 0")
+    empty = counted.groupBy("vol_id", "ord").agg((F.sum(F.col("sign") * F.col("before")) == 0).alias("ok"))
+    return held.unionByName(empty)
 
 
 def tree_digest(files: DataFrame, depth: int = 1) -> DataFrame:

@@ -225,7 +225,7 @@ def c3_change_checksum_audit(t):
 
 @query(WIN.format(order="gid DESC, lsid", where="") + "SELECT vol_id, block, CASE WHEN rec_type = 'Normal' THEN concat(token, ':', k) ELSE '0' END AS content FROM win WHERE block >= 1000 AND block < 1300")
 def c4_change_dump(t):
-    return chg.change_dump(chg.merge_changes(t.change_input), 1000, 300)
+    return chg.merged_dump(t.change_input, 1000, 300)
 
 
 @query("SELECT vol_id, ev, addr, blocks, CASE WHEN is_discard THEN 'Discard' WHEN token = 'Z' THEN 'Allzero' ELSE 'Normal' END AS rec_type FROM log_record WHERE NOT is_padding")
@@ -601,6 +601,18 @@ def m6_gid_ranges(t):
     return cat.gid_ranges(t.meta_diff)
 
 
+@query(f"SELECT r.gid, {', '.join('d.' + c for c in _DIFF)} FROM remote_snap r JOIN meta_diff d ON d.vol_id = r.vol_id AND d.b_b <= r.gid AND r.gid < d.e_b")
+def m6_diffs_holding(t):
+    return cat.diffs_holding(t.meta_diff, t.remote_snap).select("gid", *_DIFF)
+
+
+@query(f"""WITH g AS (SELECT vol_id, b_b AS g FROM meta_diff UNION SELECT vol_id, e_b FROM meta_diff),
+r AS (SELECT vol_id, g AS begin_gid, lead(g) OVER (PARTITION BY vol_id ORDER BY g) AS end_gid FROM g)
+SELECT begin_gid, end_gid, {', '.join('d.' + c for c in _DIFF)} FROM r JOIN meta_diff d ON d.vol_id = r.vol_id AND d.b_b <= r.begin_gid AND r.begin_gid < d.e_b WHERE end_gid IS NOT NULL""")
+def m6_range_diffs(t):
+    return cat.range_diffs(t.meta_diff).select("begin_gid", "end_gid", *_DIFF)
+
+
 @query("SELECT vol_id, max(e_b) * 0 + arg_max(b_b, e_b * 1000000 + b_b) AS b_b, max(e_b) AS e_b FROM meta_diff GROUP BY vol_id")
 def m7_max_progress(t):
     return cat.max_progress(t.meta_diff)
