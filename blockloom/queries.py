@@ -13,6 +13,7 @@ from .operators import catalog as cat
 from .operators import changes as chg
 from .operators import extent, image, ledger, log, policy, report
 from .plans.chain import applicable_chain
+from .plans.doubling import chain_of_all
 from .plans.stage import staged
 from .sources import ingest
 
@@ -632,6 +633,12 @@ def m8_applicable_chain_until(t):
     return cat.applicable_until(t.meta_diff, t.base_state, max_ts=datetime(1997, 1, 1), pred=F.col("data_size") <= 400_000).select(*_CHL)
 
 
+@query(WALK + f"SELECT {_CH} FROM walk")
+def m8_chain_of_all(t):
+    """Volumes of more than 50 diffs by pointer doubling, in slices of 64 gids; the others by a walk."""
+    return chain_of_all(t.stored("meta_diff"), t.stored("base_state"), huge=50, width=64).select(*_CHL)
+
+
 @query(_HEAD + f"SELECT {_CH} FROM head")
 def m9_applicable_mergeable_chain(t):
     return cat.applicable_mergeable_chain(t.meta_diff, t.base_state).select(*_CHL)
