@@ -214,6 +214,21 @@ class LogBilinear:
         return out
 
 
+def _alias(share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables to draw tokens of a class in constant time: what of each slot is its own token's, the token of the rest, and the slots of each class."""
+    keep, other = np.ones(len(share)), np.arange(len(share))
+    for lo in range(0, len(share), WIDTH):
+        p = (share[lo : lo + WIDTH] * len(share[lo : lo + WIDTH])).tolist()
+        low, high = [k for k, x in enumerate(p) if x < 1], [k for k, x in enumerate(p) if x >= 1]
+        while low and high:
+            a, b = low.pop(), high[-1]
+            keep[lo + a], other[lo + a] = p[a], lo + b
+            p[b] -= 1 - p[a]
+            if p[b] < 1:
+                low.append(high.pop())
+    return keep, other, np.array([len(share[lo : lo + WIDTH]) for lo in range(0, len(share), WIDTH)])
+
+
 class Trainer:
     """Noise-contrastive steps with AdaGrad on batches of (two before, one before, token)."""
 
@@ -221,53 +236,73 @@ class Trainer:
         self.m, self.v, self.rate, self.k, self.k_token = model, v, rate, k, k_token
         self.rng, self.seen = np.random.default_rng(seed), model.seen
         self.p_class = np.exp(v.log_class)
-        self.upto = np.cumsum(v.share)  # classes are laid one after another, each of length one
+        self.alias = _alias(v.share)
         self.log_noise = np.log(np.maximum(v.share, 1e-12) * k_token).astype(np.float32)
         self.log_class = (v.log_class + math.log(k)).astype(np.float32)
 
     @staticmethod
-    def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places that occur, and the sums of rows of ``g`` by place."""
+    def _groups(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order by place, where each place begins in it, and the places."""
         order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        return at[first], np.add.reduceat(g[order], first, axis=0)
+        return order, first, at[first]
+
+    def _rows(self, at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that occur, and the sums of rows of ``g`` by place."""
+        order, first, places = self._groups(at)
+        return places, np.add.reduceat(g.take(order, axis=0), first, axis=0)
 
     def _move(self, part: int, at, g: np.ndarray) -> None:
         """An AdaGrad step of the rows ``at`` of a part; the others have no gradient and stay as they are."""
         p, s = self.m.parts[part], self.seen[part]
         g = g.astype(np.float32)
-        s[at] += np.einsum("ij,ij->i", g, g)[:, None] / g.shape[1] if p.ndim == 2 else g * g
-        p[at] -= np.float32(self.rate) * g / np.sqrt(s[at])
+        square = np.einsum("ij,ij->i", g, g)[:, None] / np.float32(g.shape[1]) if p.ndim == 2 else g * g
+        if isinstance(at, slice):
+            s += square
+            p -= np.float32(self.rate) / np.sqrt(s) * g
+        else:
+            square += s.take(at, axis=0)
+            s[at] = square
+            p[at] = p.take(at, axis=0) - np.float32(self.rate) / np.sqrt(square) * g
+
+    def _noise(self, cls: np.ndarray) -> np.ndarray:
+        """Tokens of the classes drawn by their shares: a slot of the class, and its token or the one that fills it up."""
+        keep, other, width = self.alias
+        place = self.rng.random((len(cls), self.k_token)) * width[cls][:, None]
+        slot = place.astype(np.int64)
+        place -= slot
+        slot += cls[:, None] * WIDTH
+        return np.where(place < keep.take(slot), slot, other.take(slot))
 
     def step(self, two: np.ndarray, one: np.ndarray, t: np.ndarray) -> None:
         m, v, size = self.m, self.v, len(t)
-        a0, a1 = m.a[two], m.a[one]
+        a0, a1 = m.a.take(two, axis=0), m.a.take(one, axis=0)
         q = a0 @ m.places[0] + a1 @ m.places[1]
         cls = v.class_of(t)
         drawn = self.rng.choice(len(self.p_class), self.k, p=self.p_class)
         off = self.log_class
-        real = np.einsum("ij,ij->i", q, m.classes[cls]) + m.class_bias[cls] - off[cls]
+        near = m.classes.take(cls, axis=0)
+        real = np.einsum("ij,ij->i", q, near) + m.class_bias[cls] - off[cls]
         false = q @ m.classes[drawn].T + m.class_bias[drawn] - off[drawn]
         g_real, g_false = (_sigmoid(real) - 1) / size, _sigmoid(false) / np.float32(size)
-        dq = g_real[:, None] * m.classes[cls] + g_false @ m.classes[drawn]
+        dq = g_real[:, None] * near + g_false @ m.classes[drawn]
         both, g_both = np.concatenate((cls, drawn)), np.concatenate((g_real, g_false.sum(axis=0)))
         moves = [(2, *self._rows(both, np.concatenate((g_real[:, None] * q, g_false.T @ q)))), (3, slice(None), np.bincount(both, g_both, minlength=len(m.classes)))]
         own = np.flatnonzero(t < v.own)
         if len(own):
-            c = cls[own]
-            noise = np.searchsorted(self.upto, c[:, None] + self.rng.random((len(own), self.k_token)))
-            noise = np.minimum(np.minimum(noise, (c[:, None] + 1) * WIDTH - 1), v.own - 1)
-            at = np.concatenate((t[own][:, None], noise), axis=1)
-            vec = m.tokens[at]
-            x = np.einsum("id,ikd->ik", q[own], vec) + m.token_bias[at] - self.log_noise[at]
-            g = _sigmoid(x)
+            c, mine = cls[own], q[own]
+            at = np.concatenate((t[own][:, None], self._noise(c)), axis=1)
+            vec = m.tokens.take(at, axis=0)
+            g = _sigmoid(np.einsum("id,ikd->ik", mine, vec) + m.token_bias.take(at) - self.log_noise.take(at))
             g[:, 0] -= 1
             g /= size
             dq[own] += np.einsum("ik,ikd->id", g, vec)
-            places, d_tokens = self._rows(at.ravel(), (g[:, :, None] * q[own][:, None, :]).reshape(-1, q.shape[1]))
-            d_bias = np.bincount(at.ravel(), g.ravel(), minlength=len(m.token_bias))
-            moves += [(4, places, d_tokens), (5, places, d_bias[places])]
+            order, first, places = self._groups(at.ravel())
+            each = g.ravel().take(order)
+            rows = mine.take(order // at.shape[1], axis=0)
+            rows *= each[:, None]
+            moves += [(4, places, np.add.reduceat(rows, first, axis=0)), (5, places, np.add.reduceat(each, first))]
         moves.append((0, *self._rows(np.concatenate((two, one)), np.concatenate((dq @ m.places[0].T, dq @ m.places[1].T)))))
         moves.append((1, slice(None), np.stack([a0.T @ dq, a1.T @ dq])))
         for move in moves:

@@ -226,3 +226,14 @@ def test_lm_score_of_many_shares(spark, monkeypatch):
     again, _ = run(5_600, docs.repartition(7, "text"))
     assert np.allclose(five.score, again.score, rtol=1e-6)
     assert run(1_200)[1] > 0.7 * gain  # 19 shares
+
+
+def test_noise_follows_the_shares():
+    from blockloom.llm import lm_score
+
+    v = lm_score.vocabulary([(f"t{k}".encode(), 5000 // (k + 1) + 1) for k in range(lm_score.WIDTH + 40)], {})
+    trainer = lm_score.Trainer(lm_score.LogBilinear.start(v), v, 0.1, 1, k_token=1)
+    for cls, size in ((0, lm_score.WIDTH), (1, 40)):
+        drawn = np.bincount(trainer._noise(np.full(200_000, cls))[:, 0], minlength=v.own) / 200_000
+        want = np.where(v.class_of(np.arange(v.own)) == cls, v.share, 0)
+        assert (drawn[want == 0] == 0).all() and np.abs(drawn - want).max() < 0.005 and (want > 0).sum() == size
