@@ -182,7 +182,7 @@ def pack_documents(df: DataFrame, text: str, tokenizer: str, keep: tuple[str, ..
         own = {"start": start, "length": [len(x) for x in ids], "ids_crc32": [zlib.crc32(r) for r in raw], "sequence_id": sequence, "offset": offset, "ids": raw}
         return out.assign(**own) if with_ids else out.assign(**own).drop(columns="ids")
 
-    chosen = df.select(*keep, F.col(text).alias("__text"))
+    chosen = df.select(*(F.col(f"`{k}`").alias(f"__keep{i}") for i, k in enumerate(keep)), F.col(text).alias("__text"))  # whatever they are called
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1])
     tail = ", ids binary" if with_ids else ""
     pieces = staged(chosen.mapInArrow(run, f"{kept}{PIECES}, left_over boolean, ids binary"), "pieces")
@@ -190,4 +190,5 @@ def pack_documents(df: DataFrame, text: str, tokenizer: str, keep: tuple[str, ..
     left = pieces.where("left_over").drop("left_over")
     group = F.floor(F.shiftright("sequence_id", _NUMBERS) / merge_partitions).cast("long")
     merged = left.withColumn("__group", group).groupBy("__group").applyInPandas(merge, f"{kept}{PIECES}{tail}")
-    return whole.unionByName(merged)
+    own = [c for c in whole.columns if not c.startswith("__keep")]
+    return whole.unionByName(merged).select(*(F.col(f"__keep{i}").alias(k) for i, k in enumerate(keep)), *own)

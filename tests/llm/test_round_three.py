@@ -237,3 +237,71 @@ def test_noise_follows_the_shares():
         drawn = np.bincount(trainer._noise(np.full(200_000, cls))[:, 0], minlength=v.own) / 200_000
         want = np.where(v.class_of(np.arange(v.own)) == cls, v.share, 0)
         assert (drawn[want == 0] == 0).all() and np.abs(drawn - want).max() < 0.005 and (want > 0).sum() == size
+
+
+def test_toxicity_against_plain_counts(spark):
+    """Counts, ratios, chi-squares (ties among them), the optimum and scores, from strings of n-grams."""
+    from blockloom.llm import toxicity
+
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choices(["vile", "foul", "good", "day", "é"], [3, 3, 1, 1, 1] if i % 3 == 0 else [0.3, 0.3, 3, 3, 1], k=12)), int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in texts] + [(99, "not labelled vile", "x"), (None, None, "x")], "doc_id bigint, text string, toxic string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts] + [(0, 0), (1, None), (500, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, features=40)
+
+    def grams(t):
+        c = f" {t.lower()} "
+        return {c[k : k + n] for n in toxicity.SIZES for k in range(len(c) - n + 1)}
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * int(toxicity._MULTIPLIER) + ord(c) + 1) % (1 << 64)
+        return ((h ^ (h >> 29)) * int(toxicity._MIX)) % (1 << 64) >> (64 - toxicity.BITS)
+
+    of = {i: {bucket(g) for g in grams(t)} for i, t, _ in texts}
+    p, q = 20, 40
+    a = {b: sum(b in of[i] for i, _, y in texts if y) for b in set().union(*of.values())}
+    n = {b: sum(b in of[i] for i, _, y in texts if not y) for b in a}
+    chi = {b: (a[b] * (q - n[b]) - n[b] * (p - a[b])) ** 2 / ((a[b] + n[b]) * (p + q - a[b] - n[b] + 1e-9)) for b in a}
+    best = sorted(a, key=lambda b: (-chi[b], b))[:40]
+    assert len({chi[b] for b in a}) < len(a) and model.bucket.tolist() == best
+    ratio = np.array([math.log((a[b] + 1) / (p + 2)) - math.log((n[b] + 1) / (q + 2)) for b in best])
+    x, y = np.array([[b in of[i] for b in best] for i, _, _ in texts], float), np.array([y for *_, y in texts])
+    z = model.bias + x @ model.coefficient
+    gap = (1 / (1 + np.exp(-z)) - y) / len(y)
+    weight = model.coefficient / ratio
+    assert np.abs((gap @ x) * ratio + 1e-3 * weight).max() < 5e-3 and abs(gap.sum()) < 5e-3  # near the optimum
+    got = {s.doc_id: s for s in toxicity.score(docs, model, keep=("doc_id",)).collect()}
+    assert all(math.isclose(got[i].score, 1 / (1 + math.exp(-v)), rel_tol=1e-9) and got[i].predicted == int(got[i].score >= 0.3) for (i, *_), v in zip(texts, z, strict=True))
+    assert math.isclose(got[None].score, 1 / (1 + math.exp(-model.bias))) and len(got) == 62
+
+
+def test_pieces_of_columns_by_any_name(spark):
+    from blockloom.llm import packing
+
+    rows = [(k, f"w{k} " * (k % 7), k, "a") for k in range(40)]
+    df = spark.createDataFrame(rows, "left_over bigint, text string, ids int, __group string")
+    got = packing.pack_documents(df, "text", queries.vocabulary("byte_bpe_50k.json"), keep=("left_over", "ids", "__group")).collect()
+    assert {(r.left_over, r.ids, r["__group"]) for r in got} == {(k, k, "a") for k in range(40)}
+
+
+@pytest.mark.parametrize("rows", [[], [(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (4, [2.0, 4.0], 1), (5, [1.0, 2.0], None), (5, None, 1)]], ids=["empty", "nulls"])
+def test_embedding_edges(spark, tmp_path, rows):
+    data = [(i, v, label, 7, "x") for i, v, label in rows]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int, node int, links string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op3_embedding_dedup(spark, str(tmp_path)).collect()
+    links = sorted((r.vec_id is not None, r.vec_id or 0, r.n_links, r.component_id) for r in got)
+    want = [(False, 0, 3, 3), (False, 0, 3, 3), (True, 3, 3, 3), (True, 4, 3, 3), (True, 5, 0, 5), (True, 5, 0, 5)] if rows else []
+    assert links == want
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (1, None), (2, ""), (3, "http://a.net"), (3, "http://a.net"), (4, "http://x.org/fr/" + "a/" * 50_000), (5, "no scheme"), (None, "HTTP://B.COM/?q")]], ids=["empty", "edges"])
+def test_url_edges(spark, tmp_path, rows):
+    spark.createDataFrame([(i, u, "h", "net/", 1) for i, u in rows], "page_id bigint, url string, html string, rule string, verdict int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict) for r in queries.op7_url_filter(spark, str(tmp_path)).collect()), key=str)
+    assert len(got) == len(rows)
+    if rows:
+        assert [g[:4] for g in got].count((3, "a.net", 0, None)) == 2 and sum(g[0] == 1 for g in got) == 2
+        assert next(g for g in got if g[0] == 4)[1:] == ("x.org", 100_004, "org/fr/", "allow")
+        assert next(g for g in got if g[0] == 0)[1:4] == ("b.com", 1, None)
