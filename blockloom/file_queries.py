@@ -9,7 +9,8 @@ import fixture_files as samples  # files for the readers to read, outside the li
 
 from .operators import extent
 from .plans.stage import new_path
-from .queries import query
+from .operators import image
+from .queries import _ENTRY, _folded, query
 from .sources import binary, ingest, ranges
 
 
@@ -106,3 +107,15 @@ def i11_write_image(t):
 @query("SELECT vol_id, CAST((vol_id * 31 + CAST(floor(addr / 65536) AS bigint)) % 64 AS int) AS bucket, count(*) AS n_blocks, CAST(7 AS bigint) AS version FROM volume_image GROUP BY 1, 2")
 def i11_image_manifest(t):
     return ingest.write_image(t.volume_image, new_path(t.spark, "image"), 7)
+
+
+_FILES = "SELECT concat(o_custkey % 100, '/', o_custkey) AS path, concat('orders ', sum(o_orderkey)) AS content FROM orders GROUP BY o_custkey"
+_LEVEL = "SELECT coalesce(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS path, " + _ENTRY.format("path") + " FROM {}"
+
+
+@query(f"""WITH e AS (SELECT path, sha256(content) AS digest FROM ({_FILES}) x), f AS ({_folded(_LEVEL.format('e'), 'path')}), r AS ({_folded(_LEVEL.format('f'), 'path')})
+SELECT path, digest FROM e UNION ALL SELECT path, digest FROM f UNION ALL SELECT path, digest FROM r""")
+def d18_folder_digest(t):
+    path = new_path(t.spark, "tree")
+    samples.write_files(t.sql(_FILES).select("path", F.encode("content", "UTF-8").alias("content")), path)
+    return image.folder_digests(t.spark, path)

@@ -212,3 +212,32 @@ def clean_records(store: Store) -> int:
     live = store.read("diff", m).select(*KEY)
     dead = store.touched("record", store.read("record", m).join(live, KEY, "left_anti"))
     return store.commit(m, "records cleaned", {"record": (dead, store.write("record", store.read("record", m, dead).join(live, KEY, "left_semi")))})
+
+
+COPY_LAYOUTS = {"image": LAYOUTS["image"], "copied": Layout("archive_uuid string, gid_b bigint, gid_e bigint, done int", ("done",))}
+
+
+def copy_image(source: Store, target: Store, archive_uuid: str, gid_b: int, gid_e: int, at_once: int = 4, most: int | None = None) -> list[int]:
+    """A full copy of an image to a store of ``COPY_LAYOUTS`` with as many buckets, a few buckets a commit; the buckets copied now.
+
+    The target's table ``copied`` names the buckets that are done, in the same commit as their
+    blocks; a run that starts again for the same archive and state copies the others only. For
+    another archive or state it starts from the beginning. ``most`` bounds the buckets of a run.
+    """
+    if source.buckets != target.buckets:
+        raise ValueError("source and target differ in their buckets")
+    held, m = source.manifest(), target.manifest()
+    done = target.read("copied", m)
+    same = done.where((F.col("archive_uuid") == archive_uuid) & (F.col("gid_b") == gid_b) & (F.col("gid_e") == gid_e))
+    if done.count() > same.count():
+        every = range(target.buckets)
+        target.commit(m, "another state: copied anew", {"image": (every, {}), "copied": (every, {})})
+        m = target.manifest()
+    ready = {r.done for r in target.read("copied", m).collect()}  # buckets at most
+    left = [b for b in range(target.buckets) if b not in ready][:most]
+    for k in range(0, len(left), at_once):
+        some, m = left[k : k + at_once], target.manifest()
+        image = target.write("image", source.read("image", held, some))
+        rows = target.spark.createDataFrame([(archive_uuid, gid_b, gid_e, b) for b in some], COPY_LAYOUTS["copied"].ddl)
+        target.commit(m, "copied", {"image": (some, image)}, {"copied": target.write("copied", rows)})
+    return left

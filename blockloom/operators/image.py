@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
@@ -283,3 +287,57 @@ def tree_digest(files: DataFrame, depth: int = 1) -> DataFrame:
         level = folded_digest(own, ["folder"], "p").withColumnRenamed("folder", "path")
         out = out.unionByName(level)
     return out
+
+
+def file_digests(spark: SparkSession, path: str, piece: int = 1 << 26) -> DataFrame:
+    """(path, digest, modified) of the files under a folder, their paths from there. A file of over ``piece`` bytes is read in ranges by many tasks: its digest is that of its ranges' digests."""
+    import hashlib
+
+    from ..sources.ranges import file_system
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, start, end in zip(*(b.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+                fs, at = file_system(name)
+                h = hashlib.sha256()
+                with fs.open_input_file(at) as f:
+                    for k in range(start, end, 1 << 23):
+                        h.update(f.read_at(min(1 << 23, end - k), k))
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("start"), pa.array(out, pa.string())], ["path", "start", "digest"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    found = staged(found, "files")
+    ranges = found.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {piece}L)")).alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + piece, F.col("length")).alias("end"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = staged(ranges.repartition(width, "path", "start").mapInArrow(run, "path string, start bigint, digest string"), "piece-digests")
+    whole = found.select("path", "length", "modificationTime", (F.col("length") > piece).alias("cut"))
+    one = pieces.join(whole.where("not cut").select("path"), "path").select("path", "digest")
+    many = folded_digest(pieces.join(whole.where("cut").select("path"), "path").withColumn("p", F.expr(f"start div {piece}")), ["path"], "p")
+    root = re.sub(r"^file:/*", "/", path).rstrip("/") if path.startswith("file:") else path.rstrip("/")
+    got = one.unionByName(many).join(whole.select("path", "modificationTime"), "path")
+    return got.select(F.regexp_replace("path", "^(file:)?/*" + re.escape(root.lstrip("/")) + "/", "").alias("path"), "digest", F.col("modificationTime").alias("modified"))
+
+
+def folder_digests(spark: SparkSession, path: str, times: bool = False, piece: int = 1 << 26) -> DataFrame:
+    """(path, digest) of every file and folder under a folder, whose own path is empty: a folder's is that of its entries' names and digests, in order of name.
+
+    Folders are folded from the deepest level that the data has upwards. ``times`` takes the files'
+    times of change into their folders' digests. Spark lists no empty files, so these, and folders that hold nothing else, take no part.
+    """
+    stamp = F.concat_ws("@", "digest", F.unix_micros("modified").cast("string")) if times else F.col("digest")
+    files = file_digests(spark, path, piece).select("path", "digest", stamp.alias("entry"), F.size(F.split("path", "/")).alias("depth"))
+    files = staged(files, "file-digests")
+    deepest = files.agg(F.max("depth")).first()[0] or 0
+    out, folders = files.select("path", "digest"), None
+    for depth in range(deepest, 0, -1):
+        level = files.where(F.col("depth") == depth).select("path", "entry")
+        level = level if folders is None else level.unionByName(folders)
+        split = level.select(F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "entry")
+        at = F.row_number().over(Window.partitionBy("folder").orderBy("name")) - 1
+        own = split.select("folder", at.alias("p"), F.sha2(F.concat_ws("=", "name", "entry"), 256).alias("digest"))
+        done = staged(folded_digest(own, ["folder"], "p").withColumnRenamed("folder", "path"), "folder-digests")
+        out, folders = out.unionByName(done), done.select("path", F.col("digest").alias("entry"))
+    return out

@@ -76,3 +76,14 @@ def m19_expire_images(t):
     archive.expire_before(store, _everywhere(t, 5))
     diffs = store.read("diff").select(F.lit("diff").alias("what"), "vol_id", F.col("b_b").alias("gid_b"), F.col("e_b").alias("gid_e"))
     return diffs.unionByName(store.read("cold").select(F.lit("image").alias("what"), "vol_id", F.col("gid").alias("gid_b"), F.col("gid").alias("gid_e")))
+
+
+@query("SELECT vol_id, addr, content FROM volume_image")
+def d12_resumed_copy(t):
+    """A full copy that stops after six of sixteen buckets; the second run copies the others."""
+    source, path = _archive(t), new_path(t.spark, "copy")
+    Store(t.spark, path, archive.COPY_LAYOUTS, source.buckets)
+    archive.copy_image(source, Store(t.spark, path, archive.COPY_LAYOUTS), "a", 0, 0, most=6)
+    target = Store(t.spark, path, archive.COPY_LAYOUTS)
+    archive.copy_image(source, target, "a", 0, 0)
+    return target.read("image")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import changes as chg
 from .plans.stage import new_path
-from .queries import _DATA, _LAID, Inputs, query, sum_sql
+from .queries import _DATA, _LAID, WIN, Inputs, query, sum_sql
 from .streaming import jobs
 
 _STEPS = 3
@@ -80,6 +80,21 @@ def s2_stream_fanout(t):
     return sides[0].intersect(sides[1])
 
 
+@query(WIN.format(order="gid DESC, lsid", where="") + "SELECT vol_id, block, CASE WHEN rec_type = 'Normal' THEN concat(token, ':', k) ELSE '0' END AS content FROM win")
+def s2_sent_data(t):
+    """The blocks of all merged diffs that a destination was sent, of which the farthest holds a block's newest content; nothing stays pending."""
+    path = new_path(t.spark, "s2")
+    for job in jobs.stream_fanout(_replay(t, t.change_meta, "e_b"), t.change_input, {"a": path}, max_nr=3):
+        _done(job)
+    left = t.spark.read.parquet(f"{path}/tables/pending/batch={_STEPS - 1}")
+    if not left.isEmpty():
+        raise AssertionError("diffs are still pending")
+    sent = t.spark.read.parquet(f"{path}/tables/sent").select("vol_id", "round", "batch", "e_b")
+    rows = t.spark.read.parquet(f"{path}/tables/data").join(sent, ["vol_id", "round", "batch"]).withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    content = F.when(F.col("rec_type") == "Normal", chg.block_content(k=F.col("off") + F.col("k"))).otherwise("0")
+    return rows.groupBy("vol_id", (F.col("addr") + F.col("k")).alias("block")).agg(F.max_by(content, "e_b").alias("content"))
+
+
 _OWN = "SELECT vol_id, b_b AS gid, concat('u', vol_id) AS uuid, CASE WHEN vol_id % 9 = 4 THEN 10 ELSE 100 END AS size FROM base_state"
 _ARRIVING = "SELECT vol_id, b_b, e_b, is_comp_diff, CASE WHEN b_b % 10 = 3 THEN 'x' ELSE concat('u', vol_id) END AS uuid, 50 AS size, b_b % 20 < 10 AS from_proxy FROM meta_diff"
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,18 +92,29 @@ def stream_compact(log_stream: DataFrame, out: str, checkpoint: str, max_blocks:
 
 
 def stream_fanout(catalog_stream: DataFrame, changes: DataFrame, destinations: dict[str, str], max_size: int = 128 << 20, max_nr: int = 1000) -> list[StreamingQuery]:
-    """One query and checkpoint per destination (name: folder); each batch sends one merged diff a volume, and the rest stays pending.
+    """One query and checkpoint per destination (name: folder); each batch sends merged diffs in rounds, one a volume in each, until nothing is left to send.
 
-    Tables ``sent`` (the merged diff) and ``data`` (its changes). ``catalog_stream``: diffs with uuid.
+    Tables ``sent`` (the merged diffs, with their round) and ``data`` (their changes). Rounds are as many as the volume
+    with most diffs has runs of ``max_nr`` or ``max_size``. ``catalog_stream``: diffs with uuid.
     """
 
     def work(df: DataFrame, t: Tables) -> None:
         pending = t.before("pending", df.schema).unionByName(df)
-        run = t.write("run", proxy_send_list(pending, max_size, max_nr))
-        sent = t.write("sent", merge_meta(run))
-        own = changes.join(sent.select("vol_id", "b_b", "e_b"), "vol_id").where("gid > b_b and gid <= e_b").drop("b_b", "e_b")
-        t.write("data", merge_changes(own))
-        t.write("pending", pending.join(run.select(*_KEY), _KEY, "left_anti"))
+        merged: list[DataFrame] = []
+        while True:
+            at = f"round={len(merged)}"
+            run = t.write(f"run/{at}", proxy_send_list(pending, max_size, max_nr))
+            if run.isEmpty():
+                break
+            merged.append(merge_meta(run).withColumn("round", F.lit(len(merged))))
+            pending = t.write(f"left/{at}", pending.join(run.select(*_KEY), _KEY, "left_anti"))
+        t.write("pending", pending)
+        if not merged:
+            return
+        sent = t.write("sent", reduce(DataFrame.unionByName, merged)).withColumn("key", F.xxhash64("vol_id", "round"))
+        own = changes.join(sent.select("vol_id", "b_b", "e_b", "round", "key"), "vol_id").where("gid > b_b and gid <= e_b").drop("b_b", "e_b")
+        data = merge_changes(own.withColumn("vol_id", F.col("key"))).withColumnRenamed("vol_id", "key")  # each sent diff by itself
+        t.write("data", data.join(sent.select("key", "vol_id", "round"), "key").drop("key"))
 
     return [each_batch(catalog_stream, work, f"{path}/tables", f"{path}/checkpoint") for path in destinations.values()]
 
@@ -225,6 +237,38 @@ def stream_implicit_snapshots(log_stream: DataFrame, out: str, checkpoint: str,
     return each_batch(log_stream, work, out, checkpoint)
 
 
+def _interval(seconds: int, max_send: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def rule(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lsid, last, gid, due = state.get if state.exists else (0, 0, 0, 0)
+        for pdf in batches:
+            lsid = max([lsid, *pdf["next_lsid"].tolist()])  # no rows where only the timer calls
+        now, out = state.getCurrentProcessingTimeMs(), []
+        if due and now >= due:
+            if lsid > last:
+                gid, last = gid + 1 + (lsid - last) // max_send, lsid
+                out.append((key[0], lsid, gid, pd.Timestamp(now, unit="ms")))
+            due = 0
+        elif not due and lsid > last:
+            due = now + seconds * 1000
+        state.update((lsid, last, gid, due))
+        if due:  # each call sets the timer anew, for what is left of the interval
+            state.setTimeoutDuration(max(1, due - now))
+        yield pd.DataFrame(out, columns=["vol_id", "lsid", "gid", "ts"])
+
+    return rule
+
+
+def stream_timed_snapshots(log_stream: DataFrame, seconds: int = 10, max_send: int = 1 << 18) -> DataFrame:
+    """(vol_id, lsid, gid, ts): a snapshot at the end of each interval of the clock on the wall in which a volume's log advanced.
+
+    An interval begins with a volume's first record after its last snapshot and ends by a timer, so a
+    log that falls quiet gets its snapshot too. Gids follow the ledger's rule. To run with a processing-time trigger.
+    """
+    kinds = "vol_id bigint, lsid bigint, gid bigint, ts timestamp"
+    rows = log_stream.select("vol_id", "next_lsid")
+    return rows.groupBy("vol_id").applyInPandasWithState(_interval(seconds, max_send), kinds, "lsid bigint, last bigint, gid bigint, due bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def stream_log_check(log_stream: DataFrame, out: str, checkpoint: str, pbs: int = 512) -> StreamingQuery:
     """Tables ``found`` (vol_id, pack_lsid, what: gap, record, padding, checksum) and ``sums`` (of each physical block).
 
