@@ -238,6 +238,23 @@ def diff_totals(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("vol_id").agg(*[c.alias(n) for n, c in agg.items()])
 
 
+def can_apply(diffs: DataFrame, states: DataFrame) -> DataFrame:
+    """Each diff and whether it applies to its volume's state; where that is applying, only a diff that goes at least as far."""
+    begun = states.select("vol_id", F.when(F.col("is_applying"), F.col("e_b")).alias("begun"))
+    ok = (F.col("relation") == "APPLICABLE") & (F.col("begun").isNull() | (F.col("begun") <= F.col("e_b")))
+    return relation(diffs, states).join(begun, "vol_id").withColumn("can_apply", ok).drop("begun", "relation", "s_b", "s_e")
+
+
+def can_apply_list(lists: DataFrame, states: DataFrame) -> DataFrame:
+    """(vol_id, can_apply) of lists of diffs in order of ``pos``: whether each applies to the snapshot after those before it, and all together go as far as an apply that had begun."""
+    at = F.coalesce(F.lag("e_b").over(Window.partitionBy("vol_id").orderBy("pos")), F.col("s"))
+    first = states.select("vol_id", F.col("b_b").alias("s"), F.when(F.col("is_applying"), F.col("e_b")).alias("begun"))
+    each = lists.join(first, "vol_id").withColumn("at", at)
+    ok = F.expr("e_b > at and (if(is_comp_diff, b_b = at, b_b <= at))")
+    got = each.groupBy("vol_id").agg(F.bool_and(ok).alias("all"), F.max_by("e_b", "pos").alias("end"), F.max("begun").alias("begun"))
+    return got.select("vol_id", (F.col("all") & (F.col("begun").isNull() | (F.col("begun") <= F.col("end")))).alias("can_apply"))
+
+
 def begin_apply(base: DataFrame, plan: DataFrame) -> DataFrame:
     """States marked as applying up to their plan's last snapshot."""
     last = plan.groupBy("vol_id").agg(F.max_by(F.struct("s_b", "s_e", "ts"), "pos").alias("l"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -122,12 +123,19 @@ def redo_io_counts(changes: DataFrame, mode: str, size: int) -> DataFrame:
     return changes.groupBy("vol_id").agg(F.count("*").alias("n_in"), F.count_if(done).alias("n_out"), F.sum("blocks").cast("long").alias("blocks_in"), F.coalesce(F.sum(F.when(done, F.col("blocks"))), F.lit(0)).cast("long").alias("blocks_out"))
 
 
-def image_diff(a: DataFrame, b: DataFrame, size: int | None = None) -> DataFrame:
-    """Addresses below ``size`` whose content differs; an absent block is zero."""
-    right = b.select(F.col("addr").alias("b_addr"), F.col("content").alias("b_content"))
-    both = a.join(right, F.col("addr") == F.col("b_addr"), "full").withColumn("addr", F.coalesce("addr", "b_addr"))
+def _beside(a: DataFrame, b: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """Both sides' rows by keys, in a full join: the keys, the left's columns and the right's ``values`` by their new names."""
+    right = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(n) for c, n in values.items()])
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
+    return a.join(right, same, "full").withColumns({k: F.coalesce(k, f"__{k}") for k in keys}).drop(*[f"__{k}" for k in keys])
+
+
+def image_diff(a: DataFrame, b: DataFrame, size: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Addresses below ``size`` whose content differs, by the columns of ``by`` (a volume, say) where given; an absent block is zero."""
+    keys = [*(by or []), "addr"]
+    both = _beside(a.select(*keys, "content"), b, keys, {"content": "b_content"})
     both = both.where(F.col("addr") < size) if size is not None else both
-    return both.where(~F.col("content").eqNullSafe(F.col("b_content"))).select("addr", "content", "b_content")
+    return both.where(~F.col("content").eqNullSafe(F.col("b_content"))).select(*keys, "content", "b_content")
 
 
 def image_diff_counts(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
@@ -137,8 +145,9 @@ def image_diff_counts(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
 
 def image_diff_mask(diff: DataFrame) -> DataFrame:
     """``_`` where a byte of the two contents agrees, ``X`` where it doesn't."""
-    chars = lambda c: F.split(F.coalesce(F.col(c), F.lit("0")), "")
-    mask = F.zip_with(chars("content"), chars("b_content"), lambda x, y: F.when(x.eqNullSafe(y), "_").otherwise("X"))
+    own = lambda c: F.coalesce(F.col(c), F.lit("0").cast(diff.schema[c].dataType))
+    each = lambda c: F.regexp_extract_all(F.hex(own(c).cast("binary")), F.lit("(..)"))
+    mask = F.zip_with(each("content"), each("b_content"), lambda x, y: F.when(x.eqNullSafe(y), "_").otherwise("X"))
     return diff.select("addr", F.array_join(mask, "").alias("mask"))
 
 
@@ -175,21 +184,21 @@ def image_digest(image: DataFrame, chunk_blocks: int, by: list[str]) -> DataFram
     return folded_digest(d.withColumn("p", F.floor(F.col("chunk") / chunk_blocks)), by, "p")
 
 
-def differing_chunks(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
-    a, b = chunk_digest(src, bulk), chunk_digest(dst, bulk).withColumnsRenamed({"chunk": "b_chunk", "digest": "b_digest"})
-    both = a.join(b, F.col("chunk") == F.col("b_chunk"), "full")
-    return both.where(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(F.coalesce("chunk", "b_chunk").alias("chunk"))
+def differing_chunks(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None = None) -> DataFrame:
+    keys = [*(by or []), "chunk"]
+    both = _beside(chunk_digest(src, bulk, by=by), chunk_digest(dst, bulk, by=by), keys, {"digest": "b_digest"})
+    return both.where(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(*keys)
 
 
-def hash_sync(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
-    """The blocks of ``src`` and the zeroed blocks of ``dst`` in chunks whose digests differ: (addr, content or null).
+def hash_sync(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None = None) -> DataFrame:
+    """The blocks of ``src`` and the zeroed blocks of ``dst`` in chunks whose digests differ: (columns of ``by``, addr, content or null).
 
     Digests meet first; payload is read only for chunks that differ.
     """
-    chunks = differing_chunks(src, dst, bulk)
-    own = lambda df: df.withColumn("chunk", _chunk(bulk)).join(chunks, "chunk", "left_semi")
-    old = own(dst).select(F.col("addr").alias("old"))
-    return own(src).join(old, F.col("addr") == F.col("old"), "full").select(F.coalesce("addr", "old").alias("addr"), "content")
+    keys = [*(by or []), "addr"]
+    chunks = differing_chunks(src, dst, bulk, by)
+    own = lambda df: df.withColumn("chunk", _chunk(bulk)).join(chunks, [*(by or []), "chunk"], "left_semi")
+    return _beside(own(src).select(*keys, "content"), own(dst), keys, {}).select(*keys, "content")
 
 
 def sync_meta(snaps: DataFrame) -> DataFrame:
@@ -205,15 +214,16 @@ def hash_replicate(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
     return hash_sync(src, dst, bulk).withColumns({"is_comp_diff": F.lit(True), "is_mergeable": F.lit(True)})
 
 
-def patch(dst: DataFrame, delta: DataFrame) -> DataFrame:
-    """An image with (addr, content) laid over it; null content clears a block."""
-    kept = dst.join(delta.select("addr"), "addr", "left_anti").select("addr", "content")
-    return kept.unionByName(delta.where("content is not null").select("addr", "content"))
+def patch(dst: DataFrame, delta: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """An image with (columns of ``by``, addr, content) laid over it; null content clears a block."""
+    keys = [*(by or []), "addr"]
+    kept = dst.join(delta.select(*keys), keys, "left_anti").select(*keys, "content")
+    return kept.unionByName(delta.where("content is not null").select(*keys, "content"))
 
 
-def resync(src: DataFrame, dst: DataFrame, bulk: int) -> DataFrame:
+def resync(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None = None) -> DataFrame:
     """``dst`` made equal to ``src`` by the chunks that differ."""
-    return patch(dst, hash_sync(src, dst, bulk))
+    return patch(dst, hash_sync(src, dst, bulk, by), by)
 
 
 def copy_start(current: DataFrame, progress: DataFrame) -> DataFrame:

@@ -63,5 +63,13 @@ def transfer_backlog(ledger: DataFrame, current: DataFrame, pbs: int = 512) -> D
     return got.select("vol_id", "waiting", (behind | (F.col("waiting") > 0)).alias("now"), mb.cast("long").alias("remaining_mb"))
 
 
+def transfer_needed(ledger: DataFrame, lsids: DataFrame, pbs: int = 512) -> DataFrame:
+    """Whether each volume needs a transfer now and later, and its MiB (begun ones count): now up to the permanent lsid, later up to the latest (``lsids``: vol_id, permanent_lsid, latest_lsid). Snapshots waiting need both."""
+    now = transfer_backlog(ledger, lsids.select("vol_id", F.col("permanent_lsid").alias("end_lsid")), pbs)
+    later = transfer_backlog(ledger, lsids.select("vol_id", F.col("latest_lsid").alias("end_lsid")), pbs)
+    later = later.select("vol_id", F.col("now").alias("later"), F.col("remaining_mb").alias("later_mb"))
+    return now.join(later, "vol_id").select("vol_id", "waiting", "now", "remaining_mb", "later", "later_mb")
+
+
 def ledger_bounds(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("vol_id").agg(F.min("gid").alias("gid_b"), F.max("gid").alias("gid_e"), F.max_by("lsid", "gid").alias("latest_lsid"))

@@ -423,6 +423,25 @@ def d7_image_diff_mask(t):
     return image.image_diff_mask(image.image_diff(t.image_a, t.image_b, _size(t)))
 
 
+_OTHER = "SELECT vol_id, addr, CASE WHEN addr % 37 = 5 THEN md5(concat('b', addr)) ELSE content END AS content FROM volume_image WHERE addr % 211 <> 3 UNION ALL SELECT vol_id + 5000, addr, content FROM volume_image WHERE addr % 97 = 1"
+
+
+@query(f"WITH b AS ({_OTHER}) SELECT coalesce(a.vol_id, b.vol_id) AS vol_id, coalesce(a.addr, b.addr) AS addr, a.content, b.content AS b_content FROM volume_image a FULL JOIN b ON a.vol_id = b.vol_id AND a.addr = b.addr WHERE a.content IS DISTINCT FROM b.content")
+def d6_volume_diff(t):
+    return image.image_diff(t.volume_image, t.sql(_OTHER), by=["vol_id"])
+
+
+_VOLUME_CHUNK = "SELECT vol_id, addr // 64 * 64 AS chunk, string_agg(concat(addr, '=', content), ',' ORDER BY addr) AS body FROM {} GROUP BY 1, 2"
+
+
+@query(f"""WITH other AS ({_OTHER}), a AS ({_VOLUME_CHUNK.format('volume_image')}), b AS ({_VOLUME_CHUNK.format('other')}),
+c AS (SELECT coalesce(a.vol_id, b.vol_id) AS v, coalesce(a.chunk, b.chunk) AS chunk FROM a FULL JOIN b ON a.chunk = b.chunk AND a.vol_id = b.vol_id WHERE a.body IS DISTINCT FROM b.body),
+d AS (SELECT coalesce(x.vol_id, y.vol_id) AS vol_id, coalesce(x.addr, y.addr) AS addr, x.content FROM volume_image x FULL JOIN other y ON x.addr = y.addr AND x.vol_id = y.vol_id)
+SELECT d.* FROM d JOIN c ON c.v = d.vol_id AND c.chunk = addr // 64 * 64""")
+def d10_volume_sync(t):
+    return image.hash_sync(t.volume_image, t.sql(_OTHER), 64, by=["vol_id"])
+
+
 _CHUNK = "SELECT addr // 64 * 64 AS chunk, sha256(string_agg(concat(addr, '=', content), ',' ORDER BY addr)) AS digest FROM {} GROUP BY 1"
 
 
@@ -750,6 +769,23 @@ def m21_diff_totals(t):
 _BEGIN = WALK + ", l AS (SELECT vol_id, arg_max(s_b, pos) AS e_b, arg_max(s_e, pos) AS e_e FROM walk WHERE s_b <= 12 GROUP BY vol_id) SELECT b.vol_id, {} FROM base_state b JOIN l ON l.vol_id = b.vol_id"
 
 
+@query(_REL + f"SELECT {', '.join('r.' + c for c in _DIFF)}, relation = 'APPLICABLE' AND (NOT b.is_applying OR b.e_b <= r.e_b) AS can_apply FROM r JOIN base_state b ON b.vol_id = r.vol_id")
+def m22_can_apply(t):
+    return cat.can_apply(t.meta_diff, t.base_state).select(*_DIFF, "can_apply")
+
+
+_LISTS = "SELECT w.* FROM walk w WHERE s_b <= 12 AND NOT (vol_id % 3 = 1 AND pos = 2)"
+
+
+@query(WALK + f""", l AS ({_LISTS}), g AS (SELECT l.*, lag(l.e_b) OVER (PARTITION BY l.vol_id ORDER BY pos) AS before FROM l),
+k AS (SELECT g.*, b.is_applying, b.e_b AS begun, coalesce(before, b.b_b) AS here FROM g JOIN base_state b ON b.vol_id = g.vol_id)
+SELECT vol_id, bool_and(e_b > here AND CASE WHEN is_comp_diff THEN b_b = here ELSE b_b <= here END) AND NOT bool_or(is_applying AND begun > (SELECT max(e_b) FROM l WHERE l.vol_id = k.vol_id)) AS can_apply FROM k GROUP BY vol_id""")
+def m22_can_apply_list(t):
+    """The chains up to gid 12, some without their second diff."""
+    lists = cat.applicable_until(t.meta_diff, t.base_state, max_gid=12).where("not (vol_id % 3 = 1 and pos = 2)")
+    return cat.can_apply_list(lists, t.base_state)
+
+
 @query(_BEGIN.format("true AS is_applying, b.b_b, b.b_e, l.e_b, l.e_e"))
 def m22_begin_apply(t):
     return cat.begin_apply(t.base_state, cat.applicable_until(t.meta_diff, t.base_state, max_gid=12))
@@ -832,6 +868,16 @@ def g5_transfer_backlog(t):
     return ledger.transfer_backlog(t.lsid_gid, t.log_record.groupBy("vol_id").agg((F.max("next_lsid") + 9000).alias("end_lsid")))
 
 
+_ENDS = "SELECT vol_id, CAST(min(next_lsid) + vol_id % 3 * 3000 AS bigint) AS permanent_lsid, max(next_lsid) + 9000 AS latest_lsid FROM log_record GROUP BY vol_id"
+
+
+@query(f"""WITH e AS ({_ENDS}), l AS (SELECT vol_id, min(lsid) AS b, count(*) - 1 AS waiting FROM lsid_gid GROUP BY vol_id)
+SELECT l.vol_id, waiting, waiting > 0 OR b < permanent_lsid AS now, CASE WHEN b < permanent_lsid THEN (permanent_lsid - b) * 512 // 1048576 + 1 ELSE 0 END AS remaining_mb,
+  waiting > 0 OR b < latest_lsid AS later, CASE WHEN b < latest_lsid THEN (latest_lsid - b) * 512 // 1048576 + 1 ELSE 0 END AS later_mb FROM l JOIN e ON e.vol_id = l.vol_id""")
+def g5_transfer_needed(t):
+    return ledger.transfer_needed(t.lsid_gid, t.sql(_ENDS))
+
+
 @query("SELECT vol_id, min(gid) AS gid_b, max(gid) AS gid_e, arg_max(lsid, gid) AS latest_lsid FROM lsid_gid GROUP BY vol_id")
 def g6_ledger_bounds(t):
     return ledger.ledger_bounds(t.lsid_gid)

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from .operators import changes as chg
 from .plans.stage import new_path
-from .queries import _DATA, _LAID, WIN, Inputs, query, sum_sql
+from .queries import _DATA, _LAID, WIN, Inputs, query, sum_sql, walk_sql
 from .streaming import jobs
 
 _STEPS = 3
 
 
-def _replay(t: Inputs, rows: DataFrame, order: str) -> DataFrame:
+def _replay(t: Inputs, rows: DataFrame, order: str, steps: int = _STEPS) -> DataFrame:
     """A stream over the whole of ``rows``, a file at a time in ``order``."""
     path = new_path(t.spark, "replay")
     low, high = rows.agg(F.min(order), F.max(order)).first()
-    step = F.expr(f"least(cast(({order} - {low}) * {_STEPS} div {high - low + 1} as int), {_STEPS - 1})") if low is not None else F.lit(0)
-    for k in range(_STEPS):
+    step = F.expr(f"least(cast(({order} - {low}) * {steps} div {high - low + 1} as int), {steps - 1})") if low is not None else F.lit(0)
+    for k in range(steps):
         rows.where(step == k).coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -111,6 +111,27 @@ def s3_stream_accept(t):
     return seen.unionByName(held)
 
 
+_LET_IN = f"SELECT a.*, d.b_e, d.e_e, d.is_mergeable, d.ts, d.data_size FROM ({_ARRIVING}) a JOIN ({_OWN}) o ON o.vol_id = a.vol_id JOIN meta_diff d ON d.vol_id = a.vol_id AND d.b_b = a.b_b AND d.e_b = a.e_b WHERE NOT (from_proxy AND a.uuid <> o.uuid) AND o.size >= a.size"
+_VERDICTS = walk_sql().replace("meta_diff", "let_in").replace("WITH RECURSIVE ", f"WITH RECURSIVE let_in AS ({_LET_IN}), ")
+
+
+@query(_VERDICTS + """, reached AS (SELECT vol_id, max(g) AS g FROM (SELECT vol_id, b_b AS g FROM base_state UNION ALL SELECT vol_id, e_b FROM walk) x GROUP BY vol_id),
+at AS (SELECT vol_id, b_b AS g FROM base_state UNION ALL SELECT vol_id, e_b FROM walk)
+SELECT l.vol_id, l.b_b, l.e_b, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.vol_id = l.vol_id AND w.b_b = l.b_b AND w.e_b = l.e_b) THEN 'accepted' WHEN l.b_b > r.g THEN 'held'
+  WHEN l.is_comp_diff AND l.e_b > (SELECT min(a.g) FROM at a WHERE a.vol_id = l.vol_id AND a.g > l.b_b)
+    AND (l.b_b < (SELECT b_b FROM base_state b WHERE b.vol_id = l.vol_id) OR NOT EXISTS (SELECT 1 FROM at a WHERE a.vol_id = l.vol_id AND a.g = l.b_b)) THEN 'not_applicable'
+  ELSE 'too_old' END AS verdict FROM let_in l JOIN reached r ON r.vol_id = l.vol_id""".replace("at AS (", "gone AS (").replace("FROM at a", "FROM gone a"))
+def s3_stream_verdicts(t):
+    """All verdicts by gid where everything comes at once; what is neither accepted nor dropped is held."""
+    out, checkpoint = _out(t, "s3")
+    got = jobs.stream_accept(_replay(t, t.sql(_ARRIVING), "b_b", steps=1), t.sql(_OWN))
+    _done(got.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    seen = t.spark.read.parquet(out)
+    held = t.sql(_ARRIVING).join(seen.select("vol_id", "b_b", "e_b"), ["vol_id", "b_b", "e_b"], "left_anti").join(t.sql(_OWN).select("vol_id"), "vol_id")
+    by_gid = seen.where("verdict not in ('different_uuid', 'smaller_size')").withColumn("verdict", F.expr("if(verdict = 'retry', 'held', verdict)"))
+    return by_gid.unionByName(held.select("vol_id", "b_b", "e_b", F.lit("held").alias("verdict")))
+
+
 @query("""WITH blk AS (SELECT *, addr + k AS block, row_number() OVER (PARTITION BY vol_id, addr + k ORDER BY gid DESC, lsid DESC) AS rn FROM (SELECT *, unnest(range(blocks)) AS k FROM change_input) x),
 win AS (SELECT * FROM blk WHERE rn = 1), img AS (SELECT vol_id, addr, content FROM volume_image)""" + _LAID)
 def s4_stream_sync_image(t):
