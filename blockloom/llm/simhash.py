@@ -13,7 +13,9 @@ fingerprints share a key (pair of segments, index, index) for some pair, and no
 Equal fingerprints are one node first, so exact copies cost nothing. Keys are shuffled once
 and sorted; small buckets compare rows at each distance, larger ones compare in tiles and
 return a spanning star of each of their components instead of all pairs. Buckets beyond
-``LARGE`` are returned by key and compared in tiles dealt over tasks.
+``LARGE`` are returned by key and parted once more: of five runs of bits two linked fingerprints agree on
+one, so each row goes to its five parts of the bucket. Only parts that are beyond ``LARGE`` too, of
+fingerprints that lie close together, are compared in tiles dealt over tasks.
 
 Null texts count as empty: fingerprint zero, linked like any other. Null ids take part; a
 component of null ids alone has a null id. Repeated rows share a component. An empty table
@@ -226,11 +228,20 @@ def _linked_in_buckets(keyed: DataFrame, radius: int, words: list[str]) -> DataF
         if held:
             yield done()
 
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(edges, kind), "links")
-    hot = found.where("large").select(F.col("a").alias("key")).distinct()
-    links = found.where(~F.col("large")).select("a", "b")
-    if hot.limit(1).count():
-        rows = keyed.join(hot, "key")
+    def linked(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Links of the buckets, and the rows of those that are too large."""
+        found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(edges, kind), "links")
+        hot = found.where("large").select(F.col("a").alias("key")).distinct()
+        return found.where(~F.col("large")).select("a", "b"), keyed.join(hot, "key") if hot.limit(1).count() else None
+
+    links, rows = linked(keyed)
+    if rows is not None and len(words) == 1:
+        size = -(-64 // (radius + 1))
+        runs = [F.struct(F.lit(k).alias("k"), F.expr(f"shiftrightunsigned({words[0]}, {k}) & {(1 << min(size, 64 - k)) - 1}L").alias("v")) for k in range(0, 64, size)]
+        parts = rows.withColumn("run", F.explode(F.array(*runs))).withColumn("key", F.xxhash64("key", "run.k", "run.v")).drop("run")
+        more, rows = linked(staged(parts.select(*keyed.columns), "parted"))
+        links = links.unionByName(more)
+    if rows is not None:
         sizes = staged(rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "large")
         rows = rows.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(*words), F.col("n")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
