@@ -19,7 +19,7 @@ chunks are dealt to different tasks; the table of hot buckets is joined by its s
 Null labels, null, empty or zero vectors and vectors with null or non-finite components
 link with nothing; vectors of different lengths never link. A node is a 64-bit hash of
 label and vector. Repeated rows and null ids count as vectors of their own; a component of
-null ids alone has a null id. Columns other than id, vector and label aren't read.
+null ids alone has a null id. An empty table gives an empty one. Columns other than id, vector and label aren't read.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ a threshold on counts from a histogram of their logarithms, and the averaged par
 
 Null texts count as empty: just the end. Without training rows every token has base
 probability one, by the formula. A null id counts as the empty string for the split.
-Repeated rows get equal scores; only id and text are read. Kept columns may have any name
+Repeated rows get equal scores; an empty table gives an empty one; only id and text are read. Kept columns may have any name
 but those of the results.
 """
 

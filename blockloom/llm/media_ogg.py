@@ -8,7 +8,7 @@ the granule positions. Pages with a wrong checksum are
 skipped and counted, and so are missing pages and ends.
 
 Rows are independent: no shuffle. Null media gives null results; an empty payload gives
-a stream without data packets. Other columns of the input, whatever their names, aren't read.
+a stream without data packets; an empty table gives an empty one. Other columns of the input, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ have a row per source and measure value, so ``measure`` should have few values.
 written once and joined by size (Spark broadcasts them only below its threshold).
 
 Null texts have size 0 and take 0. Rows alike in id and text have one rank and share
-equally what they take together (whole words each). An empty table gives an empty result. Only
+equally what they take together (whole words each). Of a text of any length only its number of words
+counts. An empty table gives an empty result. Only
 the columns named here are read; other columns may have any names but the five in
 ``PREPARED`` and those of the results.
 """

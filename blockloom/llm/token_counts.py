@@ -13,7 +13,7 @@ A task keeps one trie of at most ``max_nodes`` nodes and as many pre-tokens, non
 ``max_depth`` bytes, and starts it anew beyond that, which changes no result and bounds memory;
 longer pre-tokens are scored each time without being stored. A text of any length is cut and
 scored by one pass. Kept columns may have any name but those of the results. Rows are independent: no shuffle. Null and empty texts have no
-pre-tokens and zero tokens; repeated rows get equal counts.
+pre-tokens and zero tokens; repeated rows get equal counts; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Rules are matched against ``.host + path``, host in lower case, so ``*.net/**``
 host ``net`` and all its subdomains. Rows are independent: no shuffle.
 
 A null URL, or one without ``://``, has an empty host and path, matches no host rule and
-gets the default verdict. Repeated rows get equal verdicts; other columns aren't read.
+gets the default verdict. A very long URL takes a step for each of its bytes, on a state of fixed size.
+Repeated rows get equal verdicts; an empty table gives an empty one; other columns aren't read.
 """
 
 from __future__ import annotations
