@@ -2,7 +2,8 @@
 
 Jobs with tables of their own write everything of a micro-batch under its batch id with
 overwrite, and read only what the batch before left; so a retried batch replaces itself and
-results are those of exactly one run. Late data is judged by gid, not by time.
+results are those of exactly one run. Tables `pending`, `state`, `open`, `clock`, `run` and `left` are read by the next batch only, so folders
+older than the last two batches may be deleted; the others are results. Late data is judged by gid, not by time.
 """
 
 from __future__ import annotations
