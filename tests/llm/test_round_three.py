@@ -327,3 +327,50 @@ def test_large_buckets_are_parted_without_losing_links(spark):
             root[root == old] = low
     got = np.array([roots.get(int(x), int(x)) for x in fp.view(np.int64)])
     assert len(set(zip(root.tolist(), got.tolist(), strict=True))) == len(set(root.tolist())) == len(set(got.tolist()))
+
+
+def test_mixing_against_plain_order_sampling(spark, tmp_path):
+    """Whole copies, Pareto ranks and the document at each source's cut, recomputed from the formulas."""
+    import struct
+
+    import xxhash
+
+    from blockloom.llm import mixing
+
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choices(["a", "bb", "ccc"], k=r.choice([0, 1, 3, 7, 20, 60]))), r.choice("ppppqqr")) for i in range(160)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t), "x", 1, 0.1, "y") for i, t, s in rows], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op4_mixing(spark, str(tmp_path)).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    parts = 0
+    for source in "pqr":
+        mine = [(i, t) for i, t, s in rows if s == source]
+        target = got[mine[0][0]].target
+        measure = {i: math.floor(math.log2(size[i] + 1)) + 1 for i, _ in mine}
+        lo, hi = 0.0, 3.0
+        for _ in range(200):  # the rate at which expected words reach the target
+            rate = (lo + hi) / 2
+            lo, hi = (rate, hi) if sum(size[i] * min(3.0, rate * measure[i]) for i, _ in mine) < target else (lo, rate)
+        copies = {i: min(3.0, hi * measure[i]) for i, _ in mine}
+        whole = {i: math.floor(c + 1e-9) for i, c in copies.items()}
+        left = target - sum(whole[i] * size[i] for i, _ in mine)
+        ranks = []
+        for i, t in mine:
+            p = copies[i] - whole[i]
+            if p > 1e-9 and size[i]:
+                text = xxhash.xxh64_intdigest(t.encode(), 42)
+                h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+                h = xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+                h = xxhash.xxh64_intdigest(struct.pack("<Q", text), h)
+                u = ((h >> 11) + 0.5) / (1 << 53)
+                odds = (u / (1 - u)) / (p / (1 - p))
+                ranks.append((odds / (1 + odds), i))
+        for _, i in sorted(ranks):
+            part = math.floor(max(0.0, min(left, size[i])) + 1e-6)
+            assert got[i].taken == whole[i] * size[i] + part, i
+            parts += 0 < part < size[i]
+            left -= size[i]
+        ranked = {i for _, i in ranks}
+        assert all(got[i].taken == whole[i] * size[i] for i, _ in mine if i not in ranked)
+    assert parts >= 1
