@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.chain import applicable_chain
 from .plans.stage import staged
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -148,6 +149,12 @@ class Inputs:
             self._stored[name] = staged(getattr(self, name), name)
         return self._stored[name]
 
+    def chain(self) -> DataFrame:
+        """The applicable chains of ``meta_diff``, walked once for the queries that need them several times."""
+        if "chain" not in self._stored:
+            self._stored["chain"] = staged(applicable_chain(self.meta_diff, self.base_state), "chain")
+        return self._stored["chain"]
+
     def sql(self, query: str) -> DataFrame:
         """A query that names fixtures and tables."""
         return self.spark.sql(with_fixtures(query))

@@ -158,8 +158,9 @@ def minimum_chain(diffs: DataFrame, base: DataFrame) -> DataFrame:
     return stop_where(applicable_chain(diffs, base).join(end, "vol_id"), F.col("s_b") > F.col("end_gid")).drop("end_gid")
 
 
-def latest_state(diffs: DataFrame, base: DataFrame) -> DataFrame:
-    last = applicable_chain(diffs, base).groupBy("vol_id").agg(F.max_by(F.struct("s_b", "s_e", "ts"), "pos").alias("l"))
+def latest_state(diffs: DataFrame, base: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+    """The snapshot at the end of each volume's chain, or its base; ``chain``: the chains, where they are at hand."""
+    last = (applicable_chain(diffs, base) if chain is None else chain).groupBy("vol_id").agg(F.max_by(F.struct("s_b", "s_e", "ts"), "pos").alias("l"))
     got = base.select("vol_id", "b_b", "b_e").join(last, "vol_id", "left")
     return got.select("vol_id", F.coalesce("l.s_b", "b_b").alias("gid_b"), F.coalesce("l.s_e", "b_e").alias("gid_e"), F.col("l.ts").alias("ts"))
 
@@ -172,9 +173,9 @@ def oldest_clean_state(diffs: DataFrame, base: DataFrame) -> DataFrame:
     return start.unionByName(got).groupBy("vol_id").agg(F.min_by("gid", "pos").alias("gid"))
 
 
-def restorable(diffs: DataFrame, base: DataFrame, every: bool = False) -> DataFrame:
-    """Clean snapshots of the chain: explicit ones (the next diff isn't mergeable, or there is none), or all."""
-    chain = applicable_chain(diffs, base).select("vol_id", "pos", F.col("s_b").alias("gid"), F.col("s_e").alias("e"), "is_mergeable")
+def restorable(diffs: DataFrame, base: DataFrame, every: bool = False, chain: DataFrame | None = None) -> DataFrame:
+    """Clean snapshots of the chain: explicit ones (the next diff isn't mergeable, or there is none), or all; ``chain``: the chains, where they are at hand."""
+    chain = (applicable_chain(diffs, base) if chain is None else chain).select("vol_id", "pos", F.col("s_b").alias("gid"), F.col("s_e").alias("e"), "is_mergeable")
     start = base.select("vol_id", F.lit(0).cast("long").alias("pos"), F.col("b_b").alias("gid"), F.col("b_e").alias("e"), F.lit(False).alias("is_mergeable"))
     start = start.join(base.where("is_applying").select("vol_id"), "vol_id", "left_anti")
     w = Window.partitionBy("vol_id").orderBy("pos")

@@ -887,8 +887,8 @@ def g6_ledger_bounds(t):
 
 
 def _restorable_ts(t, every: bool = False):
-    ts = applicable_chain(t.meta_diff, t.base_state).select("vol_id", "pos", "ts")
-    return cat.restorable(t.meta_diff, t.base_state, every).join(ts, ["vol_id", "pos"], "left")
+    ts = t.chain().select("vol_id", "pos", "ts")
+    return cat.restorable(t.meta_diff, t.base_state, every, t.chain()).join(ts, ["vol_id", "pos"], "left")
 
 
 _RETAINED = """, rt AS (SELECT rs.vol_id, rs.pos, rs.gid, w.ts, row_number() OVER (PARTITION BY rs.vol_id ORDER BY rs.pos) AS rk FROM rs LEFT JOIN walk w ON w.vol_id = rs.vol_id AND w.pos = rs.pos WHERE rs.gid = rs.e{}),
@@ -917,8 +917,8 @@ best AS (SELECT vol_id, b_ AS gid_b, e_ AS gid_e, n_ AS n, avg_ AS average FROM
 """
 
 
-def _ranges(t):
-    return policy.best_merge_range(applicable_chain(t.meta_diff, t.base_state), t.remote_snap, 600_000, 10)
+def _ranges(t, chain: DataFrame | None = None):
+    return policy.best_merge_range(applicable_chain(t.meta_diff, t.base_state) if chain is None else chain, t.remote_snap, 600_000, 10)
 
 
 @query(WALK + _RUNS_SCAN + "SELECT * FROM best")
@@ -987,7 +987,7 @@ rc AS (SELECT la.vol_id, r.dst_id, la.gid_b AS gid, r.gid AS dest_gid, ld.ts AS
 
 def _replications(t):
     disabled = t.base_state.where("vol_id % 19 = 7").select("vol_id")
-    return policy.replication_candidates(cat.latest_state(t.meta_diff, t.base_state), t.remote_snap, t.sql(_SERVERS), t.sql(_ACTIVE), t.sql(_SENT_AT), _NOW, disabled)
+    return policy.replication_candidates(cat.latest_state(t.meta_diff, t.base_state, t.chain()), t.remote_snap, t.sql(_SERVERS), t.sql(_ACTIVE), t.sql(_SENT_AT), _NOW, disabled)
 
 
 @query(WALK + _REPL + "SELECT * FROM rc")
@@ -1007,8 +1007,8 @@ _TASK = _REST + _APPLY + _RUNS_SCAN + _STOP + _REPL + ", " + _MERGE + _STEPS
 
 def _next(t, applies=None, merges=None, replications=None):
     """The next task when the steps that are given as empty have nothing to do."""
-    stop = policy.replication_target(applicable_chain(t.meta_diff, t.base_state), _behind(t), 500_000)
-    every = (_applies(t) if applies is None else applies, _merges(t) if merges is None else merges, _ranges(t), _replications(t) if replications is None else replications, stop)
+    stop = policy.replication_target(t.chain(), _behind(t), 500_000)
+    every = (_applies(t) if applies is None else applies, _merges(t) if merges is None else merges, _ranges(t, t.chain()), _replications(t) if replications is None else replications, stop)
     return policy.next_task(*every)
 
 
