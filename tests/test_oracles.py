@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from blockloom import file_queries, queries as q, stream_queries  # noqa: F401
+from blockloom import file_queries, queries as q, store_queries, stream_queries  # noqa: F401
 from blockloom.fixtures import BASE
 
 SF = "/root/testdata/sf0.001"
