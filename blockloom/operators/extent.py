@@ -110,7 +110,8 @@ def joined_runs(won: DataFrame) -> DataFrame:
 
 def _dealt(pieces: DataFrame) -> DataFrame:
     """Pieces of long extents dealt to tasks by their address. The number of tasks is named, as rows that are few now multiply later."""
-    return pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vol_id", "addr")
+    by = [c for c in ("vol_id", "addr") if c in pieces.columns]
+    return pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def cut_from_start(runs: DataFrame, n: int) -> DataFrame:
