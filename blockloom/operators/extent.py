@@ -124,6 +124,8 @@ def cut_from_start(runs: DataFrame, n: int) -> DataFrame:
         return pieces.withColumns({"addr": F.col("addr") + lo - F.col("off"), "blocks": hi - lo, "off": lo}).drop("k")
 
     whole = n * max(1, STRIPE // n)
+    if whole == n:  # no extent has more pieces than stripes
+        return cut(runs, n)
     long = F.col("blocks") > whole
     return cut(runs.where(~long).unionByName(_dealt(cut(runs.where(long), whole))), n)
 
@@ -151,6 +153,8 @@ def split_aligned(df: DataFrame, most: int) -> DataFrame:
         start = F.explode(F.expr(f"sequence(addr, addr + blocks - 1, {size}L)"))
         return pieces.select(*rest, start.alias("addr"), F.least("blocks", F.lit(size).cast("long")).alias("blocks"))
 
+    if step == most:
+        return cut(got, most)
     long = F.col("blocks") > step
     return cut(got.where(~long).unionByName(_dealt(cut(got.where(long), step))), most)
 
