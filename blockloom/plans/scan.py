@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -44,7 +45,17 @@ def scan_sorted(df: DataFrame, keys: list[str], order: list, step: Callable[[],
         yield flush()
 
     rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt(df.select(*keys, *rest), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one task, whatever comes before.
+
+    Dealt by a hash of the keys, not by the keys: where ``df`` is dealt by these already, Spark drops a repartition by them,
+    and adaptive execution may then coalesce the sides of a union apart or read a join's shuffle by its local files, as it
+    doesn't know that the task needs whole keys.
+    """
+    return df.repartition(F.xxhash64(*keys))
 
 
 def _values(column: pa.Array) -> list:
