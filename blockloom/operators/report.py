@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chain import applicable_chain
+from ..plans.scan import scan_sorted
 from .ledger import ledger_bounds
 
 
@@ -66,15 +70,62 @@ def base_all(base: DataFrame) -> DataFrame:
     return base.select("vol_id", F.concat(F.lit("<"), snap("b_b", "b_e"), end, F.lit(">")).alias("state"))
 
 
+def _sliding(seconds: int) -> Callable[[], Callable[[tuple | None], list[tuple]]]:
+    """The rule of one key, rows (key, t, value) by t: with each row the window's sum and least value and its first t. It holds the window's distinct times."""
+
+    def make() -> Callable[[tuple | None], list[tuple]]:
+        window: deque[tuple] = deque()  # (t, sum, how many aren't null)
+        lows: deque[tuple] = deque()  # (t, least), rising
+        peers: list[tuple] = []
+        total, n = 0, 0
+
+        def done() -> list[tuple]:
+            nonlocal total, n
+            if not peers or peers[0][1] is None:  # a row without a time has no window
+                out = [(*r, None, None, None) for r in peers]
+                peers.clear()
+                return out
+            at, some = peers[0][1], [r[2] for r in peers if r[2] is not None]
+            window.append((at, sum(some), len(some)))
+            total, n = total + sum(some), n + len(some)
+            while window[0][0] < at - seconds:
+                _, gone, less = window.popleft()
+                total, n = total - gone, n - less
+            while lows and (lows[0][0] < at - seconds):
+                lows.popleft()
+            if some:
+                while lows and lows[-1][1] >= min(some):
+                    lows.pop()
+                lows.append((at, min(some)))
+            out = [(*r, total if n else None, lows[0][1] if lows else None, window[0][0]) for r in peers]
+            peers.clear()
+            return out
+
+        def rule(row: tuple | None) -> list[tuple]:
+            out = done() if row is None or (peers and row[1] != peers[0][1]) else []
+            if row is not None:
+                peers.append(row)
+            return out
+
+        return rule
+
+    return make
+
+
+def _windows(rows: DataFrame, value: str, seconds: int) -> DataFrame:
+    """(key, t, value, total, least, span) of the last ``seconds`` up to each row, those of equal t included; each row enters and leaves its window once."""
+    key, t = rows.schema["key"].dataType.simpleString(), rows.schema["t"].dataType
+    own = rows.select("key", F.col("t").cast("long").alias("t"), F.col(value).cast("long").alias("value"))
+    got = scan_sorted(own, ["key"], ["t"], _sliding(seconds), f"key {key}, t bigint, value bigint, total bigint, least bigint, first bigint")
+    span = F.col("t") - F.col("first")
+    return got.withColumn("span", F.when(span == 0, 1).otherwise(span)).withColumn("t", F.col("t").cast(t))
+
+
 def moving_bps(transfers: DataFrame, seconds: int) -> DataFrame:
-    """Bits per second of each key over the last ``seconds``, by rows (key, t in seconds, bytes)."""
-    w = Window.partitionBy("key").orderBy("t").rangeBetween(-seconds, 0)
-    span = F.col("t") - F.min("t").over(w)
-    return transfers.select("key", "t", (F.sum("bytes").over(w) * 8 / F.when(span == 0, 1).otherwise(span)).alias("bps"))
+    """Bits per second of each key over the last ``seconds``, by rows (key, t in seconds, bytes; whole numbers)."""
+    return _windows(transfers, "bytes", seconds).select("key", "t", (F.col("total") * 8 / F.col("span")).alias("bps"))
 
 
 def progress_rate(progress: DataFrame, seconds: int = 1) -> DataFrame:
-    """Blocks per second of rows (key, t, position) against the oldest row of the window."""
-    w = Window.partitionBy("key").orderBy("t").rangeBetween(-seconds, 0)
-    span = F.col("t") - F.min("t").over(w)
-    return progress.select("key", "t", ((F.col("position") - F.min("position").over(w)) / F.when(span == 0, 1).otherwise(span)).alias("rate"))
+    """Blocks per second of rows (key, t, position; whole numbers) against the least position of the window."""
+    return _windows(progress, "position", seconds).select("key", "t", ((F.col("value") - F.col("least")) / F.col("span")).alias("rate"))
