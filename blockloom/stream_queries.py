@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import changes as chg
-from .plans.stage import new_path
+from .plans.stage import new_path, staged
 from .queries import _DATA, _LAID, WIN, Inputs, query, sum_sql, walk_sql
 from .streaming import jobs
 
 _STEPS = 3
 
 
+_LARGE = 100_000  # rows of a step that are worth a file from every task
+
+
 def _replay(t: Inputs, rows: DataFrame, order: str, steps: int = _STEPS) -> DataFrame:
-    """A stream over the whole of ``rows``, a file at a time in ``order``."""
-    path = new_path(t.spark, "replay")
+    """A stream over the whole of ``rows``, a step at a time in ``order``.
+
+    Rows are made once. A large step is written by all tasks, and a batch takes all files of a step: as many in each.
+    """
+    spark = t.spark
+    path, rows = new_path(spark, "replay"), staged(rows, "replayed")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = F.expr(f"least(cast(({order} - {low}) * {steps} div {high - low + 1} as int), {steps - 1})") if low is not None else F.lit(0)
+    sizes = {r.step: r["count"] for r in rows.groupBy(step.alias("step")).count().collect()}  # a number a step
+    files = int(spark.conf.get("spark.sql.shuffle.partitions")) if min([sizes.get(k, 0) for k in range(steps)]) >= _LARGE else 1
     for k in range(steps):
-        rows.where(step == k).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        own = rows.where(step == k)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+    if files > 1 and (held := len(spark.read.schema(rows.schema).parquet(path).inputFiles())) != files * steps:
+        raise AssertionError(f"{held} files for {steps} steps of {files}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _done(job, seconds: int = 600) -> None:
