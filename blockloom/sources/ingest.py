@@ -93,19 +93,22 @@ def read_image(spark: SparkSession, path: str, block_size: int = 512, range_byte
 
     All files are one scan of byte ranges of at most ``range_bytes``. Files whose length isn't a multiple of
     ``block_size`` are named in an error, or with ``odd="skip"`` left out: ``odd_images`` lists them.
+    A file compressed by gzip (``.gz``) is unpacked by one task as it is read; its length shows then, and an odd one is an error.
     """
     from . import ranges
 
     wrong = odd_images(spark, path, block_size)
     if odd == "error" and (bad := wrong.limit(20).collect()):
         raise ValueError(f"not a multiple of {block_size} bytes: " + ", ".join(f"{r.path} ({r.length})" for r in bad))
-    files = list_folder(spark, path).where((F.col("length") > 0) & (F.col("length") % block_size == 0)).select("path", "length")
+    files = list_folder(spark, path).where((F.col("length") > 0) & (F.col("path").endswith(ranges.PACKED) | (F.col("length") % block_size == 0))).select("path", "length")
     return ranges.read_blocks(spark, [(r.path, r.length) for r in files.collect()], block_size, range_bytes)  # a name and a length for each image file
 
 
 def odd_images(spark: SparkSession, path: str, block_size: int = 512) -> DataFrame:
-    """(path, length) of the files that no whole number of blocks makes up."""
-    return list_folder(spark, path).where(F.col("length") % block_size != 0).select("path", "length")
+    """(path, length) of the files that no whole number of blocks makes up; compressed ones don't show it here."""
+    from . import ranges
+
+    return list_folder(spark, path).where(~F.col("path").endswith(ranges.PACKED) & (F.col("length") % block_size != 0)).select("path", "length")
 
 
 def write_changes(changes: DataFrame, path: str) -> None:

@@ -8,7 +8,9 @@ from __future__ import annotations
 import json
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from ..functions.checksum import sum_words
 from . import binary as b
 
 STEP = 1 << 23  # bytes held at a time
+PACKED = ".gz"  # files compressed whole, which a task unpacks from the start
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -63,21 +66,33 @@ class _BlockReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         step = max(1, self.most // self.block) * self.block
-        return [_Range(path, at, min(at + step, length)) for path, length in self.files for at in range(0, length, step)] or [_Range("", 0, 0)]
+        cut = lambda path, length: [(0, length)] if path.endswith(PACKED) else [(at, min(at + step, length)) for at in range(0, length, step)]
+        return [_Range(path, *r) for path, length in self.files for r in cut(path, length)] or [_Range("", 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         fs, at = file_system(part.path)
         step = max(1, STEP // self.block) * self.block
-        with fs.open_input_file(at) as f:
-            for start in range(part.start, part.end, step):
-                raw = np.frombuffer(f.read_at(min(step, part.end - start), start), np.uint8)
-                rows = raw.reshape(-1, self.block)
+        with self._open(fs, at, part, step) as pieces:
+            for start, piece in pieces:
+                if len(piece) % self.block:
+                    raise ValueError(f"not a multiple of {self.block} bytes: {part.path}")
+                rows = np.frombuffer(piece, np.uint8).reshape(-1, self.block)
                 some = np.flatnonzero((rows.view("<u8") if self.block % 8 == 0 else rows).any(axis=1))
                 cols = [pa.array([part.path]).take(pa.array(np.zeros(len(some), np.int64))), pa.array(start // self.block + some), _binary(rows[some], np.arange(len(some) + 1) * self.block)]
                 yield pa.RecordBatch.from_arrays(cols, ["path", "addr", "data"])
 
+    @contextmanager
+    def _open(self, fs: pafs.FileSystem, at: str, part: _Range, step: int) -> Iterator[Iterator[tuple[int, bytes]]]:
+        """The range's (start, bytes) in pieces of ``step``; a compressed file's are those of what it unpacks to."""
+        if part.path.endswith(PACKED):
+            with fs.open_input_stream(at, compression="gzip") as f:
+                yield zip(count(0, step), iter(lambda: f.read(step), b""))
+        else:
+            with fs.open_input_file(at) as f:
+                yield ((start, f.read_at(min(step, part.end - start), start)) for start in range(part.start, part.end, step))
+
 
 def read_blocks(spark: SparkSession, files: list[tuple[str, int]], block_size: int, range_bytes: int) -> DataFrame:
     """Blocks (path, addr, data) that aren't zero, of all files in one scan."""
