@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import archive
+from .operators.catalog import KEY
 from .plans.commits import Store
 from .plans.stage import new_path
 from .queries import _IMAGE, _LAID, _M10, _WON, query, walk_sql
 
 
+def _records(t) -> DataFrame:
+    """``diff_record`` by equal keys: a diff holds the change sets after its first and up to its last gid, so no volume's rows meet in one task."""
+    held = t.stored("change_meta").select(*KEY, F.explode(F.expr("sequence(b_b + 1, e_b)")).alias("gid"))
+    rows = t.stored("change_input").join(held, ["vol_id", "gid"])
+    return rows.select(*KEY, F.expr("(gid - b_b) * 4294967296 + lsid").alias("ord"), "addr", "blocks", F.lit(0).cast("long").alias("off"), "rec_type", "token")
+
+
 def _archive(t) -> Store:
+    t.spread()
     states = t.stored("restore_target").selectExpr("vol_id", "false as is_applying", "0L as b_b", "0L as b_e", "cast(null as bigint) as e_b", "cast(null as bigint) as e_e")
-    return archive.create(t.spark, new_path(t.spark, "archive"), states, t.stored("change_meta"), t.diff_record, t.volume_image)
+    return archive.create(t.spark, new_path(t.spark, "archive"), states, t.stored("change_meta"), _records(t), t.volume_image)
 
 
 def _everywhere(t, gid: int) -> DataFrame:
