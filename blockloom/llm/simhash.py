@@ -417,7 +417,8 @@ def copy_links(keyed: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of near copies: shingles of five words, similarity 0.8 or more.
 
-    Similarity is that of Jaccard between the sets of shingle hashes (64 bits). Candidates share
+    Similarity is that of Jaccard between the sets of shingle hashes (64 bits). Candidates are linked by their
+    fingerprints (``fingerprint_links``), directly or over others, or, as fingerprints miss pairs at 0.8, share
     one of ten keys, each the hash of four least values of the set under fixed mixings: a pair
     at 0.8 shares one with probability 0.995, at 0.85 with 0.999, at any size of sets and input.
     (Fingerprints of half the bits would need more keys with every doubling.) A candidate
@@ -440,7 +441,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             sets = [shingle_set(t) for t in b.column("t").to_pylist()]
             node = pa.array(np.array([node_of(h) for h in sets], np.uint64).view(np.int64))
             keys = pa.array([copy_keys(h).view(np.int64) if len(h) else [] for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], node, keys], ["id", "h", "node", "keys"])
+            fp = pa.array(np.array([fingerprint(t) for t in b.column("t").to_pylist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], node, keys, fp], ["id", "h", "node", "keys", "fp"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -450,10 +452,13 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     chosen = docs.select(F.col(doc_id).alias("id"), row_hash.alias("h"), F.col(text).alias("t"))
     kind = chosen.schema["id"].dataType.simpleString()
-    rows = staged(chosen.mapInArrow(run, f"id {kind}, h bigint, node bigint, keys array<bigint>"), "copy-keys")
+    rows = staged(chosen.mapInArrow(run, f"id {kind}, h bigint, node bigint, keys array<bigint>, fp bigint"), "copy-keys")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
     distinct = staged(rows.groupBy("node").agg(F.min("keys").alias("keys"), F.min(first).alias("first")), "copy-distinct")
-    keyed = distinct.select(F.explode("keys").alias("key"), "node")
+    printed = staged(rows.where(F.size("keys") > 0).select("node", "fp").distinct(), "copy-prints")
+    linked = connected_components(fingerprint_links(printed.select("fp").distinct())).withColumnRenamed("node", "f")
+    groups = printed.join(linked, F.col("fp") == F.col("f"), "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node").distinct()
+    keyed = distinct.select(F.explode("keys").alias("key"), "node").unionByName(groups)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
     keyed = staged(keyed.join(shared.groupBy("n", "m", "x").agg(F.min("key").alias("key")).select("key"), "key"), "copy-shared")
     wanted = distinct.join(keyed.select("node").distinct(), "node").select("node", F.col("first.id").alias("i"), F.col("first.h").alias("g"))
