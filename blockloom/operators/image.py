@@ -303,7 +303,7 @@ def file_digests(spark: SparkSession, path: str, piece: int = 1 << 26) -> DataFr
     """(path, digest, modified) of the files under a folder, their paths from there. A file of over ``piece`` bytes is read in ranges by many tasks: its digest is that of its ranges' digests."""
     import hashlib
 
-    from ..sources.ranges import file_system
+    from ..sources.ranges import file_system, list_tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,8 +317,7 @@ def file_digests(spark: SparkSession, path: str, piece: int = 1 << 26) -> DataFr
                 out.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("start"), pa.array(out, pa.string())], ["path", "start", "digest"])
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    found = staged(found, "files")
+    found = staged(list_tree(spark, path), "files")
     ranges = found.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {piece}L)")).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + piece, F.col("length")).alias("end"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

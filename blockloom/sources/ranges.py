@@ -35,6 +35,33 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def list_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modificationTime) of the files under a folder, as ``binaryFile`` lists them: no empty or hidden ones. Each level's folders are listed by all tasks."""
+    from ..plans.stage import staged
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                fs, at = file_system(name)
+                lead = "file:" if name.startswith("file:") else name[: -len(at)]
+                found = fs.get_file_info(pafs.FileSelector(at))
+                found = [x for x in found if not x.base_name.startswith(".") and (not x.base_name.startswith("_") or "=" in x.base_name)]
+                for k in range(0, len(found), 65_536):
+                    part = found[k : k + 65_536]
+                    folder = [x.type == pafs.FileType.Directory for x in part]
+                    cols = [[lead + x.path for x in part], [x.size or 0 for x in part], [(x.mtime_ns or 0) // 1_000_000 for x in part], folder]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["path", "length", "ms", "folder"])
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = "file:" + file_system(path)[1] if path.startswith("file:") or "://" not in path else path
+    level, out = spark.createDataFrame([(root.rstrip("/"),)], "path string"), None
+    while out is None or not level.isEmpty():
+        seen = staged(level.repartition(width, "path").mapInArrow(run, "path string, length bigint, ms bigint, folder boolean"), "listing")
+        files = seen.where("not folder and length > 0").select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))
+        level, out = seen.where("folder").select("path"), files if out is None else out.unionByName(files)
+    return out
+
+
 def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.tobytes())])
 
