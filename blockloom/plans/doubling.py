@@ -5,7 +5,8 @@ gid's best plain diff is a running maximum over the starts up to it: a maximum f
 of ``width`` gids, running over slices, then inside the slice. So a slice has at most ``width`` pointers,
 however many diffs there are.
 
-Inside each slice every pointer is followed to where it leaves. The slices that the chain
+Inside each slice every pointer is followed to where it leaves. Of these leaps only those are kept that
+start at a base or where another one lands: few of a slice's gids. The slices that the chain
 enters are then found by doubling: the set of entries is joined with pointers that leap 1, 2, 4, ...
 slices, until it no longer grows. Last, each entered slice is walked from its entry, by itself;
 positions and the snapshots' upper gids follow from sums over the slices entered before.
@@ -13,13 +14,13 @@ positions and the snapshots' upper gids follow from sums over the slices entered
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chain import CHAIN, applicable_chain
+from .scan import scan_sorted
 from .stage import staged
 
 WIDTH = 1 << 16
@@ -50,21 +51,35 @@ def pointers(diffs: DataFrame, base: DataFrame, width: int = WIDTH) -> DataFrame
     return got.select("vol_id", "slice", "g", F.greatest(ahead("d"), ahead("c")).alias("d")).where("d is not null")
 
 
-def _exits(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _exits(width: int) -> Callable[[], Callable[[tuple | None], Iterable[tuple]]]:
+    """The rule of one slice: its pointers (vol_id, slice, g, nxt) from the last; those whose path leaves it, with where to."""
+
+    def start() -> Callable[[tuple | None], Iterable[tuple]]:
         end: dict[int, int] = {}
-        for g, nxt in sorted(zip(pdf["g"].tolist(), pdf["nxt"].tolist(), strict=True), reverse=True):
-            end[g] = end.get(nxt, nxt)
-        out = pd.DataFrame({"vol_id": pdf["vol_id"].iloc[0], "g": list(end), "out": list(end.values())})
-        return out[out["out"] // width != out["g"] // width]  # else the chain ends inside
 
-    return run
+        def rule(row: tuple | None) -> Iterable[tuple]:
+            if row is None:
+                return ()
+            vol, own, g, nxt = row
+            out = end[g] = end.get(nxt, nxt)
+            return [(vol, g, out)] if out // width != own else ()  # else the chain ends inside
+
+        return rule
+
+    return start
+
+
+def leaps(points: DataFrame, base: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(vol_id, g, out): where the path from g leaves its slice, for gids that a chain can enter a slice by: the base's, and where another leap lands."""
+    own = points.select("vol_id", "slice", "g", F.col("d.e_b").alias("nxt"))
+    out = staged(scan_sorted(own, ["vol_id", "slice"], [F.col("g").desc()], _exits(width), "vol_id bigint, g bigint, out bigint"), "exits")
+    landed = out.select("vol_id", F.col("out").alias("g")).unionByName(base.select("vol_id", F.col("b_b").alias("g"))).distinct()
+    return out.join(landed, ["vol_id", "g"], "left_semi")
 
 
 def entries(points: DataFrame, base: DataFrame, width: int = WIDTH) -> DataFrame:
     """(vol_id, slice, g): where each volume's chain enters a slice, its base the first."""
-    leap = points.select("vol_id", "slice", "g", F.col("d.e_b").alias("nxt")).groupBy("vol_id", "slice").applyInPandas(_exits(width), "vol_id bigint, g bigint, out bigint")
-    leap = staged(leap, "leaps")
+    leap = staged(leaps(points, base, width), "leaps")
     found = staged(base.select("vol_id", F.col("b_b").alias("g")), "entries")
     n = found.count()
     while True:
@@ -78,25 +93,36 @@ def entries(points: DataFrame, base: DataFrame, width: int = WIDTH) -> DataFrame
     return found.withColumn("slice", F.floor(F.col("g") / width))
 
 
+def _path() -> Callable[[tuple | None], Iterable[tuple]]:
+    """The rule of one slice: its entry's row (vol_id, slice, is_entry, g, diff...), then its pointers in order; those on the path from the entry."""
+    at, n = None, 0
+
+    def rule(row: tuple | None) -> Iterable[tuple]:
+        nonlocal at, n
+        if row is None:
+            return ()
+        if row[2]:
+            at = row[3]
+        elif row[3] == at:
+            at, n = row[6], n + 1
+            return [(*row[:2], *row[4:], n)]
+        return ()
+
+    return rule
+
+
 _WALKED = ["b_b", "b_e", "e_b", "e_e", "is_mergeable", "is_comp_diff", "ts", "data_size"]
 
 
 def chain_by_doubling(diffs: DataFrame, base: DataFrame, width: int = WIDTH) -> DataFrame:
     """As ``applicable_chain``, with all tasks working on one volume."""
     points = staged(pointers(diffs, base, width), "pointers")
-    start = entries(points, base, width).select(F.col("vol_id").alias("v"), F.col("slice").alias("s"), F.col("g").alias("entry"))
     d = [F.col("d.start").alias("b_b"), (-F.col("d.nb")).alias("b_e"), F.col("d.e_b").alias("e_b"), (-F.col("d.ne")).alias("e_e"), "d.is_mergeable", "d.is_comp_diff", "d.ts", "d.data_size"]
-    own = points.join(start, (F.col("vol_id") == F.col("v")) & (F.col("slice") == F.col("s"))).select("vol_id", "slice", "g", "entry", *d)
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {g: k for k, g in enumerate(pdf["g"].tolist())}
-        ends, g, rows = pdf["e_b"].tolist(), int(pdf["entry"].iloc[0]), []
-        while g in at:
-            rows.append(at[g])
-            g = ends[at[g]]
-        return pdf.iloc[rows].assign(step=range(1, len(rows) + 1))
-
-    taken = staged(own.groupBy("vol_id", "slice").applyInPandas(path, own.schema.simpleString()[7:-1].replace(":", " ") + ", step bigint"), "taken")
+    own = points.select("vol_id", "slice", F.lit(False).alias("is_entry"), "g", *d)
+    nulls = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in _WALKED]
+    start = entries(points, base, width).select("vol_id", "slice", F.lit(True).alias("is_entry"), "g", *nulls)
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ["vol_id", "slice", *_WALKED])
+    taken = staged(scan_sorted(start.unionByName(own), ["vol_id", "slice"], [F.col("is_entry").desc(), "g"], _path, f"{kinds}, step bigint"), "taken")
     dirty = F.expr("not (b_b = b_e and e_b = e_e)")
     each = taken.groupBy(F.col("vol_id").alias("v"), F.col("slice").alias("s")).agg(F.count("*").alias("n"), F.max_by("e_e", F.when(dirty, F.col("step"))).alias("sets"))
     w = Window.partitionBy("v").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

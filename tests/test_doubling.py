@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from blockloom.plans import doubling
 from blockloom.plans.chain import applicable_chain
 from blockloom.plans.doubling import chain_by_doubling, chain_of_all
 
@@ -36,3 +37,10 @@ def test_a_long_chain_over_many_slices(spark):
     base = spark.createDataFrame([(1, 3, 5)], "vol_id bigint, b_b bigint, b_e bigint")
     got = rows(chain_by_doubling(d, base, 256))
     assert len(got) == 39_997 and got == rows(applicable_chain(d, base))
+
+
+def test_leaps_start_only_where_a_chain_can_enter_a_slice(spark):
+    d = spark.range(6_400).selectExpr("1L as vol_id", "id as b_b", "id as b_e", "id + 1 as e_b", "id + 1 as e_e", "true as is_mergeable", "false as is_comp_diff", "1L as data_size", "timestamp_seconds(0) as ts")
+    base = spark.createDataFrame([(1, 3, 3)], "vol_id bigint, b_b bigint, b_e bigint")
+    got = doubling.leaps(doubling.pointers(d, base, 64), base, 64)
+    assert sorted(map(tuple, got.collect())) == sorted([(1, 3, 64), *((1, g, g + 64) for g in range(64, 6_400, 64))])
