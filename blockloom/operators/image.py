@@ -155,14 +155,18 @@ def _chunk(bulk: int, begin: int = 0) -> Column:
     return (F.floor((F.col("addr") - begin) / bulk) * bulk + begin).cast("long")
 
 
+def _digest(blocks: str) -> Column:
+    """sha256 of a column of blocks (addr, content) in order."""
+    return F.sha2(F.array_join(F.transform(blocks, lambda x: F.concat_ws("=", x["addr"].cast("string"), x["content"])), ","), 256)
+
+
 def chunk_digest(image: DataFrame, chunk_blocks: int, begin: int = 0, end: int | None = None, by: list[str] | None = None) -> DataFrame:
     """sha256 of each chunk's blocks in order; chunks without blocks are all zero and absent."""
     by = by or []
     rows = image.where(F.col("addr") >= begin)
     rows = rows.where(F.col("addr") < end) if end is not None else rows
     got = rows.groupBy(*by, _chunk(chunk_blocks, begin).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("addr", "content"))).alias("b"))
-    text = F.array_join(F.transform("b", lambda x: F.concat_ws("=", x["addr"].cast("string"), x["content"])), ",")
-    return got.select(*by, "chunk", F.sha2(text, 256).alias("digest"))
+    return got.select(*by, "chunk", _digest("b").alias("digest"))
 
 
 FAN_IN = 4096
@@ -190,15 +194,26 @@ def differing_chunks(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] |
     return both.where(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(*keys)
 
 
-def hash_sync(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None = None) -> DataFrame:
-    """The blocks of ``src`` and the zeroed blocks of ``dst`` in chunks whose digests differ: (columns of ``by``, addr, content or null).
+def _chunks_beside(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None) -> DataFrame:
+    """Chunks of both images, each dealt once, with their blocks in order and ``same``: whether digests agree. A row holds ``bulk`` blocks a side at most."""
+    keys = [*(by or []), "chunk"]
 
-    Digests meet first; payload is read only for chunks that differ.
-    """
-    keys = [*(by or []), "addr"]
-    chunks = differing_chunks(src, dst, bulk, by)
-    own = lambda df: df.withColumn("chunk", _chunk(bulk)).join(chunks, [*(by or []), "chunk"], "left_semi")
-    return _beside(own(src).select(*keys, "content"), own(dst), keys, {}).select(*keys, "content")
+    def held(image: DataFrame) -> DataFrame:
+        got = image.groupBy(*(by or []), _chunk(bulk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("addr", "content"))).alias("blocks"))
+        return got.withColumn("digest", _digest("blocks"))
+
+    both = _beside(held(src), held(dst), keys, {"blocks": "b_blocks", "digest": "b_digest"})
+    none = F.array().cast(both.schema["blocks"].dataType)
+    return both.select(*keys, F.coalesce("blocks", none).alias("blocks"), F.coalesce("b_blocks", none).alias("b_blocks"), F.col("digest").eqNullSafe(F.col("b_digest")).alias("same"))
+
+
+def hash_sync(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None = None) -> DataFrame:
+    """The blocks of ``src`` and the zeroed blocks of ``dst`` in chunks whose digests differ: (columns of ``by``, addr, content or null)."""
+    both = _chunks_beside(src, dst, bulk, by).where("not same")
+    at = lambda c: F.transform(c, lambda x: x["addr"])
+    none = F.lit(None).cast(both.schema["blocks"].dataType.elementType["content"].dataType)
+    gone = F.transform(F.array_except(at("b_blocks"), at("blocks")), lambda x: F.struct(x.alias("addr"), none.alias("content")))
+    return both.select(*(by or []), F.explode(F.concat("blocks", gone)).alias("x")).select(*(by or []), "x.addr", "x.content")
 
 
 def sync_meta(snaps: DataFrame) -> DataFrame:
@@ -223,7 +238,8 @@ def patch(dst: DataFrame, delta: DataFrame, by: list[str] | None = None) -> Data
 
 def resync(src: DataFrame, dst: DataFrame, bulk: int, by: list[str] | None = None) -> DataFrame:
     """``dst`` made equal to ``src`` by the chunks that differ."""
-    return patch(dst, hash_sync(src, dst, bulk, by), by)
+    laid = F.when(F.col("same"), F.col("b_blocks")).otherwise(F.filter("blocks", lambda x: x["content"].isNotNull()))
+    return _chunks_beside(src, dst, bulk, by).select(*(by or []), F.explode(laid).alias("x")).select(*(by or []), "x.addr", "x.content")
 
 
 def copy_start(current: DataFrame, progress: DataFrame) -> DataFrame:
