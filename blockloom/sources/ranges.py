@@ -134,8 +134,9 @@ _LONGS = ("addr", "blocks", "codec", "data_offset", "data_size", "io_offset", "o
 def read_index(files: DataFrame) -> DataFrame:
     """The records of indexed change-set files (path, length), without payload: only heads, tails and indexes are read.
 
-    ``idx`` is a record's place in its file. Files with packs instead of an index give no rows.
+    ``idx`` is a record's place in its file. Files with packs instead of an index give no rows. Files are opened once, whatever follows.
     """
+    from ..plans.stage import staged
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +154,7 @@ def read_index(files: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(cols, ["path", "idx", "rec_type", *_LONGS])
 
     width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path", "length").repartition(width, "path").mapInArrow(run, "path string, idx bigint, rec_type string, " + ", ".join(f"{c} bigint" for c in _LONGS))
+    return staged(files.select("path", "length").repartition(width, "path").mapInArrow(run, "path string, idx bigint, rec_type string, " + ", ".join(f"{c} bigint" for c in _LONGS)), "index")
 
 
 def late_payload(index: DataFrame, cache_bytes: int = 1 << 26) -> DataFrame:

@@ -71,3 +71,9 @@ def test_late_payload_against_whole_files(spark, tmp_path):
     (tmp_path / "6.wdiff").write_bytes(bytes(broken))
     bad = [x for x in ranges.late_payload(index).collect() if not x.ok]
     assert bad and all(x.payload is None and x.seq // 1000 == 6 for x in bad)
+
+
+def test_an_index_is_read_from_its_files_once(spark, tmp_path):
+    (tmp_path / "a.wdiff").write_bytes(fixture_files.change_file([], True))
+    index = ranges.read_index(ranges.list_tree(spark, str(tmp_path)))
+    assert "MapInArrow" not in index._jdf.queryExecution().executedPlan().toString()
