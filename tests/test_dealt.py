@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from blockloom.operators.extent import latest_wins
 from blockloom.plans.chain import applicable_chain
 
 
@@ -16,3 +17,14 @@ def test_a_volume_meets_its_base(spark):
     diffs = rows.select("vol_id", n.alias("b_b"), n.alias("b_e"), (n + 1).alias("e_b"), (n + 1).alias("e_e"), F.lit(True).alias("is_mergeable"), F.lit(False).alias("is_comp_diff"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.length("wide").cast("long").alias("data_size"))
     base = rows.groupBy("vol_id").agg((F.count("wide") - 50).alias("b_b")).withColumn("b_e", F.col("b_b"))
     assert applicable_chain(diffs, base).count() == 300 * 50
+
+
+def test_a_stripe_is_swept_whole_when_its_join_turns_into_a_broadcast(spark):
+    """No stripe is crowded, so adaptive execution drops that side of the union, and may read the other side's shuffle by its local files."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # below what the sides are estimated at, above what the smaller has
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = own.range(0, 20_000, 1, 8).selectExpr("id % 50 as vol_id", "id * 37 % 997 as addr", "1 + id % 9 as blocks", "id as seq")
+    each = "explode(sequence(addr, addr + blocks - 1)) as block"
+    want = rows.selectExpr("vol_id", each, "seq").groupBy("vol_id", "block").agg(F.max("seq"))
+    assert sorted(latest_wins(rows).selectExpr("vol_id", each, "seq").collect()) == sorted(want.collect())
