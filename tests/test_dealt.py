@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from blockloom.operators.extent import latest_wins
+from blockloom.operators.extent import latest_wins, overlap_join
 from blockloom.plans.chain import applicable_chain
 
 
@@ -28,3 +28,16 @@ def test_a_stripe_is_swept_whole_when_its_join_turns_into_a_broadcast(spark):
     each = "explode(sequence(addr, addr + blocks - 1)) as block"
     want = rows.selectExpr("vol_id", each, "seq").groupBy("vol_id", "block").agg(F.max("seq"))
     assert sorted(latest_wins(rows).selectExpr("vol_id", each, "seq").collect()) == sorted(want.collect())
+
+
+def test_overlaps_of_a_hot_volume_are_found_by_many_tasks(spark):
+    """Few rows that have many pairs: a join that sends one side to all tasks would leave the other in the task that it came in."""
+    rows = spark.range(0, 3000, 1, 1).selectExpr("0L as vol_id", "id * 131 % 4096 as addr", "1 + id % 15 as blocks", "id as seq")
+    long = rows.where("seq % 10 = 0").withColumn("blocks", F.col("blocks") * 16)
+    got = overlap_join(long, rows).cache()
+    each = got.groupBy(F.spark_partition_id()).count().collect()
+    a, b = ([(r.addr, r.addr + r.blocks, r.seq) for r in x.collect()] for x in (long, rows))
+    want = {(0, i, j, max(s, u), min(e, v) - max(s, u)) for s, e, i in a for u, v, j in b if max(s, u) < min(e, v)}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert max(r["count"] for r in each) < 0.4 * len(found)
